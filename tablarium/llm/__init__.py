@@ -1 +1,8 @@
 """Operators for large training-text tables. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to the executors by value, so that these need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
