@@ -18,6 +18,8 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 FILTER_BITS_A_TERM = 32
 #: More anchor terms than this aren't told by a filter in the plan but by a join of all postings.
 MAX_FILTER_TERMS = 200_000
+#: Most windows, with their terms, that are broadcast.
+WIDE_ROWS = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -97,7 +99,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0
         each.groupBy("terms", "n").agg(F.min("tf").alias("least"), F.min(F.struct("tf", "term", "off")).alias("r")).filter("least > 0").select("terms", "n", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
     )
     index = postings(docs, rarest.select("term").distinct(), width - 1 + gap)
-    probes = index.join(broadcast_if_small(rarest), "term")
+    probes = index.join(broadcast_if_small(rarest, WIDE_ROWS), "term")
     if gap:
         wanted = F.transform("terms", lambda t, k: F.struct(t.alias("t"), (F.col("left") + k - F.col("off")).alias("i")))
         ok = F.forall(wanted, lambda x: F.array_contains(F.slice(F.col("ctx"), F.greatest(x["i"] - gap, F.lit(0)) + 1, F.least(x["i"] + gap + 1, F.lit(2 * gap + 1))), x["t"]) & (x["i"] + gap >= 0))
@@ -107,7 +109,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0
         begin = F.col("left") - F.col("off")
         # the phrase is the part of the posting's surroundings that all lists agree on
         hits = probes.filter((begin >= 0) & (F.slice(F.col("ctx"), F.greatest(begin, F.lit(0)) + 1, F.col("n")) == F.col("terms"))).select("doc", "terms", (F.col("pos") - F.col("off")).alias("s"), "n")
-    return hits.join(broadcast_if_small(windows.select("item", "terms")), "terms").select("doc", "item", "s", "n")
+    return hits.join(broadcast_if_small(windows.select("item", "terms"), WIDE_ROWS), "terms").select("doc", "item", "s", "n")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:

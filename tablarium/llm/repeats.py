@@ -155,7 +155,7 @@ def _joined(spans):
     return F.aggregate(spans, none, add)
 
 
-def sized(df: DataFrame, column: str, most: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, column: str, most: int = 4 * BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a written df if its arrays hold at most `most` items in all; else df, for a shuffled join."""
     return F.broadcast(df) if (df.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= most else df
 
