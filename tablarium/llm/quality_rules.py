@@ -165,13 +165,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
     return materialize(text_statistics(texts).select("doc_id", "bad", *FEATURES))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs, with all their columns, that pass the base test and meet no rule."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return text_statistics(packed).filter(~_failed() & (verdict(rules) == 0)).select("_row.*")
+
+
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule of each row of docs.
 
     Empty and null texts have no words and fail the base test. Repeated rows are judged row by row.
     """
     stats = text_statistics(docs.select("doc_id", "text")).withColumn("rule", verdict(rules))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = _failed()
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), F.when(~failed, F.col("rule")).otherwise(0).alias("rule"),
