@@ -172,7 +172,9 @@ def _failed() -> Column:
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs, with all their columns, that pass the base test and meet no rule."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return text_statistics(packed).filter(~_failed() & (verdict(rules) == 0)).select("_row.*")
+    # a random column keeps Spark from pushing the filter below the statistics, which it would then compute twice
+    stats = text_statistics(packed).withColumns({"_good": ~_failed() & (verdict(rules) == 0), "_any": F.rand()})
+    return stats.filter("_good and _any >= 0").select("_row.*")
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
