@@ -2,18 +2,19 @@
 
 Rules are ordered conjunctions of thresholds. Each is grown on two thirds of the labelled rows by
 information gain, then pruned on the rest. All statistics are native columns; what reaches the driver
-is one count per feature and threshold.
+are those of a bounded number of labelled rows.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import SPACE_CHARS, materialize, read, words
+from tablarium.llm.common import SPACE_CHARS, read, words
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["n_words", "mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "digits_per_word", "words_per_line"]
@@ -89,57 +90,66 @@ def learn_rules(
 ) -> list[Rule]:
     """Rules that tell rows with bad = 1, best first; none if a class is missing.
 
-    A rule must keep min_precision on the rows held for pruning, and cover min_covered bad rows there.
+    labelled, of a size that its maker bounds, comes to the driver as numbers only. Rows are held for pruning by a
+    hash of the key. A rule must keep min_precision on those, and cover min_covered bad rows there.
     """
-    if set(r[0] for r in labelled.select(bad).distinct().limit(3).collect()) != {0, 1}:
+    got = labelled.select(F.col(bad).alias("y"), (F.pmod(F.xxhash64(key), F.lit(3)) != 0).alias("grow"), *features).orderBy(key).collect()
+    rows = [(r["y"], r["grow"], [float(r[f]) for f in features]) for r in got]
+    if {y for y, _, _ in rows} != {0, 1}:
         return []
-    at = [k / cuts for k in range(1, cuts)]
-    got = labelled.groupBy(bad).agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in features]).collect()
-    thresholds = {f: sorted({float(x) for r in got for x in r[f]}) for f in features}
-    cells = [F.struct(F.lit(k).alias("f"), _bin(F.col(f), thresholds[f]).alias("b")) for k, f in enumerate(features)]
-    rows = labelled.withColumn("_grow", F.pmod(F.xxhash64(key), F.lit(3)) != 0).withColumn("_cells", F.array(*cells))
+    thresholds = [_quantiles(rows, k, cuts) for k in range(len(features))]
+    binned = [(y, grow, values, [bisect_left(t, v) for t, v in zip(thresholds, values, strict=True)]) for y, grow, values in rows]
     rules: list[Rule] = []
-    left = F.lit(True)
     while len(rules) < max_rules:
-        grown: list[tuple[str, str, float]] = []
-        while len(grown) < max_conditions:
-            now = rows.filter(left & F.col("_grow") & Rule(tuple(grown)).column())
-            counts = now.select(F.col(bad).alias("y"), F.explode("_cells").alias("c")).groupBy("c.f", "c.b").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
-            best = _best_cut(counts, features, thresholds)
-            if best is None:
-                break
+        grown: list[tuple[int, str, float]] = []
+        now = [r for r in binned if r[1]]
+        while len(grown) < max_conditions and (best := _best_cut(now, thresholds)):
             grown.append(best)
-        if not grown:
-            break
+            now = [r for r in now if _holds([best], r[2])]
         # prune: the prefix with the best (p - n) / (p + n) on the held rows
-        held = rows.filter(left & ~F.col("_grow"))
-        tests = [Rule(tuple(grown[: k + 1])).column() for k in range(len(grown))]
-        r = held.agg(*[F.sum(F.when(t, F.col(bad)).otherwise(0)).alias(f"p{k}") for k, t in enumerate(tests)], *[F.sum(t.cast("int")).alias(f"n{k}") for k, t in enumerate(tests)]).first()
-        scored = [((r[f"p{k}"] or 0), (r[f"n{k}"] or 0), k) for k in range(len(tests))]
-        p, n, k = max(scored, key=lambda x: ((2 * x[0] - x[1]) / x[1] if x[1] else -1, x[0], -x[2]))
+        held, scored = [r for r in binned if not r[1]], []
+        for k in range(len(grown)):
+            held = [r for r in held if _holds([grown[k]], r[2])]
+            p, n = sum(r[0] for r in held), len(held)
+            scored.append(((2 * p - n) / n if n else -1, p, -k, n))
+        if not scored:
+            break
+        _, p, k, n = max(scored)
         if p < min_covered or p < min_precision * n:
             break
-        rules.append(Rule(tuple(grown[: k + 1])))
-        left = left & ~rules[-1].column()
+        taken = grown[: 1 - k]
+        rules.append(Rule(tuple((features[f], op, at) for f, op, at in taken)))
+        binned = [r for r in binned if not _holds(taken, r[2])]
     return rules
 
 
-def _bin(value: Column, thresholds: list[float]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda x: x < value))
+def _quantiles(rows: list, feature: int, cuts: int) -> list[float]:
+    """Distinct quantiles of a feature within either class."""
+    out: set[float] = set()
+    for y in (0, 1):
+        values = sorted(r[2][feature] for r in rows if r[0] == y)
+        out |= {values[len(values) * k // cuts] for k in range(1, cuts)}
+    return sorted(out)
+
+
+def _holds(conditions: list[tuple[int, str, float]], values: list[float]) -> bool:
+    return all(values[f] <= at if op == "<=" else values[f] > at for f, op, at in conditions)
 
 
-def _best_cut(counts: list, features: list[str], thresholds: dict[str, list[float]]) -> tuple[str, str, float] | None:
-    """The threshold with the largest FOIL gain; counts: (f, b, p, n) by feature and bin."""
-    total_p = sum(c["p"] for c in counts if c["f"] == 0)
-    total = sum(c["n"] for c in counts if c["f"] == 0)
+def _best_cut(rows: list, thresholds: list[list[float]]) -> tuple[int, str, float] | None:
+    """The (feature, operator, threshold) with the largest FOIL gain."""
+    total_p, total = sum(r[0] for r in rows), len(rows)
     if not total_p or total_p == total:
         return None
     base, best, found = math.log2(total_p / total), 1e-9, None
-    for k, f in enumerate(features):
-        by_bin = {c["b"]: (c["p"], c["n"]) for c in counts if c["f"] == k}
+    for f, cuts in enumerate(thresholds):
+        bad, every = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+        for y, _, _, bins in rows:
+            bad[bins[f]] += y
+            every[bins[f]] += 1
         p = n = 0
-        for b, x in enumerate(thresholds[f]):  # bin b holds values in (thresholds[b - 1], thresholds[b]]
-            p, n = p + by_bin.get(b, (0, 0))[0], n + by_bin.get(b, (0, 0))[1]
+        for b, x in enumerate(cuts):  # bin b holds values in (cuts[b - 1], cuts[b]]
+            p, n = p + bad[b], n + every[b]
             for op, pp, nn in (("<=", p, n), (">", total_p - p, total - n)):
                 if pp and nn < total and (gain := pp * (math.log2(pp / nn) - base)) > best:
                     best, found = gain, (f, op, x)
@@ -162,7 +172,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_labelled rows at most
-    return materialize(text_statistics(texts).select("doc_id", "bad", *FEATURES))
+    return text_statistics(texts).select("doc_id", "bad", *FEATURES)
 
 
 def _failed() -> Column:
