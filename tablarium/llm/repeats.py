@@ -22,6 +22,8 @@ from tablarium.llm.common import BROADCAST_ROWS, materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _POS = np.uint64((1 << 31) - 1)
+#: Most kinds of stretches of one pick that one task compares.
+FEW_KINDS = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,11 +59,12 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Repeats:
-    """window: tokens that must repeat. gram: tokens of a pick. tokens: text (str or None) to uint64 tokens."""
+    """window: tokens that must repeat. gram: tokens of a pick. tokens: text (str or None) to uint64 tokens; of_bytes: all below 256."""
 
     window: int
     gram: int
     tokens: Callable[[str | None], np.ndarray]
+    of_bytes: bool = False
 
     def stretches(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """The pick's hash, the first window and the number of windows of each stretch."""
@@ -123,6 +126,59 @@ class Repeats:
 
         return docs.select("doc_id", "text", "parts").mapInArrow(run, "h long, w long, doc_id long, lo int")
 
+    def surroundings(self, docs: DataFrame) -> DataFrame:
+        """h, doc_id, lo, n, ctx of each stretch of docs (as for windows()): its bytes, or for other tokens its windows' hashes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d, t, parts in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("parts"), strict=True):
+                    lo, n, h = (x.to_numpy(zero_copy_only=False) for x in parts.values.flatten())
+                    tokens = self.tokens(t.as_py())
+                    if self.of_bytes:
+                        raw = tokens.astype(np.uint8).tobytes()
+                        ctx = [raw[s : s + k + self.window - 1] for s, k in zip(lo.tolist(), n.tolist(), strict=True)]
+                    else:
+                        raw = gram_hashes(tokens, self.window).tobytes()
+                        ctx = [raw[8 * s : 8 * (s + k)] for s, k in zip(lo.tolist(), n.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(lo), d)), pa.array(lo), pa.array(n), pa.array(ctx, pa.binary())], ["h", "doc_id", "lo", "n", "ctx"])
+
+        return docs.select("doc_id", "text", "parts").mapInArrow(run, "h long, doc_id long, lo int, n int, ctx binary")
+
+    def resolve(self, rows: DataFrame) -> DataFrame:
+        """doc_id, lo, n: runs of windows that an earlier row has too. rows: surroundings() in partitions sorted by h, doc_id, lo, no h in two.
+
+        One batch and the window hashes of one h are in memory.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, seen = None, np.empty(0, np.uint64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                h, doc, lo, n = (batch.column(k).to_numpy() for k in range(4))
+                sizes = n + (self.window - 1) * self.of_bytes
+                raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8 if self.of_bytes else "<u8")
+                whole = gram_hashes(raw.astype(np.uint64), self.window) if self.of_bytes else raw
+                row = np.repeat(np.arange(len(h)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                w = whole[np.repeat(np.cumsum(sizes) - sizes, n) + at]
+                order = np.lexsort((w, h[row]))  # stable, so that equal ones stay in order
+                same = (w[order][1:] == w[order][:-1]) & (h[row][order][1:] == h[row][order][:-1])
+                again = np.zeros(len(w), bool)
+                again[order[1:][same]] = True
+                if h[0] == last:
+                    head = h[row] == last
+                    again[head] |= np.isin(w[head], seen)
+                tail = w[h[row] == h[-1]]
+                seen, last = np.unique(np.concatenate((seen, tail)) if h[-1] == last else tail), h[-1]
+                hit = np.flatnonzero(again)
+                if len(hit):
+                    begin = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0))))
+                    r, first = row[hit[begin]], at[hit[begin]]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((lo[r] + first).astype(np.int32)), pa.array(np.diff(np.append(begin, len(hit))).astype(np.int32))], ["doc_id", "lo", "n"])
+
+        return rows.mapInArrow(run, "doc_id long, lo int, n int")
+
     def covered(self, docs: DataFrame) -> DataFrame:
         """doc_id and cover: sorted disjoint [s, e) of tokens in windows that start earlier too (smaller doc_id, or earlier there).
 
@@ -133,11 +189,20 @@ class Repeats:
         kinds = materialize(stretches.groupBy("h", "s").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")))
         again = stretches.join(kinds.filter("c > 1").select("h", "s", "first"), ["h", "s"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "n")
 
-        several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
-        open_ = materialize(kinds.join(several, "h", "left_semi").groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.lo").alias("lo"), "n", "h")).alias("parts")))
-        windows = materialize(self.windows(docs.join(sized(open_, "parts"), "doc_id")))
-        first = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("h", "w", "first")
-        single = windows.join(first, ["h", "w"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
+        several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+        part = F.struct(F.col("first.lo").alias("lo"), "n", "h")
+
+        def open_kinds(picked: DataFrame) -> DataFrame:
+            by_doc = kinds.join(picked.select("h"), "h", "left_semi").groupBy("first.doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+            return docs.join(sized(materialize(by_doc), "parts"), "doc_id")
+
+        # picks of few kinds: all windows of one in one task, in order
+        packed = self.surroundings(open_kinds(several.filter(F.col("kinds") <= FEW_KINDS)))
+        single = self.resolve(packed.repartition("h").sortWithinPartitions("h", "doc_id", "lo"))
+        if several.filter(F.col("kinds") > FEW_KINDS).limit(1).count():  # others: by window
+            windows = materialize(self.windows(open_kinds(several.filter(F.col("kinds") > FEW_KINDS))))
+            first = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("h", "w", "first")
+            single = single.unionByName(windows.join(first, ["h", "w"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", F.lit(1).alias("n")))
 
         found = again.unionByName(single).select("doc_id", F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + self.window).alias("e")).alias("x"))
         return found.groupBy("doc_id").agg(_joined(F.array_sort(F.collect_list("x"))).alias("cover"))

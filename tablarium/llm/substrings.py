@@ -40,7 +40,7 @@ def byte_dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
         return len(raw), len(raw) - len(kept), len(cover), hashlib.sha256(kept).hexdigest()
 
     return remove(
-        docs, Repeats(length, gram, byte_tokens), finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        docs, Repeats(length, gram, byte_tokens, of_bytes=True), finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
         [pa.int64(), pa.int64(), pa.int64(), pa.string()], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
     )
 
