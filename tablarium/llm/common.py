@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of a batch that goes to Python.
+ARROW_ROWS = 1000
 #: Most rows that broadcast_if_small() sends to every executor; above, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -41,6 +45,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow() in batches of ARROW_ROWS rows: texts are large, and a batch is held by the JVM and by Python.
+
+    Lowers the session's spark.sql.execution.arrow.maxRecordsPerBatch if it is larger.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import materialize, read
+from tablarium.llm.common import map_arrow, materialize, read
 
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Pieces of one length and bucket that one window orders, about.
 BUCKET_ROWS = 50_000
 
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end: int = 0
                         rows.append((d, n, at // 4, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(available: dict[int, int], room: int) -> list[tuple[int, int]]:

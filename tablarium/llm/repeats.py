@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import BROADCAST_ROWS, materialize
+from tablarium.llm.common import BROADCAST_ROWS, map_arrow, materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _POS = np.uint64((1 << 31) - 1)
@@ -94,7 +94,7 @@ class Repeats:
                     h, c = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-        return docs.mapInArrow(run, "h long, c long")
+        return map_arrow(docs, run, "h long, c long")
 
     def all_stretches(self, docs: DataFrame) -> DataFrame:
         """h, s (identity), doc_id, lo, n of every stretch."""
@@ -110,7 +110,7 @@ class Repeats:
                     h, s, d, lo, n = map(np.concatenate, zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "s", "doc_id", "lo", "n"])
 
-        return docs.mapInArrow(run, "h long, s long, doc_id long, lo int, n int")
+        return map_arrow(docs, run, "h long, s long, doc_id long, lo int, n int")
 
     def windows(self, docs: DataFrame) -> DataFrame:
         """h, w (hash), doc_id, lo of each window in the stretches of docs (doc_id, text, parts of structs lo, n, h)."""
@@ -124,7 +124,7 @@ class Repeats:
                     at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, n)), pa.array(whole[at].view(np.int64)), pa.array(np.full(len(at), d)), pa.array(at.astype(np.int32))], ["h", "w", "doc_id", "lo"])
 
-        return docs.select("doc_id", "text", "parts").mapInArrow(run, "h long, w long, doc_id long, lo int")
+        return map_arrow(docs.select("doc_id", "text", "parts"), run, "h long, w long, doc_id long, lo int")
 
     def surroundings(self, docs: DataFrame) -> DataFrame:
         """h, doc_id, lo, n, ctx of each stretch of docs (as for windows()): its bytes, or for other tokens its windows' hashes."""
@@ -142,7 +142,7 @@ class Repeats:
                         ctx = [raw[8 * s : 8 * (s + k)] for s, k in zip(lo.tolist(), n.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(lo), d)), pa.array(lo), pa.array(n), pa.array(ctx, pa.binary())], ["h", "doc_id", "lo", "n", "ctx"])
 
-        return docs.select("doc_id", "text", "parts").mapInArrow(run, "h long, doc_id long, lo int, n int, ctx binary")
+        return map_arrow(docs.select("doc_id", "text", "parts"), run, "h long, doc_id long, lo int, n int, ctx binary")
 
     def resolve(self, rows: DataFrame) -> DataFrame:
         """doc_id, lo, n: runs of windows that an earlier row has too. rows: surroundings() in partitions sorted by h, doc_id, lo, no h in two.
@@ -177,7 +177,7 @@ class Repeats:
                     r, first = row[hit[begin]], at[hit[begin]]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((lo[r] + first).astype(np.int32)), pa.array(np.diff(np.append(begin, len(hit))).astype(np.int32))], ["doc_id", "lo", "n"])
 
-        return rows.mapInArrow(run, "doc_id long, lo int, n int")
+        return map_arrow(rows, run, "doc_id long, lo int, n int")
 
     def covered(self, docs: DataFrame) -> DataFrame:
         """doc_id and cover: sorted disjoint [s, e) of tokens in windows that start earlier too (smaller doc_id, or earlier there).
@@ -235,4 +235,4 @@ def remove(docs: DataFrame, repeats: Repeats, finish: Callable[[str | None, list
             rows = [finish(t.as_py(), [(x["s"], x["e"]) for x in c or ()]) for t, c in zip(batch.column("text"), batch.column("cover").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names]) if rows else batch.slice(0, 0)
 
-    return docs.join(sized(cover, "cover"), "doc_id", "left").select("doc_id", "text", "cover").mapInArrow(run, ddl)
+    return map_arrow(docs.join(sized(cover, "cover"), "doc_id", "left").select("doc_id", "text", "cover"), run, ddl)

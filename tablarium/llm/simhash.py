@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import materialize, read
+from tablarium.llm.common import map_arrow, materialize, read
 from tablarium.llm.components import connected_components
 
 HALF = 32
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} long, fp long")
+    return map_arrow(docs.select(key, text), run, f"{key} long, fp long")
 
 
 def links(fps: DataFrame, distance: int = 3) -> DataFrame:
