@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tablarium.llm.common import map_arrow, materialize, read
 
-#: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 400_000
+#: A Python worker remembers the ids of up to about twice as many words; words in use outlast others.
+CACHE_WORDS = 200_000
 #: Pieces of one length and bucket that one window orders, about.
 BUCKET_ROWS = 50_000
 
@@ -35,19 +35,19 @@ def _encoder(path: str):
     if path not in vars(holder):
         from tokenizers import Tokenizer
 
-        vars(holder)[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = vars(holder)[path]
+        vars(holder)[path] = Tokenizer.from_file(path), [{}, {}]
+    tokenizer, known = vars(holder)[path]  # words since the last turn of the cache, and those before
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
-        new = [w for w in set().union(*split) if w not in known]
-        ids = dict(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-        if len(known) + len(new) > CACHE_WORDS:
-            old, table = {w: known[w] for words in split for w in words if w in known}, ids
-            known.clear()
-            ids = old | table
-        known.update(ids)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        recent, old = known
+        missing = [w for w in set().union(*split) if w not in recent]
+        new = [w for w in missing if w not in old]
+        recent.update((w, old[w]) for w in missing if w in old)
+        recent.update(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+        if len(recent) > CACHE_WORDS:
+            known[:] = {}, recent
+        return [b"".join(map(recent.__getitem__, words)) for words in split]
 
     return encode
 
