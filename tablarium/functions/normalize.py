@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import tr_fold_ascii
+from tablarium.functions.text import let, tr_fold_ascii
 
 #: Months, range separators, and phrases about fees (folded).
 MONTHS = ["ocak", "subat", "mart", "nisan", "mayis", "haziran", "temmuz", "agustos", "eylul", "ekim", "kasim", "aralik"]
@@ -24,7 +24,10 @@ CHARGE = (
 
 def parse_tr_number(c: Column) -> Column:
     """1.500,00 and 1.500 are 1500, 2,05 and 2.05 are 2.05; two dots without a comma are no number."""
-    s = F.btrim(F.regexp_replace(c, "[^0-9,.-]", ""), F.lit(".,"))
+    return let(F.btrim(F.regexp_replace(c, "[^0-9,.-]", ""), F.lit(".,")), _number)
+
+
+def _number(s: Column) -> Column:
     plain = (
         F.when(s.contains(",") & s.contains("."), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .when(s.contains(","), F.replace(s, F.lit(","), F.lit(".")))
@@ -37,8 +40,12 @@ def parse_tr_number(c: Column) -> Column:
 def normalize_rate(c: Column) -> Column:
     """Struct num, min, max; a range has min < max, a single rate or an empty range has num."""
     numbers = F.transform(F.regexp_extract_all(c, F.lit("%?\\s*\\d[\\d.,]*\\s*%?"), F.lit(0)), parse_tr_number)
+    return let(F.struct(numbers.alias("n"), c.rlike(RANGE_SEPARATOR).alias("r")), lambda x: _rate(x["n"], x["r"]))
+
+
+def _rate(numbers: Column, separated: Column) -> Column:
     a, b = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    wide = c.rlike(RANGE_SEPARATOR) & a.isNotNull() & b.isNotNull() & (a != b)
+    wide = separated & a.isNotNull() & b.isNotNull() & (a != b)
     return F.when(a.isNotNull(), F.struct(
         F.when(~F.coalesce(wide, F.lit(False)), a).alias("num"), F.when(wide, F.least(a, b)).alias("min"), F.when(wide, F.greatest(a, b)).alias("max"),
     ))
@@ -47,7 +54,10 @@ def normalize_rate(c: Column) -> Column:
 def normalize_money(c: Column) -> Column:
     """Struct value, currency (TRY unless another is named)."""
     value = parse_tr_number(F.regexp_extract(c, "\\d[\\d.,]*", 0))
-    low = tr_fold_ascii(c)
+    return let(F.struct(value.alias("value"), tr_fold_ascii(c).alias("low")), lambda x: _money(x["value"], x["low"]))
+
+
+def _money(value: Column, low: Column) -> Column:
     currency = F.when(low.rlike("\\b(usd|dolar)|\\$"), "USD").when(low.rlike("\\b(eur|euro|avro)|€"), "EUR").otherwise("TRY")
     return F.when(value.isNotNull(), F.struct(value.alias("value"), currency.alias("currency")))
 
@@ -55,14 +65,16 @@ def normalize_money(c: Column) -> Column:
 def normalize_term_months(c: Column) -> Column:
     """Months, half-even."""
     pattern = "(?U)(\\d[\\d.,]*)\\s*(ay|yil|sene)(?:a|da|ta|dan|tan|i|lik)?\\b"
-    low = tr_fold_ascii(c)
-    n = parse_tr_number(F.regexp_extract(low, pattern, 1))
-    return F.when(n.isNotNull(), F.bround(n * F.when(F.regexp_extract(low, pattern, 2) == "ay", 1).otherwise(12)).cast("int"))
+    months = lambda low: F.bround(parse_tr_number(F.regexp_extract(low, pattern, 1)) * F.when(F.regexp_extract(low, pattern, 2) == "ay", 1).otherwise(12)).cast("int")
+    return let(tr_fold_ascii(c), months)
 
 
 def normalize_date(c: Column) -> Column:
     """ISO, d.m.yyyy, d/m/yyyy and d Month yyyy; the first form that is present decides, impossible dates are null."""
+    return let(c, _date)
+
 
+def _date(c: Column) -> Column:
     def made(y: Column, m: Column, d: Column) -> Column:
         return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
@@ -78,7 +90,11 @@ def normalize_date(c: Column) -> Column:
 
 def normalize_fee_status(c: Column) -> Column:
     """Struct has_fee, amount. A denial is a value (false, 0); a bare mention is null."""
-    low, money = tr_fold_ascii(c), normalize_money(c)
+    known = F.struct(c.alias("c"), tr_fold_ascii(c).alias("low"), normalize_money(c).alias("money"))
+    return let(known, lambda x: _fee(x["c"], x["low"], x["money"]))
+
+
+def _fee(c: Column, low: Column, money: Column) -> Column:
     fee = lambda has, amount: F.struct(F.lit(has).alias("has_fee"), amount.cast("double").alias("amount"))
     return F.when(low.rlike("|".join(FREE)), fee(False, F.lit(0.0))).when(
         low.rlike(FEE_HINTS),

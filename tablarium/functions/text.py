@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ STOPWORDS = (
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it: Spark would repeat the expression in each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tr_fold(c: Column) -> Column:
     """Turkish lower case."""
     return F.lower(F.translate(c, "Iİ", "ıi"))

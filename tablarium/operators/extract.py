@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_date, normalize_money, normalize_rate, normalize_term_months
-from tablarium.functions.text import match_spans, tr_fold
+from tablarium.functions.text import let, match_spans, tr_fold
 
 #: Units that a rate is not, and patterns with which a field is found.
 UNIT = "(?:ay|y[ıi]l|sene|taksit|adet|tl|₺)(?:a|e|da|de|ta|te|dan|den|tan|ten|[ıi]|l[ıi]k|lar|ler)?\\b"
@@ -30,22 +30,26 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 def profit_rate(text: Column) -> Column:
     """A rate right before the phrase, else after it; none at all if a sharing ratio is mentioned."""
-    raw = F.coalesce(_group(text, RATE_BEFORE, 1), _group(text, RATE_AFTER, 3))
-    return F.when(~text.rlike(SHARING), normalize_rate(raw))
+    raw = lambda t: F.coalesce(_group(t, RATE_BEFORE, 1), _group(t, RATE_AFTER, 3))
+    return let(text, lambda t: F.when(~t.rlike(SHARING), normalize_rate(raw(t))))
 
 
 def term(text: Column) -> Column:
     """Struct months, s, e. Of all terms the one not after "ilk", nearest to "vade", first."""
-    spans, low = match_spans(text, TERM), tr_fold(text)
-    near = F.transform(match_spans(low, "vade"), lambda v: v["s"])
+    known = F.struct(match_spans(text, TERM).alias("spans"), tr_fold(text).alias("low"))
+    return let(let(known, lambda x: _nearest(x["spans"], x["low"])), lambda best: F.when(best.isNotNull(), F.struct(normalize_term_months(best["m"]).alias("months"), best["s"].alias("s"), best["e"].alias("e"))))
 
-    def score(x: Column) -> Column:
-        before = F.substring(low, F.greatest(x["s"] - 7, F.lit(1)), F.least(x["s"], F.lit(8)))
-        distance = F.coalesce(F.array_min(F.transform(near, lambda v: F.abs(v - x["s"]))), F.lit(10**6))
-        return F.struct(before.contains("ilk").alias("promo"), distance.alias("d"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
 
-    best = F.array_min(F.transform(spans, score))
-    return F.when(best.isNotNull(), F.struct(normalize_term_months(best["m"]).alias("months"), best["s"].alias("s"), best["e"].alias("e")))
+def _nearest(spans: Column, low: Column) -> Column:
+    def choose(near: Column) -> Column:
+        def score(x: Column) -> Column:
+            before = F.substring(low, F.greatest(x["s"] - 7, F.lit(1)), F.least(x["s"], F.lit(8)))
+            distance = F.coalesce(F.array_min(F.transform(near, lambda v: F.abs(v - x["s"]))), F.lit(10**6))
+            return F.struct(before.contains("ilk").alias("promo"), distance.alias("d"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+
+        return F.array_min(F.transform(spans, score))
+
+    return let(F.transform(match_spans(low, "vade"), lambda v: v["s"]), choose)
 
 
 def amount(text: Column) -> Column:
@@ -66,6 +70,10 @@ def deadline(text: Column) -> Column:
 def discount(text: Column) -> Column:
     """Not where points are spoken of within 25 characters."""
     raw = F.coalesce(_group(text, DISCOUNT_BEFORE, 1), _group(text, DISCOUNT_AFTER, 1))
+    return let(F.struct(text.alias("t"), raw.alias("raw")), lambda x: _unless_points(x["t"], x["raw"]))
+
+
+def _unless_points(text: Column, raw: Column) -> Column:
     at = F.position(raw, text)
     around = F.substring(text, F.greatest(at - 25, F.lit(1)), F.length(raw) + 50)
     return F.when(~around.rlike("(?iu)puan"), normalize_rate(raw))
