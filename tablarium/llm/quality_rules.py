@@ -182,8 +182,8 @@ def _failed() -> Column:
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs, with all their columns, that pass the base test and meet no rule."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    # a random column keeps Spark from pushing the filter below the statistics, which it would then compute twice
-    stats = text_statistics(packed).withColumns({"_good": ~_failed() & (verdict(rules) == 0), "_any": F.rand()})
+    # a column that is not deterministic keeps Spark from pushing the filter below the statistics, which it would then compute twice
+    stats = text_statistics(packed).withColumns({"_good": ~_failed() & (verdict(rules) == 0), "_any": F.monotonically_increasing_id()})
     return stats.filter("_good and _any >= 0").select("_row.*")
 
 
@@ -193,10 +193,11 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     Empty and null texts have no words and fail the base test. Repeated rows are judged row by row.
     """
     stats = text_statistics(docs.select("doc_id", "text")).withColumn("rule", verdict(rules))
-    failed = _failed()
+    # not deterministic, so that a filter on the result isn't pushed below the statistics, which Spark would then compute twice
+    failed = _failed() & (F.monotonically_increasing_id() >= 0)
     return stats.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("rule") == 0)).alias("kept"), F.when(~failed, F.col("rule")).otherwise(0).alias("rule"),
+        failed.alias("base_failed"), (~_failed() & (F.col("rule") == 0)).alias("kept"), F.when(~_failed(), F.col("rule")).otherwise(0).alias("rule"),
     )
 
 
