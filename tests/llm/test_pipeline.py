@@ -7,7 +7,7 @@ import corpus_pipeline
 from tablarium.llm import personal_data, queries
 from tablarium.llm.common import materialize, read
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"  # 399 labels; sf0.001 has 87, too few to hold rows for pruning
 
 
 def test_chat_matches_sql(spark):
