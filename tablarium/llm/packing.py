@@ -7,6 +7,7 @@ find their place by their rank among those of their length.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -25,6 +26,13 @@ CACHE_WORDS = 200_000
 BUCKET_ROWS = 50_000
 
 
+#: Words of lower-case Latin letters, with marks after them: one or two pieces that normalisation leaves as they are,
+#: so they go to the tokenizer's model directly.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,]*)")
+#: Bytes that byte-level tokenizers write as characters from U+0100 on.
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 def _encoder(path: str):
     """bytes of a text to its ids as little-endian 32-bit numbers, by a tokenizer that never joins words over white space.
 
@@ -38,13 +46,22 @@ def _encoder(path: str):
         vars(holder)[path] = Tokenizer.from_file(path), [{}, {}]
     tokenizer, known = vars(holder)[path]  # words since the last turn of the cache, and those before
 
+    model = tokenizer.model
+
     def encode(texts: list[str]) -> list[bytes]:
         split = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
         recent, old = known
         missing = [w for w in set().union(*split) if w not in recent]
         new = [w for w in missing if w not in old]
         recent.update((w, old[w]) for w in missing if w in old)
-        recent.update(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+        other = []
+        for w in new:
+            if m := PLAIN.fullmatch(w):
+                ids = [t.id for t in model.tokenize(m[1].decode("latin-1").translate(BYTE_CHARS))]
+                recent[w] = array("I", ids + [t.id for t in model.tokenize(m[2].decode())] if m[2] else ids).tobytes()
+            else:
+                other.append(w)
+        recent.update(zip(other, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)), strict=True))
         if len(recent) > CACHE_WORDS:
             known[:] = {}, recent
         return [b"".join(map(recent.__getitem__, words)) for words in split]
