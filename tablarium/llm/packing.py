@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tablarium.llm.common import map_arrow, materialize, read
 
 #: A Python worker remembers the ids of up to about twice as many words; words in use outlast others.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 #: Pieces of one length and bucket that one window orders, about.
 BUCKET_ROWS = 50_000
 
@@ -57,8 +57,10 @@ def _encoder(path: str):
         other = []
         for w in new:
             if m := PLAIN.fullmatch(w):
-                ids = [t.id for t in model.tokenize(m[1].decode("latin-1").translate(BYTE_CHARS))]
-                recent[w] = array("I", ids + [t.id for t in model.tokenize(m[2].decode())] if m[2] else ids).tobytes()
+                word, marks = m.groups()
+                if (ids := recent.get(word) or old.get(word)) is None:
+                    ids = recent[word] = array("I", [t.id for t in model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+                recent[w] = ids + array("I", [t.id for t in model.tokenize(marks.decode())]).tobytes() if marks else ids
             else:
                 other.append(w)
         recent.update(zip(other, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)), strict=True))
