@@ -3,7 +3,7 @@ import os
 import pytest
 from oracle import compare
 
-from tablarium.plans import catalogue
+from tablarium.plans import catalogue, pages  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
