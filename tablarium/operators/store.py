@@ -37,3 +37,24 @@ def with_minimum_term(rows: DataFrame, fields: DataFrame, months: int) -> DataFr
     """QA5: rows whose campaign's first numeric term is at least `months`."""
     first = fields.filter("field_name = 'vade_ay' and value is not null").groupBy("campaign_id").agg(F.min(F.struct("seq", "value"))["value"].alias("t"))
     return rows.join(first.filter(F.col("t") >= months).select("campaign_id"), "campaign_id", "left_semi")
+
+
+def all_banks(banks: DataFrame) -> DataFrame:
+    """S04"""
+    return banks.orderBy("slug")
+
+
+def all_campaigns(campaigns: DataFrame, banks: DataFrame) -> DataFrame:
+    """Campaigns with their bank; those of unknown banks are left out."""
+    return campaigns.join(banks, "bank_id").orderBy("campaign_id")
+
+
+def field_value(fields: DataFrame, campaign_id: int, name: str) -> DataFrame:
+    """campaign_id, value of the field's first row; the filter reaches the scan."""
+    return fields.filter((F.col("campaign_id") == campaign_id) & (F.col("field_name") == name)).orderBy("seq").limit(1).select("campaign_id", "value")
+
+
+def with_fields(campaigns: DataFrame, fields: DataFrame) -> DataFrame:
+    """Campaigns with an array of their fields by seq, empty if there are none. A campaign has a dozen fields, as names are fixed."""
+    grouped = fields.groupBy("campaign_id").agg(F.array_sort(F.collect_list(F.struct("seq", "field_name", "value", "extractor"))).alias("fields"))
+    return campaigns.join(grouped, "campaign_id", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<struct<seq:bigint,field_name:string,value:double,extractor:string>>")))

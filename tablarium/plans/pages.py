@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablarium.operators import agreement, contradict, offers
+from tablarium.operators import agreement, contradict, offers, route, store
 from tablarium.plans.catalogue import _store, cents, query, table, tr
 from tablarium.sources import crawl, files
 
@@ -243,3 +243,38 @@ def upsert_banks(spark, d):
     banks = _store(spark, d)[0].select("bank_id", "slug")
     more = table(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("bank_id"), F.lower("r_name").alias("slug"))
     return files.upsert_banks(banks, banks.unionByName(more).select((F.col("bank_id") + 0).alias("bank_id"), "slug"))
+
+
+@query("""
+SELECT s_suppkey, ['structured', 'structured', 'rag', 'structured', 'rag'][k] AS path, ['kar_payi_orani', 'vade_ay', NULL, 'masraf_durumu', 'taksit_sayisi'][k] AS field, ['lowest', 'list', NULL, NULL, NULL][k] AS intent,
+  CAST(CASE WHEN k = 2 THEN s_suppkey % 90 + 10 END AS INTEGER) AS term_min, ['Konut Finansmanı', NULL, NULL, 'Taşıt Finansmanı', NULL][k] AS campaign_type, ['b,a', '', 'a', '', ''][k] AS banks FROM (SELECT *, s_suppkey % 5 + 1 AS k FROM supplier)""")
+def route_questions(spark, d):
+    """QA1 to QA3"""
+    months = F.concat((F.col("s_suppkey") % 90 + 10).cast("string"), F.lit(" ay ve üzeri vade veren?"))
+    asked = _pick("s_suppkey", "Alfa Beta ve Alfa: EN DÜŞÜK KÂR PAYI, konut", "", "Alfa nedir", "TAŞIT masrafı?", "Taksit nedir")
+    text = F.when(F.col("s_suppkey") % 5 == 1, months).otherwise(asked)
+    x, banks = route.detect(text), route.banks_in(text, {"alfa": "a", "alfa beta": "b"})
+    return table(spark, d, "supplier").select("s_suppkey", route.route(text).alias("path"), x["field"].alias("field"), x["intent"].alias("intent"), x["term_min"].alias("term_min"), x["campaign_type"].alias("campaign_type"), F.array_join(banks, ",").alias("banks"))
+
+
+@query("SELECT c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 2 = 0")
+def all_campaigns(spark, d):
+    """S05"""
+    banks, campaigns, _ = _store(spark, d)
+    return store.all_campaigns(campaigns, banks).select("campaign_id", "slug", "campaign_type")
+
+
+@query("SELECT CAST(7 AS BIGINT) AS campaign_id, o_totalprice AS value FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey LIMIT 1")
+def field_value(spark, d):
+    """The first value that customer 7 has of any priority, renamed to one field."""
+    fields = _store(spark, d)[2].withColumn("field_name", F.lit("x"))
+    return store.field_value(fields, 7, "x")
+
+
+@query("""
+SELECT o_custkey AS campaign_id, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS seqs FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 0 GROUP BY 1""")
+def campaign_fields(spark, d):
+    """A campaign with all its fields, in order."""
+    _, campaigns, fields = _store(spark, d)
+    out = store.with_fields(campaigns, fields).filter(F.size("fields") > 0)
+    return out.select("campaign_id", F.size("fields").cast("bigint").alias("n"), F.array_join(F.transform("fields", lambda f: f["seq"].cast("string")), ",").alias("seqs"))
