@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tablarium.llm.common import broadcast_if_small, materialize, read
 from tablarium.llm.decontamination import phrase_hits
+from tablarium.llm.near_copies import without_near_copies
 from tablarium.llm.packing import pack
 from tablarium.llm.personal_data import personal_spans, redact
 from tablarium.llm.quality_rules import judge, labelled_sample, learn_rules
-from tablarium.llm.simhash import simhash_groups
 
 MAX_LABELLED = 20_000
 
@@ -32,9 +32,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays."""
-    groups = simhash_groups(docs)
-    return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more the one with the smallest doc_id stays."""
+    return without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
