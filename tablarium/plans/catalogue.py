@@ -378,6 +378,19 @@ def round_robin(spark, d):
 
 _CONFUSION_SQL = """
 WITH x AS (SELECT lang AS field, CASE WHEN quality = 1 THEN toxic END AS gold, CASE WHEN n_chars > 400 THEN CASE WHEN n_chars > 5000 THEN 1 ELSE 0 END END AS pred, quality = 0 AS absent FROM labels JOIN documents USING (doc_id)),
+
+
+_ENTITIES_SQL = "x"
+for _entity, _char in T.ENTITIES.items():
+    _ENTITIES_SQL = "replace({}, '{}', '{}')".format(_ENTITIES_SQL, *(v.replace("'", "''") for v in (_entity, _char)))
+
+
+@query(rf"""
+SELECT page_id, trim(regexp_replace({_ENTITIES_SQL}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS text
+FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages)""")
+def html_strip_all(spark, d):
+    """All pages, with their entities."""
+    return table(spark, d, "pages").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"))).alias("text"))
 c AS (SELECT field, count(*) FILTER (pred = gold) AS tp, count(*) FILTER (pred <> gold OR (pred IS NOT NULL AND absent)) AS fp, count(*) FILTER (gold IS NOT NULL AND (pred IS NULL OR pred <> gold)) AS fn,
  count(*) FILTER (pred IS NULL AND absent) AS tn, count(*) FILTER (pred IS NOT NULL AND absent) AS hallucinated FROM x GROUP BY 1),
 r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS q FROM c)
