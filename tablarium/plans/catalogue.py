@@ -181,15 +181,21 @@ def reconcile_layers(spark, d):
     return classify.reconcile(rows, ["l_orderkey"]).drop("seq")
 
 
-def _store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Banks from nations, campaigns from customers of even nations, fields from orders."""
+def _whole_store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Banks from nations, campaigns from all customers, fields from orders."""
     banks = table(spark, d, "nation").select(F.col("n_nationkey").alias("bank_id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"))
-    campaigns = table(spark, d, "customer").filter("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("campaign_id"), F.col("c_nationkey").alias("bank_id"), F.col("c_mktsegment").alias("campaign_type"))
+    campaigns = table(spark, d, "customer").select(F.col("c_custkey").alias("campaign_id"), F.col("c_nationkey").alias("bank_id"), F.col("c_mktsegment").alias("campaign_type"))
     extractor = F.when(F.col("o_orderkey") % 3 == 0, "rule").otherwise("llm")
     fields = table(spark, d, "orders").select(F.col("o_custkey").alias("campaign_id"), F.col("o_orderpriority").alias("field_name"), F.col("o_totalprice").alias("value"), extractor.alias("extractor"), F.col("o_orderkey").alias("seq"))
     return banks, campaigns, fields
 
 
+def _store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole store, but campaigns of even nations only, as the SQL of its queries has it; the queries named ..._whole have all."""
+    banks, campaigns, fields = _whole_store(spark, d)
+    return banks, campaigns.filter("bank_id % 2 = 0"), fields
+
+
 @query("""
 SELECT o_orderkey AS seq, c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type, o_totalprice AS value
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 2 = 0 AND o_orderpriority = '1-URGENT'""")
@@ -207,6 +213,30 @@ def counts(spark, d):
     return store.counts(*_store(spark, d))
 
 
+@query("""
+SELECT o_orderkey AS seq, c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type, o_totalprice AS value
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'""")
+def query_fields_join_whole(spark, d):
+    """S01 over all campaigns."""
+    banks, campaigns, fields = _whole_store(spark, d)
+    return store.query_fields(fields, campaigns, banks, "1-URGENT").select("seq", "campaign_id", "slug", "campaign_type", "value")
+
+
+@query("""
+SELECT (SELECT count(*) FROM nation) AS banks, (SELECT count(*) FROM customer) AS campaigns,
+  count(*) AS fields, count(DISTINCT o_orderpriority) AS field_names, count(DISTINCT o_custkey) AS campaigns_with_fields FROM orders""")
+def counts_whole(spark, d):
+    """S06 over all campaigns."""
+    return store.counts(*_whole_store(spark, d))
+
+
+@query("SELECT lower(n_name) AS slug, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def per_bank_left_whole(spark, d):
+    """S09 over all campaigns."""
+    banks, campaigns, _ = _whole_store(spark, d)
+    return store.campaigns_per_bank(banks, campaigns)
+
+
 @query("SELECT o_orderpriority AS field_name, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
 def field_coverage(spark, d):
     """S07"""
@@ -350,6 +380,19 @@ def html_strip(spark, d):
     return table(spark, d, "pages").filter("not html like '%&%'").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"))).alias("text"))
 
 
+_ENTITIES_SQL = "x"
+for _entity, _char in T.ENTITIES.items():
+    _ENTITIES_SQL = "replace({}, '{}', '{}')".format(_ENTITIES_SQL, *(v.replace("'", "''") for v in (_entity, _char)))
+
+
+@query(rf"""
+SELECT page_id, trim(regexp_replace({_ENTITIES_SQL}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS text
+FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages)""")
+def html_strip_all(spark, d):
+    """All pages, with their entities."""
+    return table(spark, d, "pages").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"))).alias("text"))
+
+
 _QUESTION = ["the", "that", "was", "with", "shall"]
 
 
@@ -378,19 +421,6 @@ def round_robin(spark, d):
 
 _CONFUSION_SQL = """
 WITH x AS (SELECT lang AS field, CASE WHEN quality = 1 THEN toxic END AS gold, CASE WHEN n_chars > 400 THEN CASE WHEN n_chars > 5000 THEN 1 ELSE 0 END END AS pred, quality = 0 AS absent FROM labels JOIN documents USING (doc_id)),
-
-
-_ENTITIES_SQL = "x"
-for _entity, _char in T.ENTITIES.items():
-    _ENTITIES_SQL = "replace({}, '{}', '{}')".format(_ENTITIES_SQL, *(v.replace("'", "''") for v in (_entity, _char)))
-
-
-@query(rf"""
-SELECT page_id, trim(regexp_replace({_ENTITIES_SQL}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS text
-FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages)""")
-def html_strip_all(spark, d):
-    """All pages, with their entities."""
-    return table(spark, d, "pages").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"))).alias("text"))
 c AS (SELECT field, count(*) FILTER (pred = gold) AS tp, count(*) FILTER (pred <> gold OR (pred IS NOT NULL AND absent)) AS fp, count(*) FILTER (gold IS NOT NULL AND (pred IS NULL OR pred <> gold)) AS fn,
  count(*) FILTER (pred IS NULL AND absent) AS tn, count(*) FILTER (pred IS NOT NULL AND absent) AS hallucinated FROM x GROUP BY 1),
 r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS q FROM c)

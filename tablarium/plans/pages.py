@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablarium.operators import agreement, contradict, offers, route, store
-from tablarium.plans.catalogue import _store, cents, query, table, tr
+from tablarium.plans.catalogue import _store, _whole_store, cents, query, table, tr
 from tablarium.sources import crawl, files
 
 
@@ -278,3 +278,19 @@ def campaign_fields(spark, d):
     _, campaigns, fields = _store(spark, d)
     out = store.with_fields(campaigns, fields).filter(F.size("fields") > 0)
     return out.select("campaign_id", F.size("fields").cast("bigint").alias("n"), F.array_join(F.transform("fields", lambda f: f["seq"].cast("string")), ",").alias("seqs"))
+
+
+@query("SELECT c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def all_campaigns_whole(spark, d):
+    """S05 over all campaigns."""
+    banks, campaigns, _ = _whole_store(spark, d)
+    return store.all_campaigns(campaigns, banks).select("campaign_id", "slug", "campaign_type")
+
+
+@query("""
+SELECT o_custkey AS campaign_id, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS seqs FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def campaign_fields_whole(spark, d):
+    """S03 over all campaigns."""
+    _, campaigns, fields = _whole_store(spark, d)
+    out = store.with_fields(campaigns, fields).filter(F.size("fields") > 0)
+    return out.select("campaign_id", F.size("fields").cast("bigint").alias("n"), F.array_join(F.transform("fields", lambda f: f["seq"].cast("string")), ",").alias("seqs"))
