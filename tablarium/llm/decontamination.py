@@ -1,8 +1,7 @@
 """Benchmark decontamination: a positional inverted index of training tokens, probed by test windows.
 
 Each test window is looked up by its rarest term. The index holds the positions of those terms, each with
-the tokens around it, so the other terms' lists are intersected, adjusted by their offsets, where a posting
-lies instead of shuffling the postings of frequent words.
+the tokens around it; a window is compared with those tokens. Other terms have no postings.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ FILTER_BITS_A_TERM = 32
 MAX_FILTER_TERMS = 200_000
 #: Most windows, with their terms, that are broadcast.
 WIDE_ROWS = 50_000
+#: Places by which a term may lie off in the proximity matches of op4_decontamination.
+NEAR_GAP = 2
 
 
 def tokens(text: Column) -> Column:
@@ -84,7 +85,7 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> D
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0) -> DataFrame:
-    """doc, item, s, n: where a test window lies in a document, as s and n of its tokens.
+    """doc, item, s, n: where a test window lies in a document, as s and n of its tokens; exact: its struct of s and n if it is an exact phrase.
 
     gap 0: exact phrases. gap > 0: proximity; the anchor must have, at each other offset of the window, the term
     no more than gap places away; s and n are then those of the span around it.
@@ -100,45 +101,50 @@ def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0
     )
     index = postings(docs, rarest.select("term").distinct(), width - 1 + gap)
     probes = index.join(broadcast_if_small(rarest, WIDE_ROWS), "term")
+    begin = F.col("left") - F.col("off")
+    # the phrase is the part of the posting's surroundings that equals the window
+    phrase = (begin >= 0) & (F.slice(F.col("ctx"), F.greatest(begin, F.lit(0)) + 1, F.col("n")) == F.col("terms"))
+    exact = F.when(phrase, F.struct((F.col("pos") - F.col("off")).alias("s"), "n")).alias("exact")
     if gap:
         wanted = F.transform("terms", lambda t, k: F.struct(t.alias("t"), (F.col("left") + k - F.col("off")).alias("i")))
-        ok = F.forall(wanted, lambda x: F.array_contains(F.slice(F.col("ctx"), F.greatest(x["i"] - gap, F.lit(0)) + 1, F.least(x["i"] + gap + 1, F.lit(2 * gap + 1))), x["t"]) & (x["i"] + gap >= 0))
+        ok = F.forall(wanted, lambda x: F.array_contains(F.slice(F.col("ctx"), F.greatest(x["i"] - gap, F.lit(0)) + 1, F.greatest(F.least(x["i"] + gap + 1, F.lit(2 * gap + 1)), F.lit(0))), x["t"]) & (x["i"] + gap >= 0))
         start = F.greatest(F.col("pos") - F.col("off") - gap, F.lit(0))
-        hits = probes.filter(ok).select("doc", "terms", start.alias("s"), (F.col("pos") - F.col("off") + F.col("n") + gap - start).alias("n"))
+        hits = probes.filter(ok).select("doc", "terms", start.alias("s"), (F.col("pos") - F.col("off") + F.col("n") + gap - start).alias("n"), exact)
     else:
-        begin = F.col("left") - F.col("off")
-        # the phrase is the part of the posting's surroundings that all lists agree on
-        hits = probes.filter((begin >= 0) & (F.slice(F.col("ctx"), F.greatest(begin, F.lit(0)) + 1, F.col("n")) == F.col("terms"))).select("doc", "terms", (F.col("pos") - F.col("off")).alias("s"), "n")
-    return hits.join(broadcast_if_small(windows.select("item", "terms"), WIDE_ROWS), "terms").select("doc", "item", "s", "n")
+        hits = probes.filter(phrase).select("doc", "terms", (F.col("pos") - F.col("off")).alias("s"), "n", exact)
+    return hits.join(broadcast_if_small(windows.select("item", "terms"), WIDE_ROWS), "terms").select("doc", "item", "s", "n", "exact")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs; with a gap also n_near_items.
+
+    The first six are of exact phrases; n_near_items counts the items with a proximity match, exact ones among them.
 
     Null and empty texts have no words and are clean, as is all with no items. Rows of one doc_id share their
     hits; rows with a null doc_id are counted but not searched.
     """
     docs = docs.select("doc_id", "text")
-    found = phrase_hits(docs.filter("doc_id is not null"), items.select("item_id", "text"), width)
-    spans = F.array_sort(F.collect_set(F.struct("s", "n")))
+    found = phrase_hits(docs.filter("doc_id is not null"), items.select("item_id", "text"), width, gap)
+    spans = F.array_sort(F.collect_set("exact"))
     hit = F.aggregate(
         spans, F.struct(F.lit(0).alias("to"), F.lit(0).alias("c")),
         lambda a, x: F.struct(F.greatest(a["to"], x["s"] + x["n"]).alias("to"), (a["c"] + F.greatest(x["s"] + x["n"] - F.greatest(a["to"], x["s"]), F.lit(0))).alias("c")),
         lambda a: a["c"],
     )
     by_doc = materialize(
-        found.groupBy("doc").agg(hit.cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-        .select(F.col("doc").alias("doc_id"), "n_hit", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("items"))
+        found.groupBy("doc").agg(hit.cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.when(F.col("exact").isNotNull(), F.col("item").cast("string")))).alias("items"), F.size(F.collect_set("item")).cast("long").alias("n_near_items"))
+        .select(F.col("doc").alias("doc_id"), "n_hit", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("items"), "n_near_items")
     )
     sized = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
     return sized.join(by_doc, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.coalesce("n_near_items", F.lit(0)).alias("n_near_items")] if gap else []),
     )
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), gap=NEAR_GAP)
 
 
 QUERIES = {"op4_decontamination": op4_decontamination}
