@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablarium.llm.common import broadcast_if_small, materialize, read
-from tablarium.llm.decontamination import phrase_hits
+from tablarium.llm.decontamination import phrase_hits, text_key
 from tablarium.llm.near_copies import without_near_copies
 from tablarium.llm.packing import pack
 from tablarium.llm.personal_data import personal_spans, redact
@@ -20,11 +20,6 @@ from tablarium.llm.quality_rules import judge, labelled_sample, learn_rules
 MAX_LABELLED = 20_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in ids. Rows with a null doc_id stay."""
-    return docs.join(broadcast_if_small(materialize(ids)), "doc_id", "left_anti")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or meet a learned rule go."""
     rules = learn_rules(labelled_sample(docs, read(spark, sf_dir, "labels"), MAX_LABELLED))
@@ -38,8 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = phrase_hits(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select(F.col("doc").alias("doc_id")).distinct())
+    # rows are searched by their text, as doc_ids can be null or repeated
+    keyed = docs.withColumn("key", text_key(F.col("text")))
+    found = phrase_hits(keyed.select(F.col("key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return keyed.join(broadcast_if_small(materialize(found.select(F.col("doc").alias("key")).distinct())), "key", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts apart; rows of one text have the same hits."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def test_windows(items: DataFrame, width: int, key: str = "item_id", text: str = "text") -> DataFrame:
     """item, n (words), terms of every window of `width` words; an item with fewer, but some, is one window."""
     t = items.select(F.col(key).alias("item"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
@@ -120,11 +125,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, gap: int =
 
     The first six are of exact phrases; n_near_items counts the items with a proximity match, exact ones among them.
 
-    Null and empty texts have no words and are clean, as is all with no items. Rows of one doc_id share their
-    hits; rows with a null doc_id are counted but not searched.
+    Null and empty texts have no words and are clean, as is all with no items. Each row is
+    searched by its text, so doc_ids can be null or repeated.
     """
-    docs = docs.select("doc_id", "text")
-    found = phrase_hits(docs.filter("doc_id is not null"), items.select("item_id", "text"), width, gap)
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    found = phrase_hits(docs.select(F.col("key").alias("doc_id"), "text"), items.select("item_id", "text"), width, gap)
     spans = F.array_sort(F.collect_set("exact"))
     hit = F.aggregate(
         spans, F.struct(F.lit(0).alias("to"), F.lit(0).alias("c")),
@@ -133,10 +138,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, gap: int =
     )
     by_doc = materialize(
         found.groupBy("doc").agg(hit.cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.when(F.col("exact").isNotNull(), F.col("item").cast("string")))).alias("items"), F.size(F.collect_set("item")).cast("long").alias("n_near_items"))
-        .select(F.col("doc").alias("doc_id"), "n_hit", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("items"), "n_near_items")
+        .select(F.col("doc").alias("key"), "n_hit", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("items"), "n_near_items")
     )
-    sized = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
-    return sized.join(by_doc, "doc_id", "left").select(
+    sized = docs.select("doc_id", "key", F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    return sized.join(broadcast_if_small(by_doc), "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         *([F.coalesce("n_near_items", F.lit(0)).alias("n_near_items")] if gap else []),
