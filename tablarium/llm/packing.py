@@ -7,86 +7,119 @@ find their place by their rank among those of their length.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablarium.llm.common import map_arrow, materialize, read
 
-#: A Python worker remembers the ids of up to about twice as many words; words in use outlast others.
-CACHE_WORDS = 250_000
+#: A Python worker remembers the ids of about so many words and marks; beyond, those in use stay.
+CACHE_UNITS = 250_000
 #: Pieces of one length and bucket that one window orders, about.
 BUCKET_ROWS = 50_000
+#: Bytes of text, about, that are encoded at once; a longer text is encoded alone.
+PART_BYTES = 8 << 20
 
-
-#: Words of lower-case Latin letters, with marks after them: one or two pieces that normalisation leaves as they are,
-#: so they go to the tokenizer's model directly.
-PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,]*)")
+#: Marks at a word's end that are pieces of their own, and words of lower-case Latin letters: normalisation leaves both as they
+#: are, so such words go to the tokenizer's model directly.
+MARKS = ".,"
+PLAIN_WORD = "^[a-zà-öø-ÿ]+$"
 #: Bytes that byte-level tokenizers write as characters from U+0100 on.
 BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
-def _encoder(path: str):
-    """bytes of a text to its ids as little-endian 32-bit numbers, by a tokenizer that never joins words over white space.
+def _spread(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists at, one after the other, and where each begins (and the last ends); list k is the next sizes[k] of flat."""
+    n = sizes[at]
+    edges = np.concatenate(([0], np.cumsum(n)))
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[at] - edges[:-1], n) + np.arange(edges[-1])], edges
+
 
-    Distinct words go to the tokenizer once in a worker's life; A-Z are made lower case first, as the tokenizer does,
-    but where its special tokens may occur.
+def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Texts to their ids, one after the other, and where each text's ids end; by a tokenizer that never joins words over white space.
+
+    Distinct words are parted into a plain word and the marks after it, and only units that aren't remembered go to the
+    tokenizer. A-Z are made lower case first, as the tokenizer does, but where its special tokens may occur.
     """
     holder = sys.modules.setdefault("_packing_tokenizers", types.ModuleType("_packing_tokenizers"))
     if path not in vars(holder):
         from tokenizers import Tokenizer
 
-        vars(holder)[path] = Tokenizer.from_file(path), [{}, {}]
-    tokenizer, known = vars(holder)[path]  # words since the last turn of the cache, and those before
-
-    model = tokenizer.model
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
-        recent, old = known
-        missing = [w for w in set().union(*split) if w not in recent]
-        new = [w for w in missing if w not in old]
-        recent.update((w, old[w]) for w in missing if w in old)
-        other = []
-        for w in new:
-            if m := PLAIN.fullmatch(w):
-                word, marks = m.groups()
-                if (ids := recent.get(word) or old.get(word)) is None:
-                    ids = recent[word] = array("I", [t.id for t in model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
-                recent[w] = ids + array("I", [t.id for t in model.tokenize(marks.decode())]).tobytes() if marks else ids
-            else:
-                other.append(w)
-        recent.update(zip(other, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)), strict=True))
-        if len(recent) > CACHE_WORDS:
-            known[:] = {}, recent
-        return [b"".join(map(recent.__getitem__, words)) for words in split]
+        # the units that are remembered, how many ids each has, and all these ids
+        vars(holder)[path] = Tokenizer.from_file(path), [pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.uint32)]
+    tokenizer, known = vars(holder)[path]
+    tokenize = tokenizer.model.tokenize
+
+    def learn(new: pa.Array) -> None:
+        plain = pc.match_substring_regex(new, PLAIN_WORD)
+        direct, other = new.filter(plain), new.filter(pc.invert(plain))
+        tokens = [tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(BYTE_CHARS)) for u in direct.to_pylist()]
+        rest = [e.ids for e in tokenizer.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
+        ids = [t.id for ts in tokens for t in ts] + [i for e in rest for i in e]
+        known[0] = pa.concat_arrays([known[0], direct, other])
+        known[1] = np.concatenate((known[1], np.array([*map(len, tokens), *map(len, rest)], np.int64)))
+        known[2] = np.concatenate((known[2], np.array(ids, np.uint32)))
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        places = split.flatten().dictionary_encode()
+        words = places.dictionary
+        stems = pc.utf8_rtrim(words, MARKS)
+        cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, PLAIN_WORD))
+        marks = pc.replace_with_mask(pa.array([""]).take(pa.array(np.zeros(len(words), np.int8))), cut, pc.replace_substring_regex(words.filter(cut), "^.*[^.,]", ""))
+        units = pa.concat_arrays([pc.if_else(cut, stems, words), marks]).dictionary_encode()
+        if len(known[0]) > CACHE_UNITS:  # those in use stay
+            used = pc.is_in(known[0], value_set=units.dictionary).to_numpy(zero_copy_only=False)
+            known[:] = known[0].filter(pa.array(used)), known[1][used], _spread(known[2], known[1], np.flatnonzero(used))[0]
+        learn(units.dictionary.filter(pc.invert(pc.is_in(units.dictionary, value_set=known[0]))))
+        at = pc.index_in(units.dictionary, value_set=known[0]).to_numpy()[units.indices.to_numpy()]
+        flat, edges = _spread(known[2], known[1], at.reshape(2, -1).T.ravel())
+        ids, ends = _spread(flat, np.diff(edges[::2]), places.indices.to_numpy())
+        return ids, ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
 
     return encode
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices [s, e) of about PART_BYTES of text."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // PART_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(texts)]
+    return zip(edges, edges[1:])
+
+
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each row's ids and the id `end`, cut every max_tokens. Null text is empty."""
+    """doc_id, piece, start, length, ids_crc32: each row's ids and the id `end`, cut every max_tokens. Null text is empty.
+
+    tokenizer: the file of one that makes A-Z lower case and never joins words over white space.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         last = array("I", [end]).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = []
-                for d, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += last
-                    for n, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                        piece = ids[at : at + 4 * max_tokens]
-                        rows.append((d, n, at // 4, len(piece) // 4, zlib.crc32(piece)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for s, e in _parts(batch.column(1)):
+                part = batch.slice(s, e - s)
+                ids, ends = encode(pc.fill_null(part.column(1), ""))
+                sizes = np.diff(ends, prepend=0) + 1
+                cuts = -(-sizes // max_tokens)
+                row = np.repeat(np.arange(len(sizes)), cuts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * max_tokens
+                length = np.minimum(sizes[row] - start, max_tokens)
+                raw, begin = memoryview(ids.tobytes()), 4 * (ends - sizes + 1)[row] + 4 * start
+                final = start + length == sizes[row]  # such a piece ends with `end`, which isn't in ids
+                sums = [zlib.crc32(last, c) if f else c for f, c in zip(final.tolist(), (zlib.crc32(raw[b : b + n]) for b, n in zip(begin.tolist(), (4 * (length - final)).tolist(), strict=True)), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
