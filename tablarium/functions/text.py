@@ -92,15 +92,36 @@ def keyword_regex(words: list[str]) -> str:
     return "(?U)(" + "|".join(f"\\b{w}\\b" if len(w) <= 4 else f"\\b{w}" for w in words) + ")"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: matches with offsets, from the pieces between them."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+def no_spans() -> Column:
+    return F.array().cast("array<struct<s:int,e:int,m:string>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["b"]
-        span = F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"))
+
+#: Matches whose offsets are summed up at once; what is appended to an array copies it.
+_BLOCK = 128
+
+
+def place(found: Column, between: Column) -> Column:
+    """array<struct<s, e, m>>: matches with offsets in code points, from the pieces before, between and after them."""
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b"), (F.length(b) + F.length(m)).alias("n")))
+
+    def one(acc: Column, x: Column) -> Column:
+        span = F.struct((acc["at"] + x["b"]).alias("s"), (acc["at"] + x["n"]).alias("e"), x["m"].alias("m"))
         return F.struct(span["e"].alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, begin, add, lambda acc: acc["out"])
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["at"].alias("at"), no_spans().alias("out")), one, lambda a: a["out"])
+        size = F.aggregate(xs, F.lit(0), lambda n, x: n + x["n"])
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(done)).alias("out"))
+
+    def blocks(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(_BLOCK))
+        parts = F.transform(starts, lambda k: F.slice(xs, k + 1, F.lit(_BLOCK)))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,m:string>>>").alias("out"))
+        return F.flatten(F.aggregate(parts, begin, block, lambda acc: acc["out"]))
+
+    return let(pairs, blocks)
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, m>>: matches with offsets, from the pieces between them."""
+    return place(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
