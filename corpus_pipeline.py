@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import broadcast_if_small, materialize, read
+from tablarium.llm.common import broadcast_if_small, fresh, materialize, read
 from tablarium.llm.decontamination import phrase_hits, text_key
 from tablarium.llm.near_copies import without_near_copies
 from tablarium.llm.packing import pack
@@ -41,9 +41,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in brackets; n_chars follows."""
-    found = personal_spans(docs, tuple(docs.columns))
-    text = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    done = found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    name = fresh("spans", *docs.columns)
+    found = personal_spans(docs, tuple(docs.columns), name)
+    some = F.size(name) > 0
+    text = F.when(some, redact(F.col("text"), F.col(name))).otherwise(F.col("text"))
+    done = found.withColumn("text", text).withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 

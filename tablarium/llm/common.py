@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablarium.functions.text import no_spans, place
+
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -26,18 +28,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The application's folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The application's folder below spark.checkpoint.dir. Where that is unset, a temporary one in local mode; else an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _path(spark: SparkSession, path: str):
+    """The file system of path, and path, as Hadoop objects."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """Write df as Parquet to the shared folder and read it back, which cuts lineage and survives lost executors.
+
+    The table is deleted by discard(), or else when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() has returned and nothing reads any more."""
+    for t in tables:
+        fs, p = _path(t.sparkSession, t._written)
+        fs.delete(p, True)
+
+
+def fresh(name: str, *others: str) -> str:
+    """name, with underscores after it until no other name is like it."""
+    taken = {o.lower() for o in others}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -77,17 +111,7 @@ def regex_spans(text: Column, pattern: str, gate: str | None = None) -> Column:
     gate: a cheaper regex that finds something wherever pattern does.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.split(text, pattern, -1)
-    step = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-
-    def merge(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["b"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-
-    spans = F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("out")), merge, lambda acc: acc["out"])
-    return F.when(text.rlike(gate or pattern), spans).otherwise(empty)
+    return F.when(text.rlike(gate or pattern), place(found, F.split(text, pattern, -1))).otherwise(no_spans())
 
 
 def span_list(spans: Column) -> Column:

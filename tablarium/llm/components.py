@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import materialize
+from tablarium.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.dropna().filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     mark = None
     while True:
-        now = materialize(_star(_star(now, large=True), large=False))
+        before, now = now, materialize(_star(_star(now, large=True), large=False))
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == mark:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

@@ -1,7 +1,9 @@
-"""Benchmark decontamination: a positional inverted index of training tokens, probed by test windows.
+"""Benchmark decontamination: a distributed positional inverted index of the training tokens, intersected with test windows.
 
-Each test window is looked up by its rarest term. The index holds the positions of those terms, each with
-the tokens around it; a window is compared with those tokens. Other terms have no postings.
+Postings are rows of (term, document, position). A window's candidate places come from the postings of its rarest term,
+less its offset there; these are intersected with the list of its second rarest term, likewise adjusted, and what is left
+with the lists of all its terms. Only the lists that a step needs are stored: those of the two rarest terms of the windows
+over all documents, then those of all terms of the windows over the documents that still have a candidate.
 """
 
 from __future__ import annotations
@@ -9,16 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import ascii_lower, broadcast_if_small, materialize, read
+from tablarium.llm.common import ascii_lower, broadcast_if_small, discard, materialize, read
 
 #: What separates words once A-Z are lower case: ASCII other than digits and letters.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The filter on terms has at least this many bits a term, and is a constant of the plan.
-FILTER_BITS_A_TERM = 32
-#: More anchor terms than this aren't told by a filter in the plan but by a join of all postings.
-MAX_FILTER_TERMS = 200_000
-#: Most windows, with their terms, that are broadcast.
-WIDE_ROWS = 50_000
 #: Places by which a term may lie off in the proximity matches of op4_decontamination.
 NEAR_GAP = 2
 
@@ -29,7 +25,7 @@ def tokens(text: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """Tells texts apart; rows of one text have the same hits."""
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def test_windows(items: DataFrame, width: int, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -40,84 +36,72 @@ def test_windows(items: DataFrame, width: int, key: str = "item_id", text: str =
     return w.select("item", F.size("terms").alias("n"), "terms").distinct()
 
 
-def _filter_words(terms: list[str], spark: SparkSession) -> tuple[list[int], int]:
-    """A bitmap, as longs, over hashes of the terms, and the number of its bits (a power of 2)."""
-    bits = 64
-    while bits < FILTER_BITS_A_TERM * len(terms):
-        bits *= 2
-    words = [0] * (bits // 64)
-    hashes = spark.createDataFrame([(t,) for t in terms], "t string").select(F.xxhash64("t").bitwiseAND(F.lit(bits - 1))).collect() if terms else []
-    for (h,) in hashes:
-        words[h >> 6] |= 1 << (h & 63)
-    return [w - (1 << 64) if w >> 63 else w for w in words], bits
+def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The positional index for `terms` (term, tid): tid, doc, pos, once for all rows of one key."""
+    t = docs.select(F.col(key).alias("doc"), F.posexplode_outer(tokens(F.col(text))).alias("pos", "term"))
+    return t.join(broadcast_if_small(terms.select("term", "tid")), "term").select("tid", "doc", "pos").distinct()
 
 
-def _maybe(term: Column, words: list[int], bits: int, spark: SparkSession) -> Column:
-    h = F.xxhash64(term).bitwiseAND(F.lit(bits - 1))
-    word = F.get(F.lit(words).cast("array<bigint>"), F.shiftright(h, 6).cast("int"))
-    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """vocabulary (term, tid) with tf, the term's number of occurrences in all docs."""
+    seen = docs.select(F.explode_outer(tokens(F.col(text))).alias("term")).join(broadcast_if_small(vocabulary), "term").groupBy("tid").agg(F.count("*").alias("tf"))
+    return vocabulary.join(seen, "tid", "left").select("term", "tid", F.coalesce("tf", F.lit(0)).alias("tf"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, around: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The positional index for `terms` (column term): term, key, pos and ctx, the tokens from pos - around to pos + around.
+def _shifted(places: DataFrame, tid: str, pos: Column, gap: int) -> DataFrame:
+    """places with want (tid) and pos of each place up to gap away, and shift."""
+    return places.withColumn("shift", F.explode(F.array(*map(F.lit, range(-gap, gap + 1))))).withColumns({"want": F.col(tid), "pos": pos + F.col("shift")})
 
-    left is the number of tokens of ctx before pos.
-    """
-    spark = docs.sparkSession
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
-    if (n := terms.count()) > MAX_FILTER_TERMS:
-        keep = lambda x: F.lit(True)
-    else:
-        words, bits = _filter_words([r[0] for r in terms.collect()] if n else [], spark)
-        keep = lambda x: _maybe(x, words, bits, spark)
-    at = F.filter(F.transform("t", lambda x, i: F.when(keep(x), i)), lambda i: i.isNotNull())
-    near = t.select("doc", "t", at.alias("at"))
-    lists = F.transform(
-        "at",
-        lambda i: F.struct(
-            F.get(F.col("t"), i).alias("term"), i.alias("pos"), F.least(i, F.lit(around)).alias("left"),
-            F.slice(F.col("t"), F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1).alias("ctx"),
-        ),
-    )
-    # explode_outer, as Spark would push the filter size(p) > 0 of explode() below and build p twice
-    return near.select("doc", lists.alias("p")).select("doc", F.explode_outer("p").alias("p")).filter("p is not null").select("p.term", "doc", "p.pos", "p.left", "p.ctx").join(broadcast_if_small(terms), "term", "left_semi")
 
-
-def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
-    """term and tf, its number of occurrences in all docs, for each term of vocabulary."""
-    seen = docs.select(F.explode_outer(tokens(F.col(text))).alias("term")).join(broadcast_if_small(vocabulary), "term", "left_semi")
-    return vocabulary.join(seen.groupBy("term").agg(F.count("*").alias("tf")), "term", "left").select("term", F.coalesce("tf", F.lit(0)).alias("tf"))
+def _in(lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    return wanted.join(lists.withColumnRenamed("tid", "want"), ["doc", "want", "pos"])
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0) -> DataFrame:
     """doc, item, s, n: where a test window lies in a document, as s and n of its tokens; exact: its struct of s and n if it is an exact phrase.
 
-    gap 0: exact phrases. gap > 0: proximity; the anchor must have, at each other offset of the window, the term
-    no more than gap places away; s and n are then those of the span around it.
+    docs: doc_id (rows of one doc_id have one text) and text. gap 0: exact phrases. gap > 0: proximity; for a place of the
+    rarest term, each other term of the window must lie no more than gap places from its own; s and n are then those of
+    the span around it.
     """
     windows = materialize(test_windows(items, width))
-    shared = windows.select("n", "terms").distinct()
-    vocabulary = shared.select(F.explode("terms").alias("term")).distinct()
+    shared = materialize(windows.select("n", "terms").distinct().withColumn("w", F.monotonically_increasing_id()))
+    vocabulary = materialize(shared.select(F.explode("terms").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()))
     counts = materialize(term_counts(docs, vocabulary))
-    each = shared.select(F.col("terms"), "n", F.posexplode("terms").alias("off", "term")).join(broadcast_if_small(counts), "term")
-    # the rarest term of each window; a window with a term that never occurs can't
-    rarest = materialize(
-        each.groupBy("terms", "n").agg(F.min("tf").alias("least"), F.min(F.struct("tf", "term", "off")).alias("r")).filter("least > 0").select("terms", "n", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
-    )
-    index = postings(docs, rarest.select("term").distinct(), width - 1 + gap)
-    probes = index.join(broadcast_if_small(rarest, WIDE_ROWS), "term")
-    begin = F.col("left") - F.col("off")
-    # the phrase is the part of the posting's surroundings that equals the window
-    phrase = (begin >= 0) & (F.slice(F.col("ctx"), F.greatest(begin, F.lit(0)) + 1, F.col("n")) == F.col("terms"))
-    exact = F.when(phrase, F.struct((F.col("pos") - F.col("off")).alias("s"), "n")).alias("exact")
+    each = materialize(shared.select("w", "n", F.posexplode("terms").alias("off", "term")).join(broadcast_if_small(counts), "term").select("w", "n", "off", "tid", "tf"))
+    # by rarity; a window with a term that never occurs can't occur
+    r = F.array_sort(F.collect_list(F.struct("tf", "off", "tid"))).alias("r")
+    ranked = each.groupBy("w", "n").agg(r).filter(F.get("r", F.lit(0))["tf"] > 0)
+    steps = materialize(ranked.select("w", "n", *[F.get("r", F.lit(k))[f].alias(f"{f}{k + 1}") for k in (0, 1) for f in ("tid", "off")]))
+
+    # the rarest term gives the places, the second rarest confirms them
+    rare = steps.select(F.explode(F.array("tid1", "tid2")).alias("tid")).dropna().distinct()
+    index = materialize(postings(docs, counts.join(broadcast_if_small(rare), "tid", "left_semi")))
+    places = index.join(broadcast_if_small(steps), F.col("tid") == F.col("tid1")).select("w", "n", "doc", (F.col("pos") - F.col("off1")).alias("at"), "tid2", "off2").filter(F.col("at") >= -gap)
+    second = _in(index, _shifted(places.filter("tid2 is not null"), "tid2", F.col("at") + F.col("off2"), gap)).select("w", "n", "doc", "at")
+    left = materialize(places.filter("tid2 is null").select("w", "n", "doc", "at").unionByName(second).distinct())
+
+    # the lists of all terms, in the documents that are left
+    where = materialize(left.select("doc").distinct())
+    keyed = docs.select(F.col("doc_id").alias("doc"), "text").join(broadcast_if_small(where), "doc", "left_semi")
+    lists = materialize(postings(keyed, counts, key="doc"))
+    terms = each.select("w", "off", "tid")
+
+    def met(candidates: DataFrame, reach: int) -> DataFrame:
+        wanted = _shifted(candidates.join(broadcast_if_small(terms), "w"), "tid", F.col("at") + F.col("off"), reach)
+        return _in(lists, wanted).groupBy("w", "n", "doc", "at").agg(F.size(F.collect_set("off")).alias("terms")).filter("terms = n").drop("terms")
+
+    exact = materialize(met(left, 0))
+    hits = exact.select("w", "doc", F.col("at").alias("s"), "n", F.struct(F.col("at").alias("s"), "n").alias("exact"))
     if gap:
-        wanted = F.transform("terms", lambda t, k: F.struct(t.alias("t"), (F.col("left") + k - F.col("off")).alias("i")))
-        ok = F.forall(wanted, lambda x: F.array_contains(F.slice(F.col("ctx"), F.greatest(x["i"] - gap, F.lit(0)) + 1, F.greatest(F.least(x["i"] + gap + 1, F.lit(2 * gap + 1)), F.lit(0))), x["t"]) & (x["i"] + gap >= 0))
-        start = F.greatest(F.col("pos") - F.col("off") - gap, F.lit(0))
-        hits = probes.filter(ok).select("doc", "terms", start.alias("s"), (F.col("pos") - F.col("off") + F.col("n") + gap - start).alias("n"), exact)
-    else:
-        hits = probes.filter(phrase).select("doc", "terms", (F.col("pos") - F.col("off")).alias("s"), "n", exact)
-    return hits.join(broadcast_if_small(windows.select("item", "terms"), WIDE_ROWS), "terms").select("doc", "item", "s", "n", "exact")
+        near = met(left.join(exact, ["w", "n", "doc", "at"], "left_anti"), gap)
+        start = F.greatest(F.col("at") - gap, F.lit(0))
+        spans = near.select("w", "doc", start.alias("s"), (F.col("at") + F.col("n") + gap - start).alias("n"), F.lit(None).cast("struct<s:int,n:int>").alias("exact"))
+        hits = hits.unionByName(spans)
+    of = materialize(windows.join(shared, ["n", "terms"]).select("item", "w"))
+    hits = materialize(hits.join(broadcast_if_small(of), "w").select("doc", "item", "s", "n", "exact"))
+    discard(windows, shared, vocabulary, counts, each, steps, index, left, where, lists, exact, of)
+    return hits
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, gap: int = 0) -> DataFrame:
@@ -125,8 +109,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, gap: int =
 
     The first six are of exact phrases; n_near_items counts the items with a proximity match, exact ones among them.
 
-    Null and empty texts have no words and are clean, as is all with no items. Each row is
-    searched by its text, so doc_ids can be null or repeated.
+    Null and empty texts have no words and are clean, as is all with no items; long texts are searched whole. Each row is
+    searched by its text, so doc_ids can be null or repeated. No rows: no rows.
     """
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     found = phrase_hits(docs.select(F.col("key").alias("doc_id"), "text"), items.select("item_id", "text"), width, gap)

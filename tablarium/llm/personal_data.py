@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import materialize, read, regex_spans, span_list
+from tablarium.llm.common import fresh, materialize, read, regex_spans, span_list
 
 #: kind: (regular expression, whether it is a base kind). Lookbehinds only skip starts that cannot be leftmost.
 KINDS = {
@@ -70,25 +70,26 @@ def _listed(kind: str, m: Column) -> Column:
     }[kind]
 
 
-def candidate_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `spans`: structs s, k, e, kind, base, the VOTES and the features len and share of every candidate."""
-    docs = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+def candidate_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
+    """docs with the column `name`: structs s, k, e, kind, base, the VOTES and the features len and share of every candidate."""
+    whole = fresh("whole", *docs.columns)
+    docs = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     columns = []
     for order, (kind, (pattern, base)) in enumerate(KINDS.items()):
-        found = regex_spans(F.col("_t"), pattern)
+        found = regex_spans(F.col(whole), pattern)
         if base:
             found = F.filter(found, _checker(kind))
-        columns.append(F.transform(found, _voter(kind, order, base)))
-    return docs.withColumn("spans", F.array_sort(F.concat(*columns))).drop("_t")
+        columns.append(F.transform(found, _voter(F.col(whole), kind, order, base)))
+    return docs.withColumn(name, F.array_sort(F.concat(*columns))).drop(whole)
 
 
 def _checker(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _voter(kind: str, order: int, base: bool):
+def _voter(t: Column, kind: str, order: int, base: bool):
     def votes(x: Column) -> Column:
-        t, m = F.col("_t"), x["m"]
+        m = x["m"]
         start = F.greatest(x["s"] - AROUND, F.lit(0))
         before, after = F.substring(t, start + 1, x["s"] - start), F.substring(t, x["e"] + 1, F.lit(AROUND))
         near = F.concat(before, F.lit(" "), after)
@@ -178,22 +179,24 @@ def fit_span_classifier(spans: DataFrame, model: LabelModel) -> SpanClassifier:
     return SpanClassifier(math.log((mass + 1) / (total - mass + 1)), odds)
 
 
-def personal_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs and `spans` (s, k, e, kind; by start, then kind): base spans, and others that the model takes.
+def personal_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str = "spans") -> DataFrame:
+    """The columns `keep` of docs and `name` (s, k, e, kind; by start, then kind): base spans, and others that the model takes.
 
     The votes of all candidates in all rows are counted. A span that isn't of a base kind stays if the label model's
-    and the classifier's log odds have a positive mean. Null text is empty; without candidates nothing is fitted.
+    and the classifier's log odds have a positive mean. Null and empty texts have no spans; long texts are searched
+    whole; repeated rows and null doc_ids are rows like others; without candidates nothing is fitted. A column of docs
+    called like `name` isn't kept.
     """
-    found = materialize(candidate_spans(docs).select(*keep, "spans"))
-    spans = found.select(F.explode("spans").alias("x"))
+    found = materialize(candidate_spans(docs.drop(name), name=name).select(*keep, name))
+    spans = found.select(F.explode(name).alias("x"))
     patterns = spans.groupBy(*[F.col(f"x.{v}").alias(v) for v in VOTES]).count().collect()
     none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
     if not patterns:
-        return found.select(*keep, none.alias("spans"))
+        return found.select(*keep, none.alias(name))
     model = fit_label_model([(tuple(r[v] for v in VOTES), r["count"]) for r in sorted(patterns)])
     classifier = fit_span_classifier(spans, model)
-    taken = F.filter("spans", lambda x: x["base"] | (_by_votes(model, x) + classifier.score(x) > 0))
-    return found.select(*keep, F.transform(taken, lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"])).alias("spans"))
+    taken = F.filter(name, lambda x: x["base"] | (_by_votes(model, x) + classifier.score(x) > 0))
+    return found.select(*keep, F.transform(taken, lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"])).alias(name))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

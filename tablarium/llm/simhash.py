@@ -75,7 +75,9 @@ def simhash_groups(docs: DataFrame, distance: int = 3, size: int = 3) -> DataFra
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text"), size=size))
     ids = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    near = materialize(links(ids.select("fp"), distance).distinct())
+    # as many partitions as set, since each of the few rows becomes 66
+    spread = ids.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    near = materialize(links(spread, distance).distinct())
     of = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     roots = ids.join(of, ids["fp"] == of["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     roots = roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
