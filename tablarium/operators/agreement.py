@@ -80,3 +80,18 @@ def stratified_split(rows: DataFrame, stratum: list[str], key: str, share: float
 def hard_tags(note: Column, known: list[str]) -> Column:
     """Distinct known tags of a note (#tag), in order."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(note), F.lit("#([\\w-]+)"), F.lit(1)), lambda t: t.isin(*known)))
+
+
+def krippendorff_ratio(labels: DataFrame) -> DataFrame:
+    """N, alpha of rows (unit, value) on a ratio scale. Pairs are made of distinct values with their counts, within units and over all."""
+    known = labels.filter("value is not null").select("unit", F.col("value").cast("double").alias("value"))
+    sizes = known.groupBy("unit").agg(F.count("*").alias("m")).filter("m >= 2")
+    cells = known.join(sizes, "unit").groupBy("unit", "m", "value").agg(F.count("*").alias("c"))
+    apart = lambda a, b: F.coalesce(((a - b) / F.nullif(a + b, F.lit(0.0))) ** 2, F.lit(0.0))
+    other = cells.select("unit", F.col("value").alias("w"), F.col("c").alias("k"))
+    within = cells.join(other, "unit").filter("value < w").agg(F.sum(2 * F.col("c") * F.col("k") * apart(F.col("value"), F.col("w")) / (F.col("m") - 1)).alias("o"))
+    bag = cells.groupBy("value").agg(F.sum("c").alias("c"))  # a scale's values
+    whole = bag.join(bag.select(F.col("value").alias("w"), F.col("c").alias("k")), F.col("value") < F.col("w")).agg(F.sum(2.0 * F.col("c") * F.col("k") * apart(F.col("value"), F.col("w"))).alias("e"))
+    total = cells.agg(F.sum("c").alias("n")).join(within).join(whole)  # one row each
+    alpha = F.when(F.coalesce("e", F.lit(0.0)) == 0, 1.0).otherwise(1 - (F.coalesce("o", F.lit(0.0)) / F.col("n")) / (F.col("e") / F.col("n") / (F.col("n") - 1)))
+    return total.select("n", F.round(alpha, 6).alias("alpha"))

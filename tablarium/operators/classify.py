@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import keyword_regex, tr_fold_ascii
+from tablarium.functions.text import keyword_regex, let, tr_fold_ascii
 
 #: Keywords (folded) by type, special types before general ones.
 TYPES = {
@@ -23,14 +23,16 @@ LAYERS = {"rule": 3, "ner": 2, "llm": 1}
 
 def campaign_type(text: Column) -> Column:
     """Struct type, confidence; most distinct keywords, then the earlier type. No keyword: null type, 0."""
-    low = tr_fold_ascii(text)
+    return let(tr_fold_ascii(text), _type)
+
+
+def _type(low: Column) -> Column:
     scores = [
         F.struct(sum((low.rlike(keyword_regex([w])).cast("int") for w in words), F.lit(0)).alias("hits"), F.lit(-k).alias("rank"), F.lit(name).alias("type"))
         for k, (name, words) in enumerate(TYPES.items())
     ]
-    best = F.array_max(F.array(*scores))
-    found = best["hits"] > 0
-    return F.struct(F.when(found, best["type"]).alias("type"), F.when(found, F.least(F.lit(0.9), 0.5 + 0.1 * best["hits"])).otherwise(0.0).alias("confidence"))
+    kind = lambda best: F.struct(F.when(best["hits"] > 0, best["type"]).alias("type"), F.when(best["hits"] > 0, F.least(F.lit(0.9), 0.5 + 0.1 * best["hits"])).otherwise(0.0).alias("confidence"))
+    return let(F.array_max(F.array(*scores)), kind)
 
 
 def reconcile(fields: DataFrame, keys: list[str], by_confidence: bool = False) -> DataFrame:

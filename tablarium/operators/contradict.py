@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_date
 from tablarium.functions.text import let
+from tablarium.operators.fields import extract_all, field
 
 #: Dates, statements of a campaign's end, marks of expired and of segment pages, parts of paths that name no product.
 DATE = "(?:\\d{1,2}[./]\\d{1,2}[./]\\d{4}|\\d{4}-\\d{1,2}-\\d{1,2}|\\d{1,2}\\s+[A-Za-zÇĞİÖŞÜçğıöşü]+\\s+\\d{4})"
@@ -15,7 +16,11 @@ END_CLAIMS = [
     f"(?iu)kampanya[^.]{{0,80}}?{DATE}\\s*[-–—]\\s*({DATE})\\s*tarihleri\\s+aras[ıi]nda[^.]{{0,60}}?ge[çc]erli",
     f"(?iu)kampanya\\s+ba[şs]lang[ıi][çc]\\s*(?:ve\\s*)?biti[şs]\\s*(?:tarihi\\s*)?:?\\s*{DATE}\\s*[-–—]\\s*({DATE})",
 ]
-WINDOW_END = f"(?iu)kampanya[^.]{{0,80}}?(?:{DATE}\\s*[-–—]\\s*{DATE}|{DATE}\\s*tarihine\\s+(?:kadar|dek))"
+_MONTH = "[A-Za-zÇĞİÖŞÜçğıöşü]+"
+WINDOW_END = (
+    f"(?iu)kampanya[^.]{{0,80}}?(?:{DATE}\\s*[-–—]\\s*{DATE}|{DATE}\\s*tarihine\\s+(?:kadar|dek)|"
+    f"\\d{{1,2}}\\s*[-–—]\\s*\\d{{1,2}}\\s+{_MONTH}\\s+\\d{{4}}|\\d{{1,2}}\\s+{_MONTH}\\s*[-–—]\\s*\\d{{1,2}}\\s+{_MONTH}\\s+\\d{{4}})"
+)
 SELF_EXPIRED = "(?iu)s[üu]resi\\s+dolmu[şs]|sona\\s+erdi|sona\\s+ermi[şs]|biten\\s+kampanya|ge[çc]mi[şs]\\s+kampanya"
 ARCHIVE = "(?iu)arsiv|ar[şs]iv|archive|biten"
 SEGMENT = (
@@ -57,6 +62,39 @@ def expired_but_published(url: Column, text: Column, as_of: Column) -> Column:
     return F.when(fits, let(end_dates(text), lambda d: F.when((F.size(d) == 1) & (F.get(d, F.lit(0)) < as_of), F.get(d, F.lit(0)))))
 
 
+def fee_contradictions(claim: Column, fee: Column) -> Column:
+    """array<struct<kind, low, high>> of two fields of extract_all(): a denied fee beside a positive one in its scope, or with an amount."""
+    denied = ~claim["has_fee"]
+    level = positive(fee["value"], fee["amount"], fee["rate"])
+    near = in_same_scope(claim["s"], claim["e"], fee["s"], fee["e"])
+    found = lambda kind, when, value: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("low"), value.cast("string").alias("high")))
+    return F.array_compact(F.array(found("masrafsiz_ama_ucret", denied & level.isNotNull() & near, level), found("masrafsiz_ama_tutar", denied & (claim["amount"] > 0), claim["amount"])))
+
+
+def conflicting_end_dates(text: Column) -> Column:
+    """Struct kind, low, high if the text says that the campaign ends on different days; else null."""
+    return let(end_dates(text), lambda d: F.when(F.size(d) > 1, F.struct(F.lit("celisen_kampanya_bitisi").alias("kind"), F.array_min(d).cast("string").alias("low"), F.array_max(d).cast("string").alias("high"))))
+
+
+def detect(pages: DataFrame) -> DataFrame:
+    """pages' columns, kind, low, high of each contradiction within a page (url, text, as_of; a null as_of leaves out what depends on the day).
+
+    One projection; a page without contradictions has no row.
+    """
+    fees = let(extract_all(F.col("text")), lambda f: fee_contradictions(field(f, "masraf_durumu"), field(f, "tahsis_ucreti")))
+    ended = expired_but_published(F.col("url"), F.col("text"), F.col("as_of"))
+    expired = let(ended, lambda d: F.when(d.isNotNull(), F.struct(F.lit("suresi_dolmus_kampanya").alias("kind"), d.cast("string").alias("low"), F.col("as_of").cast("string").alias("high"))))
+    found = F.concat(fees, F.array_compact(F.array(conflicting_end_dates(F.col("text")), expired)))
+    return pages.withColumn("found", F.explode_outer(found)).filter("found is not null").select(*pages.columns, "found.*")
+
+
+def scan(pages: DataFrame) -> DataFrame:
+    """Kind, scope, n over all pages (bank, url, text, seq, as_of, lo, hi): contradictions within pages and between pages of a product."""
+    within = detect(pages.select("url", "text", "as_of")).select("kind", F.lit("intra").alias("scope"))
+    across = detect_across(product_groups(pages)).select("kind", F.lit("cross").alias("scope"))
+    return within.unionByName(across).groupBy("kind", "scope").agg(F.count("*").alias("n"))
+
+
 def product_key(url: Column) -> Column:
     """The last part of the path that names a product, of 8 characters or more; null for local files."""
     parts = F.slice(F.split(F.regexp_replace(url, "^.*://", ""), "/"), F.lit(2), F.lit(10_000))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablarium.operators.rank import ordinal
+
 
 def score_decisions(decisions: DataFrame) -> DataFrame:
     """Confusion counts by field of decisions (field, gold, pred, absent). A wrong value is a false positive and a false negative."""
@@ -29,10 +31,44 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
+def micro(counts: DataFrame) -> DataFrame:
+    """One row of counts over all fields, with their rates."""
+    names = ("tp", "fp", "fn", "tn", "hallucinated")
+    return rates(counts.agg(*[F.sum(c).alias(c) for c in names]))
+
+
+def macro_f1(counts: DataFrame) -> DataFrame:
+    """Mean F1 of the fields that the gold data have values of; none: 0."""
+    return rates(counts).agg(F.round(F.coalesce(F.avg(F.when(F.col("tp") + F.col("fn") > 0, F.col("f1"))), F.lit(0.0)), 6).alias("macro_f1"))
+
+
+def select_split(records: DataFrame, split: str) -> DataFrame:
+    """All, hard (with hard_tags) or easy records."""
+    if split not in ("all", "hard", "easy"):
+        raise ValueError(f"unknown split {split!r}")
+    hard = F.coalesce(F.size("hard_tags") > 0, F.lit(False))
+    return records if split == "all" else records.filter(hard if split == "hard" else ~hard)
+
+
+def by_hard_tag(decisions: DataFrame) -> DataFrame:
+    """Counts by tag and field of decisions (hard_tags, field, gold, pred, absent); a document counts for each of its tags."""
+    tagged = decisions.withColumn("tag", F.explode(F.array_distinct("hard_tags")))
+    return score_decisions(tagged.withColumn("field", F.struct("tag", "field"))).select("field.tag", "field.field", "tp", "fp", "fn", "tn", "hallucinated")
+
+
 def percentiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    """Interpolated and nearest-rank percentiles."""
-    p = [F.percentile(column, F.lit(q)).alias(f"p{round(q * 100)}") for q in at]
-    return df.agg(*p, *[F.expr(f"percentile_disc({q}) within group (order by {column})").alias(f"d{round(q * 100)}") for q in at])
+    """Interpolated and nearest-rank percentiles, from the values' counts, which are ordered in parts; nulls don't count."""
+    order = ordinal(df.filter(F.col(column).isNotNull()), [], column)
+    rows = order.crossJoin(order.agg(F.sum("n").alias("size")))  # one row
+    value = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(column)))
+    out = []
+    for q in at:
+        h = (F.col("size") - 1) * F.lit(q)
+        low = value(F.floor(h))
+        share = F.max(h - F.floor(h))
+        out.append((low + (value(F.ceil(h)) - low) * share).alias(f"p{round(q * 100)}"))
+    out += [value(F.greatest(F.ceil(F.col("size") * F.lit(q)) - 1, F.lit(0))).alias(f"d{round(q * 100)}") for q in at]
+    return rows.agg(*out)
 
 
 def paired_counts(pairs: DataFrame) -> DataFrame:

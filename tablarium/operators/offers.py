@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_money, parse_tr_number
-from tablarium.functions.text import let, match_spans, split_sentences
+from tablarium.functions.text import keyword_regex, let, match_spans, split_sentences, tr_fold_ascii
 
 #: Words and patterns of each field, ranges of plausible numbers, parts of the confidence.
 REWARD = "(?iu)hediye|para\\s*puan|cashback|nakit\\s*iade|iade|bonus|çek|kazan[\\wçğıöşü]*|ödül"
@@ -80,7 +80,7 @@ def audience(text: Column) -> Column:
 def conditions(text: Column) -> Column:
     """The first eight sentences of 20 to 400 characters that state a condition and aren't boilerplate; null if there is none."""
     good = lambda s: s.rlike(CONDITION) & ~s.rlike(BOILERPLATE) & F.length(s).between(20, 400)
-    picked = F.slice(F.filter(F.transform(split_sentences(text), F.trim), good), F.lit(1), F.lit(8))
+    picked = F.slice(F.filter(F.transform(split_sentences(text), lambda s: F.trim(s)), good), F.lit(1), F.lit(8))
     return let(picked, lambda p: F.when(F.size(p) > 0, p))
 
 
@@ -114,3 +114,29 @@ def locate_span(text: Column, start: Column, end: Column, raw: Column, window: C
 def confidence_level(c: Column) -> Column:
     """N13"""
     return F.when(c >= 0.85, "high").when(c >= 0.6, "medium").when(c.isNotNull(), "low").otherwise("unknown")
+
+
+#: Claims about rates that name no number (folded), and phrases of terms by concept (folded).
+CLAIMS = [
+    "avantajli kar payi", "avantajli oran", "ozel oranli", "ozel oran", "dusuk maliyetli", "uygun maliyetli", "cazip oran", "avantajli finansman", "avantajli fiyat",
+]
+TERMS = {
+    "finansman_maliyeti": ["finansman maliyeti", "toplam geri odeme", "toplam maliyet", "yillik maliyet orani"],
+    "katilim_fonu": ["katilim fonu", "katilma hesabi", "kar-zarar paylasimi"],
+}
+
+
+def rate_claim(text: Column) -> Column:
+    """The longest claim without a number in the text, folded; null if there is none. It never becomes a rate."""
+    return let(tr_fold_ascii(text), lambda t: F.coalesce(*[F.when(t.rlike(keyword_regex([c])), c) for c in sorted(CLAIMS, key=len, reverse=True)]))
+
+
+def term_hits(text: Column) -> Column:
+    """Map of the concepts in the text to their first phrase, folded."""
+
+    def hits(t: Column) -> Column:
+        first = {k: F.coalesce(*[F.when(t.rlike(keyword_regex([p])), p) for p in phrases]) for k, phrases in TERMS.items()}
+        pairs = F.array_compact(F.array(*[F.when(p.isNotNull(), F.struct(F.lit(k).alias("k"), p.alias("p"))) for k, p in first.items()]))
+        return F.map_from_entries(pairs)
+
+    return let(tr_fold_ascii(text), hits)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablarium.functions import normalize as N
 from tablarium.functions import text as T
-from tablarium.operators import classify, evaluate, extract, rank, retrieve, store
+from tablarium.operators import classify, contradict, evaluate, extract, fields, rank, retrieve, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,7 +181,7 @@ def reconcile_layers(spark, d):
     return classify.reconcile(rows, ["l_orderkey"]).drop("seq")
 
 
-def _whole_store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Banks from nations, campaigns from all customers, fields from orders."""
     banks = table(spark, d, "nation").select(F.col("n_nationkey").alias("bank_id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"))
     campaigns = table(spark, d, "customer").select(F.col("c_custkey").alias("campaign_id"), F.col("c_nationkey").alias("bank_id"), F.col("c_mktsegment").alias("campaign_type"))
@@ -190,15 +190,9 @@ def _whole_store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return banks, campaigns, fields
 
 
-def _store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole store, but campaigns of even nations only, as the SQL of its queries has it; the queries named ..._whole have all."""
-    banks, campaigns, fields = _whole_store(spark, d)
-    return banks, campaigns.filter("bank_id % 2 = 0"), fields
-
-
 @query("""
 SELECT o_orderkey AS seq, c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type, o_totalprice AS value
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 2 = 0 AND o_orderpriority = '1-URGENT'""")
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'""")
 def query_fields_join(spark, d):
     """S01"""
     banks, campaigns, fields = _store(spark, d)
@@ -206,37 +200,13 @@ def query_fields_join(spark, d):
 
 
 @query("""
-SELECT (SELECT count(*) FROM nation) AS banks, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS campaigns,
+SELECT (SELECT count(*) FROM nation) AS banks, (SELECT count(*) FROM customer) AS campaigns,
   count(*) AS fields, count(DISTINCT o_orderpriority) AS field_names, count(DISTINCT o_custkey) AS campaigns_with_fields FROM orders""")
 def counts(spark, d):
     """S06"""
     return store.counts(*_store(spark, d))
 
 
-@query("""
-SELECT o_orderkey AS seq, c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type, o_totalprice AS value
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'""")
-def query_fields_join_whole(spark, d):
-    """S01 over all campaigns."""
-    banks, campaigns, fields = _whole_store(spark, d)
-    return store.query_fields(fields, campaigns, banks, "1-URGENT").select("seq", "campaign_id", "slug", "campaign_type", "value")
-
-
-@query("""
-SELECT (SELECT count(*) FROM nation) AS banks, (SELECT count(*) FROM customer) AS campaigns,
-  count(*) AS fields, count(DISTINCT o_orderpriority) AS field_names, count(DISTINCT o_custkey) AS campaigns_with_fields FROM orders""")
-def counts_whole(spark, d):
-    """S06 over all campaigns."""
-    return store.counts(*_whole_store(spark, d))
-
-
-@query("SELECT lower(n_name) AS slug, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
-def per_bank_left_whole(spark, d):
-    """S09 over all campaigns."""
-    banks, campaigns, _ = _whole_store(spark, d)
-    return store.campaigns_per_bank(banks, campaigns)
-
-
 @query("SELECT o_orderpriority AS field_name, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
 def field_coverage(spark, d):
     """S07"""
@@ -249,7 +219,7 @@ def by_extractor(spark, d):
     return store.fields_by_extractor(_store(spark, d)[2])
 
 
-@query("SELECT lower(n_name) AS slug, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_nationkey % 2 = 0 GROUP BY 1")
+@query("SELECT lower(n_name) AS slug, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def per_bank_left(spark, d):
     """S09"""
     banks, campaigns, _ = _store(spark, d)
@@ -351,9 +321,8 @@ def end_date_conflict(spark, d):
     """Texts that name several end dates."""
     claim = F.concat(F.lit("Kampanya "), F.date_format("l_shipdate", "dd.MM.yyyy"), F.lit(" tarihine kadar geçerlidir."))
     texts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(" ", F.collect_list(claim)).alias("text"))  # a few lines an order
-    dates = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("(\\d{2}\\.\\d{2}\\.\\d{4}) tarihine kadar"), F.lit(1)), N.normalize_date)))
-    found = texts.select("l_orderkey", dates.alias("dates"))
-    return found.select("l_orderkey", F.array_min("dates").alias("first"), F.array_max("dates").alias("last")).filter("first < last")
+    found = texts.select("l_orderkey", contradict.conflicting_end_dates(F.col("text")).alias("c")).filter("c is not null")
+    return found.select("l_orderkey", F.col("c.low").cast("date").alias("first"), F.col("c.high").cast("date").alias("last"))
 
 
 @query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) / 100.0 AS amount FROM orders WHERE o_orderkey % 3 = 0")
@@ -361,8 +330,13 @@ def fee_contradiction(spark, d):
     """Texts that deny and state a fee."""
     fee = F.concat(F.lit("tahsis ücreti "), tr(cents("o_totalprice")), F.lit(" TL"))
     denial = F.when(F.col("o_orderkey") % 3 == 0, "Masrafsız kampanya.").otherwise("Avantajlı kampanya.")
-    rows = table(spark, d, "orders").select("o_orderkey", N.normalize_fee_status(denial).alias("a"), N.normalize_fee_status(fee).alias("b"))
-    return rows.filter("not a.has_fee and b.amount > 0").select("o_orderkey", "b.amount")
+    found = fields.extract_all(F.concat(denial, F.lit(" "), fee))
+    rows = table(spark, d, "orders").select("o_orderkey", F.explode_outer(let_fees(found)).alias("c")).filter("c is not null")
+    return rows.select("o_orderkey", F.col("c.high").cast("double").alias("amount"))
+
+
+def let_fees(found: Column) -> Column:
+    return T.let(found, lambda f: contradict.fee_contradictions(fields.field(f, "masraf_durumu"), fields.field(f, "tahsis_ucreti")))
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 2")
@@ -372,19 +346,19 @@ def sha_dedupe(spark, d):
     return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "hash", "n")
 
 
-@query(r"""
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text
-FROM pages WHERE html NOT LIKE '%&%'""")
-def html_strip(spark, d):
-    """Pages without entities."""
-    return table(spark, d, "pages").filter("not html like '%&%'").select("page_id", T.normalize_whitespace(T.strip_html(F.col("html"))).alias("text"))
-
-
 _ENTITIES_SQL = "x"
 for _entity, _char in T.ENTITIES.items():
     _ENTITIES_SQL = "replace({}, '{}', '{}')".format(_ENTITIES_SQL, *(v.replace("'", "''") for v in (_entity, _char)))
 
 
+@query(rf"""
+SELECT page_id, {_ENTITIES_SQL} AS text
+FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages)""")
+def html_strip(spark, d):
+    """All pages, with their entities."""
+    return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
 @query(rf"""
 SELECT page_id, trim(regexp_replace({_ENTITIES_SQL}, '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS text
 FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages)""")

@@ -60,7 +60,7 @@ def _resolve(url: Column) -> Column:
 
 def extract_links(html: Column, base: Column) -> Column:
     """Array of absolute links of a page; empty links and fragments are left out."""
-    found = F.transform(F.regexp_extract_all(html, F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)"), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(html, F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)"), F.lit(1)), lambda u: F.trim(u))
     return F.transform(F.filter(found, lambda x: (x != "") & ~F.startswith(x, F.lit("#"))), lambda x: absolute(x, base))
 
 
