@@ -39,8 +39,11 @@ def _number(s: Column) -> Column:
 
 def normalize_rate(c: Column) -> Column:
     """Struct num, min, max; a range has min < max, a single rate or an empty range has num."""
-    numbers = F.transform(F.regexp_extract_all(c, F.lit("%?\\s*\\d[\\d.,]*\\s*%?"), F.lit(0)), parse_tr_number)
-    return let(F.struct(numbers.alias("n"), c.rlike(RANGE_SEPARATOR).alias("r")), lambda x: _rate(x["n"], x["r"]))
+    def read(t: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(t, F.lit("%?\\s*\\d[\\d.,]*\\s*%?"), F.lit(0)), parse_tr_number)
+        return let(F.struct(numbers.alias("n"), t.rlike(RANGE_SEPARATOR).alias("r")), lambda x: _rate(x["n"], x["r"]))
+
+    return let(c, lambda t: F.when(t.isNotNull(), read(t)))
 
 
 def _rate(numbers: Column, separated: Column) -> Column:
@@ -90,16 +93,12 @@ def _date(c: Column) -> Column:
 
 def normalize_fee_status(c: Column) -> Column:
     """Struct has_fee, amount. A denial is a value (false, 0); a bare mention is null."""
-    known = F.struct(c.alias("c"), tr_fold_ascii(c).alias("low"), normalize_money(c).alias("money"))
-    return let(known, lambda x: _fee(x["c"], x["low"], x["money"]))
+    known = lambda t: F.struct(t.alias("c"), tr_fold_ascii(t).alias("low"))
+    return let(let(c, known), lambda x: _fee(x["c"], x["low"]))
 
 
-def _fee(c: Column, low: Column, money: Column) -> Column:
+def _fee(c: Column, low: Column) -> Column:
     fee = lambda has, amount: F.struct(F.lit(has).alias("has_fee"), amount.cast("double").alias("amount"))
-    return F.when(low.rlike("|".join(FREE)), fee(False, F.lit(0.0))).when(
-        low.rlike(FEE_HINTS),
-        F.when(low.rlike(NEGATION), fee(False, F.lit(0.0)))
-        .when(c.rlike("%\\s*\\d|\\d[\\d.,]*\\s*%") & money.isNull(), fee(True, F.lit(None)))
-        .when(money.isNotNull(), fee(True, money["value"]))
-        .when(low.rlike(CHARGE), fee(True, F.lit(None))),
-    )
+    known = c.rlike("%\\s*\\d|\\d[\\d.,]*\\s*%") | low.rlike(CHARGE)
+    charged = lambda money: F.when(money.isNotNull(), fee(True, money["value"])).when(known, fee(True, F.lit(None)))
+    return F.when(low.rlike("|".join(FREE)), fee(False, F.lit(0.0))).when(low.rlike(FEE_HINTS), F.when(low.rlike(NEGATION), fee(False, F.lit(0.0))).otherwise(let(normalize_money(c), charged)))

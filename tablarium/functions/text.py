@@ -81,10 +81,14 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def tokenize(c: Column) -> Column:
-    """Words of folded letters and digits that aren't stop words."""
+WORD = "[a-zçğıöşü0-9]+"
+
+
+def tokenize(c: Column, distinct: bool = False) -> Column:
+    """Words of folded letters and digits that aren't stop words, once each if distinct."""
     stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.regexp_extract_all(tr_fold(c), F.lit("[a-zçğıöşü0-9]+"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    found = F.regexp_extract_all(tr_fold(c), F.lit(WORD), F.lit(0))
+    return F.array_except(found, stop) if distinct else F.filter(found, lambda t: ~F.array_contains(stop, t))
 
 
 def keyword_regex(words: list[str]) -> str:

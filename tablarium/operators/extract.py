@@ -31,7 +31,7 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 def profit_rate(text: Column) -> Column:
     """A rate right before the phrase, else after it; none at all if a sharing ratio is mentioned."""
     raw = lambda t: F.coalesce(_group(t, RATE_BEFORE, 1), _group(t, RATE_AFTER, 3))
-    return let(text, lambda t: F.when(~t.rlike(SHARING), normalize_rate(raw(t))))
+    return let(text, lambda t: F.when(t.rlike("(?iu)pay") & ~t.rlike(SHARING), normalize_rate(raw(t))))
 
 
 def term(text: Column) -> Column:

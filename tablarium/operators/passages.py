@@ -65,7 +65,7 @@ def passages(docs: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP) ->
 
 def inverted_index(docs: DataFrame) -> DataFrame:
     """Token and id of docs (id, text), once each; to be written by token, so that a question reads its tokens only."""
-    return docs.select("id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+    return docs.select("id", F.explode(tokenize(F.col("text"), distinct=True)).alias("token"))
 
 
 def search(index: DataFrame, question: list[str], k: int = 3, least: int = 2) -> DataFrame:

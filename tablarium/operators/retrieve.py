@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import STOPWORDS, tokenize
+from tablarium.functions.text import STOPWORDS, WORD, tr_fold
 
 
 def keyword_topk(docs: DataFrame, question: list[str], k: int = 3, least: int = 2) -> DataFrame:
     """QA7: id, score of the k texts that share most distinct words with the question, at least `least`; ties by id."""
     words = [w for w in dict.fromkeys(question) if w not in STOPWORDS]
-    shared = F.size(F.array_intersect(tokenize(F.col("text")), F.array(*map(F.lit, words))))
+    # only words of the question are looked for, so that stop words needn't be told in each text
+    shared = F.size(F.array_intersect(F.regexp_extract_all(tr_fold(F.col("text")), F.lit(WORD), F.lit(0)), F.array(*map(F.lit, words))))
     scored = docs.select("id", shared.alias("overlap")).filter(F.col("overlap") >= least)
     return scored.select("id", F.round(F.col("overlap") / (F.sqrt(F.lit(float(len(words)))) + 1), 3).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
@@ -31,4 +32,4 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 def round_robin(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """N rows, one of each group in turn."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("turn", turn).orderBy("turn", group).limit(n)
+    return rows.withColumn("turn", turn).filter(F.col("turn") <= n).orderBy("turn", group).limit(n)  # the filter limits the window before its shuffle
