@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,13 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(released, schema)
 
 
+def parts(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Slices [s, e) of about `size` bytes of text; a longer text is alone."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(texts)]
+    return zip(edges, edges[1:])
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 

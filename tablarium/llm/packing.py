@@ -19,14 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import map_arrow, materialize, read
+from tablarium.llm.common import map_arrow, materialize, parts, read
 
 #: A Python worker remembers the ids of about so many words and marks; beyond, those in use stay.
 CACHE_UNITS = 250_000
 #: Pieces of one length and bucket that one window orders, about.
 BUCKET_ROWS = 50_000
-#: Bytes of text, about, that are encoded at once; a longer text is encoded alone.
-PART_BYTES = 8 << 20
 
 #: Marks at a word's end that are pieces of their own, and words of lower-case Latin letters: normalisation leaves both as they
 #: are, so such words go to the tokenizer's model directly.
@@ -88,13 +86,6 @@ def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     return encode
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Slices [s, e) of about PART_BYTES of text."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // PART_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(texts)]
-    return zip(edges, edges[1:])
-
-
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each row's ids and the id `end`, cut every max_tokens. Null text is empty.
 
@@ -105,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end: int = 0
         encode = _encoder(tokenizer)
         last = array("I", [end]).tobytes()
         for batch in batches:
-            for s, e in _parts(batch.column(1)):
+            for s, e in parts(batch.column(1)):
                 part = batch.slice(s, e - s)
                 ids, ends = encode(pc.fill_null(part.column(1), ""))
                 sizes = np.diff(ends, prepend=0) + 1

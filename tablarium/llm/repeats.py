@@ -1,8 +1,8 @@
 """Exact repeats: which windows of consecutive tokens also start earlier in the corpus.
 
-Each window picks the K-gram in it with the smallest hash (leftmost of equals). Equal windows pick the same
-K-gram at the same place, so only windows whose pick occurs more than once can repeat. Consecutive windows
-with one pick form a stretch. Stretches that are equal as a whole are settled by one aggregation; what is
+Each window picks the K-gram in it with the smallest hash (leftmost of equals) of those that may repeat. Equal
+windows pick the same K-gram at the same place. Which K-grams may repeat is told by the picks that occur more than
+once, or by an index of fixed blocks (anchors.py). Consecutive windows with one pick form a stretch. Stretches that are equal as a whole are settled by one aggregation; what is
 left (picks whose stretches differ, at the edges of repeats) is settled window by window. Nothing is
 capped: a pick that a third of all documents share only meets aggregations with map-side combine and
 joins against one row per key, which Spark splits when they are skewed.
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import BROADCAST_ROWS, map_arrow, materialize
+from tablarium.llm.common import BROADCAST_ROWS, discard, map_arrow, materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _POS = np.uint64((1 << 31) - 1)
+_NONE = np.uint64((1 << 64) - 1)
 #: Most kinds of stretches of one pick that one task compares.
 FEW_KINDS = 20_000
 
@@ -66,20 +67,24 @@ class Repeats:
     tokens: Callable[[str | None], np.ndarray]
     of_bytes: bool = False
 
-    def stretches(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """The pick's hash, the first window and the number of windows of each stretch."""
-        tokens = self.tokens(text)
-        if len(tokens) < self.window:
+    def stretches(self, tokens: np.ndarray, may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The pick's hash, the first window and the number of windows of each stretch; may: which grams can be picked (all)."""
+        if len(tokens) < self.window or (may is not None and not may.any()):
             return None
         grams = gram_hashes(tokens, self.gram)
         order = (grams & ~_POS) | np.arange(len(grams), dtype=np.uint64)  # by hash, then by place
-        at = (window_minimum(order, self.window - self.gram + 1) & _POS).astype(np.int64)
+        if may is not None:
+            order[~may] = _NONE
+        best = window_minimum(order, self.window - self.gram + 1)
+        at = (best & _POS).astype(np.int64)
         lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        return grams[at[lo]], lo, np.diff(np.append(lo, len(at)))
+        n = np.diff(np.append(lo, len(at)))
+        some = best[lo] != _NONE
+        return grams[at[lo[some]]], lo[some], n[some]
 
-    def identities(self, text: str | None, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def identities(self, tokens: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
         """A hash of each stretch's windows and their number."""
-        whole = gram_hashes(self.tokens(text), self.window)
+        whole = gram_hashes(tokens, self.window)
         ends = (lo + n - 1).astype(np.int64)
         # a stretch has at most window - gram + 1 windows, so its first and last one hold all its tokens
         return _mix(whole[lo] * _B + whole[ends] + n.astype(np.uint64) * _C)
@@ -89,23 +94,24 @@ class Repeats:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [s[0] for t in batch.column(1) if (s := self.stretches(t.as_py())) is not None]
+                found = [s[0] for t in batch.column(1) if (s := self.stretches(self.tokens(t.as_py()))) is not None]
                 if found:
                     h, c = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         return map_arrow(docs, run, "h long, c long")
 
-    def all_stretches(self, docs: DataFrame) -> DataFrame:
-        """h, s (identity), doc_id, lo, n of every stretch."""
+    def all_stretches(self, docs: DataFrame, may: Callable[[pa.RecordBatch, int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+        """h, s (identity), doc_id, lo, n of every stretch of docs (doc_id, text, and what `may` reads of a row)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    if (found := self.stretches(text := t.as_py())) is not None:
+                for k, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                    tokens = self.tokens(t.as_py())
+                    if (found := self.stretches(tokens, may and may(batch, k, tokens))) is not None:
                         h, lo, n = found
-                        rows.append((h, self.identities(text, lo, n), np.full(len(h), d), lo, n))
+                        rows.append((h, self.identities(tokens, lo, n), np.full(len(h), d), lo, n))
                 if rows:
                     h, s, d, lo, n = map(np.concatenate, zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "s", "doc_id", "lo", "n"])
@@ -179,15 +185,21 @@ class Repeats:
 
         return map_arrow(rows, run, "doc_id long, lo int, n int")
 
+    def candidates(self, docs: DataFrame) -> DataFrame:
+        """Stretches whose pick occurs more than once."""
+        # written, so that both sides of the join are plain shuffles, which Spark splits where a pick is common
+        repeated = materialize(self.picks(docs).groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h"))
+        return self.all_stretches(docs).join(repeated, "h", "left_semi")
+
     def covered(self, docs: DataFrame) -> DataFrame:
-        """doc_id and cover: sorted disjoint [s, e) of tokens in windows that start earlier too (smaller doc_id, or earlier there).
+        """doc_id and cover: sorted [s, e) of tokens in windows that start earlier too (smaller doc_id, or earlier there).
 
-        docs: doc_id (not null; rows with one id count as one document) and text. Documents without cover have no row.
+        docs: doc_id (unique, not null) and text. Documents without cover have no row.
         """
-        repeated = self.picks(docs).groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h")
-        stretches = materialize(self.all_stretches(docs).join(repeated, "h", "left_semi"))
+        stretches = materialize(self.candidates(docs))
         kinds = materialize(stretches.groupBy("h", "s").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")))
-        again = stretches.join(kinds.filter("c > 1").select("h", "s", "first"), ["h", "s"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "n")
+        repeated = materialize(kinds.filter("c > 1").select("h", "s", "first"))
+        again = stretches.join(repeated, ["h", "s"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "n")
 
         several = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
         part = F.struct(F.col("first.lo").alias("lo"), "n", "h")
@@ -201,23 +213,24 @@ class Repeats:
         single = self.resolve(packed.repartition("h").sortWithinPartitions("h", "doc_id", "lo"))
         if several.filter(F.col("kinds") > FEW_KINDS).limit(1).count():  # others: by window
             windows = materialize(self.windows(open_kinds(several.filter(F.col("kinds") > FEW_KINDS))))
-            first = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("h", "w", "first")
+            first = materialize(windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("h", "w", "first"))
             single = single.unionByName(windows.join(first, ["h", "w"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", F.lit(1).alias("n")))
 
         found = again.unionByName(single).select("doc_id", F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + self.window).alias("e")).alias("x"))
-        return found.groupBy("doc_id").agg(_joined(F.array_sort(F.collect_list("x"))).alias("cover"))
-
+        cover = materialize(found.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("cover")))
+        discard(stretches, kinds, repeated, several)
+        return cover
 
-def _joined(spans):
-    """Overlapping or touching [s, e) of a sorted array made one."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
 
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] >= x["s"]), grown).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, none, add)
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching [s, e) of a sorted list made one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and out[-1][1] >= s:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
 
 
 def sized(df: DataFrame, column: str, most: int = 4 * BROADCAST_ROWS) -> DataFrame:
@@ -225,14 +238,27 @@ def sized(df: DataFrame, column: str, most: int = 4 * BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if (df.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= most else df
 
 
-def remove(docs: DataFrame, repeats: Repeats, finish: Callable[[str | None, list[tuple[int, int]]], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
-    """doc_id and what finish(text, cover) gives, for each row of docs. Rows with a null doc_id are neither searched nor changed."""
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row: a unique number in the order of doc_id, null ids last, rows of one id by their text.
+
+    Where all ids are unique they are the numbers. Else rows are sorted and written.
+    """
     docs = docs.select("doc_id", "text")
-    cover = materialize(repeats.covered(docs.filter("doc_id is not null")))
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    # rows that are alike are told apart by where they lie, so that they don't fall to one task
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text", "at"]
+    return materialize(docs.withColumn("at", F.monotonically_increasing_id()).orderBy(*order).select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+
+
+def remove(docs: DataFrame, repeats: Repeats, finish: Callable[[str | None, list[tuple[int, int]]], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
+    """doc_id and what finish(text, cover) gives, for each row of docs; see in_order() for null and repeated ids."""
+    ordered = in_order(docs)
+    cover = repeats.covered(ordered.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [finish(t.as_py(), [(x["s"], x["e"]) for x in c or ()]) for t, c in zip(batch.column("text"), batch.column("cover").to_pylist(), strict=True)]
+            rows = [finish(t.as_py(), joined([(x["s"], x["e"]) for x in c or ()])) for t, c in zip(batch.column("text"), batch.column("cover").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names]) if rows else batch.slice(0, 0)
 
-    return map_arrow(docs.join(sized(cover, "cover"), "doc_id", "left").select("doc_id", "text", "cover"), run, ddl)
+    return map_arrow(ordered.join(sized(cover, "cover"), "row", "left").select("doc_id", "text", "cover"), run, ddl)

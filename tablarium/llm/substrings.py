@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tablarium.llm.anchors import AnchoredRepeats
 from tablarium.llm.common import read
 from tablarium.llm.repeats import Repeats, remove
 
@@ -30,7 +31,8 @@ def _outside(n: int, cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def byte_dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
     """Remove every byte in a string of `length` bytes that also starts earlier (smaller doc_id, or earlier in the text).
 
-    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each row. Null text is empty.
+    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each row. Null text is empty, long texts are
+    searched whole. Rows with a null doc_id come last; rows of one doc_id are documents of their own, in the order of their texts.
     Cuts may split a character, so the kept bytes are hashed, not decoded.
     """
 
@@ -48,8 +50,12 @@ def byte_dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
 def word_dedup(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
     """Remove every word in a window of `length` words whose words also start earlier (smaller doc_id, or earlier in the text).
 
-    doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces) of each row. Null text has no words.
+    doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces) of each row. Null and empty texts have no
+    words, long texts are searched whole. Rows with a null doc_id come last; rows of one doc_id are documents of their own,
+    in the order of their texts. Blocks of `gram` words are indexed, so length must be 2 gram - 1 or more.
     """
+    if length < 2 * gram - 1:
+        raise ValueError("a window of fewer than 2 gram - 1 words need not hold a block")
 
     def finish(text: str | None, cover: list[tuple[int, int]]) -> tuple:
         words = (text or "").encode().split()
@@ -57,7 +63,7 @@ def word_dedup(docs: DataFrame, length: int = 20, gram: int = 10) -> DataFrame:
         return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     return remove(
-        docs, Repeats(length, gram, word_tokens), finish, ["n_words", "n_removed", "kept_sha256"],
+        docs, AnchoredRepeats(length, gram, word_tokens), finish, ["n_words", "n_removed", "kept_sha256"],
         [pa.int64(), pa.int64(), pa.string()], "doc_id long, n_words long, n_removed long, kept_sha256 string",
     )
 
