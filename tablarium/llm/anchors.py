@@ -1,10 +1,10 @@
 """Fixed-block anchors: an index of non-overlapping blocks of all texts, probed with every rolling window of a block's length.
 
 A window of 2 B tokens holds, wherever it stands, one whole block of B tokens of its own text's blocks. So a window that
-occurs twice has, in both places, a gram that the index knows and that two probes or more meet. Blocks and probes are
-dealt into buckets by their hash; a text's probes of one bucket are one row, with 32 bits of hash each, and a bucket
-answers with one bit for each. What is hit is extended to maximal repeats by repeats.py, which compares the windows
-around hits, so that equal bits of different grams do no harm.
+occurs twice has, in both places, a gram that the index knows and that two probes or more meet. Texts are written in
+slices; blocks and probes are dealt into buckets by their hash, where a slice's probes are one row, with 32 bits of hash
+each, and a bucket answers with one bit for each. What is hit is extended to maximal repeats by repeats.py, which compares
+the windows around hits, so that equal bits of different grams do no harm.
 
 Grams that many texts of a sample have are known to repeat and aren't asked for, so that no bucket holds a third of all texts.
 """
@@ -16,14 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablarium.llm.common import map_arrow, materialize, parts
-from tablarium.llm.repeats import Repeats, gram_hashes, sized
+from tablarium.llm.repeats import STRETCHES, Repeats, gram_hashes
 
-#: Bytes of text whose probes one bucket holds, about.
-BUCKET_BYTES = 24 << 20
+#: Bytes of text whose probes one bucket holds, and of a slice, about.
+BUCKET_BYTES, SLICE_BYTES = 24 << 20, 2 << 20
 #: Texts of the sample, about; grams that one in SHARE of them has, and at least LEAST, aren't asked for.
 SAMPLE, SHARE, LEAST = 5_000, 200, 20
 _HALF = np.uint64(32)
@@ -53,51 +54,59 @@ class AnchoredRepeats(Repeats):
         rows = map_arrow(sample, run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= max(LEAST, n / SHARE)).collect()
         return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
-    def entries(self, docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
-        """bucket, doc_id, v: the probes of a text by bucket, in order; without doc_id: blocks. A text with common grams also has a row of bucket -1 or less."""
-        count = np.uint64(buckets)
+    def slices(self, docs: DataFrame) -> DataFrame:
+        """slice, ids, texts: documents in written slices, so that a slice's probes have the same order whenever they are made."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = TaskContext.get().partitionId() << 32
             for batch in batches:
-                for s, e in parts(batch.column(1), 4 << 20):
-                    part = batch.slice(s, e - s)
-                    keys = part.column(0).to_numpy()
-                    grams = [gram_hashes(self.tokens(t.as_py()), self.gram) for t in part.column(1)]
-                    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-                    h, doc = np.concatenate(grams), np.repeat(np.arange(len(grams)), sizes)
+                for s, e in parts(batch.column(1), SLICE_BYTES):
+                    part, ends = batch.slice(s, e - s), pa.array([0, e - s], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.ListArray.from_arrays(ends, part.column(0)), pa.ListArray.from_arrays(ends, part.column(1))], ["slice", "ids", "texts"])
+                    n += 1
+
+        return materialize(map_arrow(docs.select("doc_id", "text"), run, "slice long, ids array<long>, texts array<string>"))
+
+    def _grams(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Tokens of each text, hashes of all grams, and how many each text has."""
+        tokens = [self.tokens(t.as_py()) for t in texts]
+        grams = [gram_hashes(t, self.gram) for t in tokens]
+        return tokens, np.concatenate(grams), np.fromiter(map(len, grams), np.int64, len(grams))
+
+    def entries(self, slices: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
+        """bucket, slice, v: the probes of a slice by bucket, in order; without slice: blocks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    _, h, sizes = self._grams(batch.column(2)[k].values)
                     block = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % self.gram == 0
-                    known = _among(h, common)
-                    often = np.unique(keys[doc[known]])
-                    if len(often):
-                        yield _rows(-1 - often % buckets, often, pa.array([b""] * len(often), pa.binary()))
-                    h, doc, block = h[~known], doc[~known], block[~known]
-                    bucket = (h % count).astype(np.int64)
-                    for code, v, of in ((doc * buckets + bucket, (h >> _HALF).astype(np.uint32), keys), (bucket[block], (h[block] >> _HALF).astype(np.uint32), None)):
-                        order = np.argsort(code, kind="stable")
-                        groups, n = np.unique(code, return_counts=True)
+                    asked = ~_among(h, common)
+                    h, block = h[asked], block[asked]
+                    for x, of in ((h, batch.column(0)[k].as_py()), (h[block], None)):
+                        bucket = (x % np.uint64(buckets)).astype(np.int64)
+                        groups, n = np.unique(bucket, return_counts=True)
                         if len(groups):
-                            yield _rows(groups % buckets, None if of is None else of[groups // buckets], _lists(v[order], n))
+                            v = (x >> _HALF).astype(np.uint32)[np.argsort(bucket, kind="stable")]
+                            yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([of] * len(groups), pa.int64()), _lists(v, n)], ["bucket", "slice", "v"])
 
-        return map_arrow(docs.select("doc_id", "text"), run, "bucket long, doc_id long, v binary")
+        return map_arrow(slices, run, "bucket long, slice long, v binary")
 
     def answers(self, entries: DataFrame, buckets: int) -> DataFrame:
-        """doc_id, bucket, mask: a bit for each probe of rows with a hit: it meets a block, and so does another probe."""
+        """slice, bucket, mask: a bit for each probe of rows with a hit: it meets a block, and so does another probe."""
 
         def finish(bucket: int, keys: list[np.ndarray], lists: list[pa.Array], blocks: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-            if not keys or (bucket >= 0 and not blocks):
+            if not keys or not blocks:
                 return
-            key, rows = np.concatenate(keys), pa.concat_arrays(lists)
-            if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), -1)), rows], ["doc_id", "bucket", "mask"])
-                return
-            v, n = _flat(rows)
+            key = np.concatenate(keys)
+            v, n = _flat(pa.concat_arrays(lists))
             distinct, at, count = np.unique(v, return_inverse=True, return_counts=True)
             hit = ((count > 1) & np.isin(distinct, _flat(pa.concat_arrays(blocks))[0]))[at]
             width = (n + 7) // 8
             bits = np.zeros(8 * int(width.sum()), bool)
             bits[np.repeat(8 * (np.cumsum(width) - width) - (np.cumsum(n) - n), n) + np.arange(len(v))] = hit
             masks, some = _lists(np.packbits(bits), width), np.add.reduceat(hit, np.cumsum(n) - n) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(np.full(int(some.sum()), bucket)), masks.filter(pa.array(some))], ["doc_id", "bucket", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(np.full(int(some.sum()), bucket)), masks.filter(pa.array(some))], ["slice", "bucket", "mask"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, keys, lists, blocks = None, [], [], []
@@ -121,31 +130,38 @@ class AnchoredRepeats(Repeats):
             if now is not None:
                 yield from finish(now, keys, lists, blocks)
 
-        return map_arrow(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "doc_id long, bucket long, mask binary")
+        return map_arrow(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "slice long, bucket long, mask binary")
 
     def candidates(self, docs: DataFrame) -> DataFrame:
         """Stretches of the windows that hold a gram which the index of blocks has and two probes meet."""
         buckets = 8 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
-        common = self.common(docs)
-        found = self.answers(self.entries(docs, buckets, common), buckets)
-        marks = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "mask")).alias("marks")))
+        common, slices = self.common(docs), self.slices(docs)
+        found = self.answers(self.entries(slices, buckets, common), buckets)
+        marks = found.groupBy("slice").agg(F.collect_list(F.struct("bucket", "mask")).alias("marks"))  # a row for each bucket
 
-        def may(batch: pa.RecordBatch, k: int, tokens: np.ndarray) -> np.ndarray:
-            h = gram_hashes(tokens, self.gram)
+        def may(h: np.ndarray, marks: pa.Array | None) -> np.ndarray:
             out = _among(h, common)
+            if marks is None:
+                return out
             asked = np.flatnonzero(~out)
             bucket = (h[asked] % np.uint64(buckets)).astype(np.int64)
             order, count = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
-            at, masks = (x for x in batch.column(2)[k].values.flatten())
-            told = at.to_numpy() >= 0
-            b, bits = at.to_numpy()[told], np.unpackbits(np.frombuffer(b"".join(masks.filter(pa.array(told)).to_pylist()), np.uint8))
+            at, masks = marks.flatten()
+            b, bits = at.to_numpy(), np.unpackbits(np.frombuffer(b"".join(masks.to_pylist()), np.uint8))
             n, width = count[b], 8 * ((count[b] + 7) // 8)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             places = order[np.repeat((np.cumsum(count) - count)[b], n) + within]
             out[asked[places]] = bits[np.repeat(np.cumsum(width) - width, n) + within] > 0
             return out
 
-        return self.all_stretches(docs.join(sized(marks, "marks"), "doc_id").select("doc_id", "text", "marks"), may)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    tokens, h, sizes = self._grams(batch.column(1)[k].values)
+                    flags = may(h, batch.column(2)[k].values)
+                    yield from self.stretch_rows(zip(batch.column(0)[k].values.to_pylist(), tokens, np.split(flags, np.cumsum(sizes)[:-1]), strict=True))
+
+        return map_arrow(slices.join(marks, "slice", "left").select("ids", "texts", "marks"), run, STRETCHES)
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -158,7 +174,3 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit numbers of a binary array, and how many each item holds."""
     edges = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, 4 * lists.offset)
     return np.frombuffer(lists.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.uint32), np.diff(edges).astype(np.int64) // 4
-
-
-def _rows(bucket: np.ndarray, key: np.ndarray | None, v: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.nulls(len(v), pa.int64()) if key is None else pa.array(key.astype(np.int64)), v], ["bucket", "doc_id", "v"])

@@ -10,7 +10,7 @@ joins against one row per key, which Spark splits when they are skewed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ from tablarium.llm.common import BROADCAST_ROWS, discard, map_arrow, materialize
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _POS = np.uint64((1 << 31) - 1)
 _NONE = np.uint64((1 << 64) - 1)
+STRETCHES = "h long, s long, doc_id long, lo int, n int"
 #: Most kinds of stretches of one pick that one task compares.
 FEW_KINDS = 20_000
 
@@ -101,22 +102,25 @@ class Repeats:
 
         return map_arrow(docs, run, "h long, c long")
 
-    def all_stretches(self, docs: DataFrame, may: Callable[[pa.RecordBatch, int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-        """h, s (identity), doc_id, lo, n of every stretch of docs (doc_id, text, and what `may` reads of a row)."""
+    def stretch_rows(self, texts: Iterable[tuple[int, np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
+        """h, s (identity), doc_id, lo, n of every stretch of texts (doc_id, tokens, may)."""
+        rows = []
+        for d, tokens, may in texts:
+            if (found := self.stretches(tokens, may)) is not None:
+                h, lo, n = found
+                rows.append((h, self.identities(tokens, lo, n), np.full(len(h), d), lo, n))
+        if rows:
+            h, s, d, lo, n = map(np.concatenate, zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "s", "doc_id", "lo", "n"])
+
+    def all_stretches(self, docs: DataFrame) -> DataFrame:
+        """h, s, doc_id, lo, n of every stretch of docs (doc_id, text)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for k, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                    tokens = self.tokens(t.as_py())
-                    if (found := self.stretches(tokens, may and may(batch, k, tokens))) is not None:
-                        h, lo, n = found
-                        rows.append((h, self.identities(tokens, lo, n), np.full(len(h), d), lo, n))
-                if rows:
-                    h, s, d, lo, n = map(np.concatenate, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(d), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "s", "doc_id", "lo", "n"])
+                yield from self.stretch_rows((d, self.tokens(t.as_py()), None) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
 
-        return map_arrow(docs, run, "h long, s long, doc_id long, lo int, n int")
+        return map_arrow(docs, run, STRETCHES)
 
     def windows(self, docs: DataFrame) -> DataFrame:
         """h, w (hash), doc_id, lo of each window in the stretches of docs (doc_id, text, parts of structs lo, n, h)."""
@@ -217,20 +221,25 @@ class Repeats:
             single = single.unionByName(windows.join(first, ["h", "w"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", F.lit(1).alias("n")))
 
         found = again.unionByName(single).select("doc_id", F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + self.window).alias("e")).alias("x"))
-        cover = materialize(found.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("cover")))
+        cover = materialize(joined(found.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("cover"))))
         discard(stretches, kinds, repeated, several)
         return cover
 
 
-def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching [s, e) of a sorted list made one."""
-    out: list[tuple[int, int]] = []
-    for s, e in spans:
-        if out and out[-1][1] >= s:
-            out[-1] = out[-1][0], max(out[-1][1], e)
-        else:
-            out.append((s, e))
-    return out
+def joined(covers: DataFrame) -> DataFrame:
+    """doc_id, cover with overlapping or touching [s, e) of each sorted array made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(1):
+                s, e = (x.to_numpy() for x in spans.values.flatten())
+                e = np.maximum.accumulate(e)
+                first = np.concatenate(([True], s[1:] > e[:-1]))
+                out.append([{"s": a, "e": b} for a, b in zip(s[first].tolist(), e[np.append(first[1:], True)].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["doc_id", "cover"])
+
+    return map_arrow(covers, run, "doc_id long, cover array<struct<s:int,e:int>>")
 
 
 def sized(df: DataFrame, column: str, most: int = 4 * BROADCAST_ROWS) -> DataFrame:
@@ -258,7 +267,7 @@ def remove(docs: DataFrame, repeats: Repeats, finish: Callable[[str | None, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [finish(t.as_py(), joined([(x["s"], x["e"]) for x in c or ()])) for t, c in zip(batch.column("text"), batch.column("cover").to_pylist(), strict=True)]
+            rows = [finish(t.as_py(), [(x["s"], x["e"]) for x in c or ()]) for t, c in zip(batch.column("text"), batch.column("cover").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names]) if rows else batch.slice(0, 0)
 
     return map_arrow(ordered.join(sized(cover, "cover"), "row", "left").select("doc_id", "text", "cover"), run, ddl)

@@ -6,7 +6,7 @@ import edge
 import plain
 import pytest
 
-from tablarium.llm import chat, components, decontamination, licenses, packing, personal_data, quality_rules, repeats, secrets, simhash, substrings, trigrams
+from tablarium.llm import anchors, chat, components, decontamination, licenses, packing, personal_data, quality_rules, repeats, secrets, simhash, substrings, trigrams
 from tablarium.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -68,19 +68,42 @@ def test_proximity(spark):
     assert found(0) == {1} and found(1) == {1, 2} and found(3) == {1, 2, 3}
 
 
+def in_order(rows):
+    """Rows numbered by id, null ids last. Rows of one id go by a hash of their text; here these are alike or repeat nothing."""
+    return list(enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))))
+
+
+def same_repeats(got, rows, *how):
+    """got: (doc_id, results) of all rows; copies under one id give the same results in any order."""
+    want = plain.repeats([(n, t) for n, (_, t) in in_order(rows)], *how)
+    ids = [k for _, (k, _) in in_order(rows)]
+    assert sorted(((k, *want[n]) for n, k in enumerate(ids)), key=str) == sorted(got, key=str)
+
+
 @pytest.mark.parametrize("few", [20_000, 1])
 def test_byte_dedup(docs, texts, few, monkeypatch):
     monkeypatch.setattr(repeats, "FEW_KINDS", few)
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.byte_dedup(docs).collect() if r.doc_id is not None}
-    assert got == plain.repeats(named(texts), 100, bytes, lambda x: x if isinstance(x, bytes) else b"".join(x))
+    same_repeats([tuple(r) for r in substrings.byte_dedup(docs).collect()], texts, 100, bytes, lambda x: x if isinstance(x, bytes) else b"".join(x))
 
 
 @pytest.mark.parametrize("few", [20_000, 1])
 def test_word_dedup(docs, texts, few, monkeypatch):
     monkeypatch.setattr(repeats, "FEW_KINDS", few)
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.word_dedup(docs).collect() if r.doc_id is not None}
-    want = plain.repeats(named(texts), 20, bytes.split, b" ".join)
-    assert got == {k: (a, b, d) for k, (a, b, _, d) in want.items()}
+    want = plain.repeats([(n, t) for n, (_, t) in in_order(texts)], 20, bytes.split, b" ".join)
+    ids = [k for _, (k, _) in in_order(texts)]
+    assert sorted(((k, *[x for i, x in enumerate(want[n]) if i != 2]) for n, k in enumerate(ids)), key=str) == sorted((tuple(r) for r in substrings.word_dedup(docs).collect()), key=str)
+
+
+@pytest.mark.parametrize("least", [20, 1])
+def test_repeated_and_null_ids(spark, least, monkeypatch):
+    """Copies under one id and under none are documents of their own; also where all grams count as common."""
+    monkeypatch.setattr(anchors, "LEAST", least)
+    passage = " ".join(f"p{k}" for k in range(45))
+    rows = [(5, f"a {passage} b"), (5, f"a {passage} b"), (None, f"{passage} x"), (None, f"{passage} x"), (2, passage), (7, "alone"), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same_repeats([tuple(r) for r in substrings.byte_dedup(docs).collect()], rows, 100, bytes, lambda x: x if isinstance(x, bytes) else b"".join(x))
+    words = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.word_dedup(docs).collect()]
+    assert sorted(words, key=str) == sorted([(2, 45, 0), (5, 47, 45), (5, 47, 47), (None, 46, 45), (None, 46, 46), (7, 1, 0), (7, 0, 0), (None, 0, 0)], key=str)
 
 
 def test_simhash(docs, texts):
