@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import broadcast_if_small, map_arrow, materialize
+from tablarium.llm.common import broadcast_if_small, fresh, map_arrow, materialize
 from tablarium.llm.components import connected_components
 
 SIZE = 5
@@ -149,11 +149,13 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a number of their own, so repeated and null doc_ids are rows like others.
     """
+    columns, aside = docs.columns, {c: fresh(f"{c}_", *docs.columns) for c in docs.columns if c.lower() in ("row", "node")}
+    docs = docs.withColumnsRenamed(aside)
     marked = materialize(with_node(docs))
     of = near_copy_components(_distinct(marked))
     rows = marked.select("row", "doc_id", "node").join(broadcast_if_small(of), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("c"))
     stay = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("row"))
-    return marked.join(broadcast_if_small(materialize(stay)), "row", "left_semi").select(*docs.columns)
+    return marked.join(broadcast_if_small(materialize(stay)), "row", "left_semi").select(*[F.col(aside.get(c, c)).alias(c) for c in columns])
 
 
 def _distinct(marked: DataFrame) -> DataFrame:

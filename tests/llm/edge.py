@@ -1,6 +1,6 @@
 """A small table of awkward documents."""
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, n_words int, h string, cover string, spans string, fp long"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, n_words int, h string, cover string, spans string, fp long, row long, node string, key string"
 LONG = " ".join(f"word{k % 997}x{k}" for k in range(30_000))
 PASSAGE = " ".join(f"shared{k}" for k in range(60))
 TEXTS = [
@@ -13,8 +13,8 @@ TEXTS = [
 
 
 def rows():
-    out = [(k, t, "en", "src0", len(t or ""), 7, "clash", "clash", "clash", 3) for k, t in enumerate(TEXTS)]
-    return out + [(None, "no id here but text token = abcdefgh", None, None, None, None, None, None, None, None)]
+    out = [(k, t, "en", "src0", len(t or ""), 7, "clash", "clash", "clash", 3, 4, "clash", "clash") for k, t in enumerate(TEXTS)]
+    return out + [(None, "no id here but text token = abcdefgh", None, None, None, None, None, None, None, None, None, None, None)]
 
 
 def table(spark, with_null_id=True):

@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
     assert sum(r.text == "one" for r in kept) == 1 == sum((r.text or "").startswith("no id here") for r in kept)
     clean = stages["decontamination"](spark, docs, str(tmp_path)).collect()
     assert len(clean) == docs.count() - 2 and not any(TEST in (r.text or "") for r in clean)
-    for table in (docs, edge.empty(spark).select(*columns)):
+    for table in (docs, edge.empty(spark).select(*columns), edge.table(spark)):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, str(tmp_path)).collect()
             assert len(out) >= 1 or table is not docs

@@ -1,6 +1,7 @@
 """Each operator against its plain version, on a driver table and on awkward rows."""
 
 import math
+import random
 
 import edge
 import plain
@@ -129,6 +130,34 @@ def test_label_model_separates():
     assert model.posterior((1, 1, 1, 1)) > 0.9 > 0.1 > model.posterior((-1, -1, -1, -1))
 
 
+def test_planted_personal_data(spark):
+    """Kinds beyond the base ones: planted numbers are found, look-alikes beside words against them aren't."""
+    rng = random.Random(5)
+    n = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    rows, want = [], {}
+    for k in range(400):
+        phone, ident, iban = f"{n(3)}-{n(3)}-{n(4)}", f"{1 + k % 6}{n(2)}-{n(2)}-{n(4)}", f"DE{n(2)} {n(4)} {n(4)} {n(4)} {n(4)} {n(2)}"
+        kind, value, good, bad = [("local_phone", phone, "call me, phone", "order"), ("id_number", ident, "my address and ssn", "part no"), ("account", iban, "account iban", "serial")][k % 3]
+        wrong = {"local_phone": f"1{phone[1:]}", "id_number": f"000{ident[3:]}", "account": f"XX{iban[2:]}"}[kind]
+        personal = k % 2 == 0
+        before = f"text {k} says {good if personal else bad} "
+        value = value if personal else wrong
+        rows.append((k, f"{before}{value} and more"))
+        if personal:
+            want[k] = f"{kind}:{len(before)}:{len(before) + len(value)}"
+    rows += [(1000 + k, f"mail me{k}@x.com") for k in range(50)]
+    got = {r.doc_id: r.spans for r in personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.spans and r.doc_id < 1000}
+    right = sum(got.get(k) == v for k, v in want.items())
+    assert right >= 0.9 * len(want) and right >= 0.9 * len(got)
+
+
+def test_quality_rules_on_held_out_labels(spark):
+    docs, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
+    fit, held = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    rows = quality_rules.quality_rules(docs, fit).join(held, "doc_id").filter("not base_failed").select("kept", "quality").collect()
+    assert len(rows) > 500 and sum(r.kept == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -163,6 +192,29 @@ def test_chat(spark):
     assert ann[2] == ann[3] == (2, "<|user name=bob|>\n<|end|>\n", "")
 
 
+def test_dialogues(spark):
+    rng = random.Random(3)
+    rows = [(c, k, rng.choice(["system", "ann", "bob", "eve"]), "w" * rng.randrange(40)) for c in (1, 2, None) for k in range(150)] + [(3, None, "ann", "late"), (3, 0, "bob", "early"), (3, 0, "bob", "early"), (4, 1, "system", "alone")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {}
+    for r in sorted(chat.dialogues(table, 500).collect(), key=lambda r: r.part):
+        text, masks = got.setdefault((r.conv_id, r.perspective), ("", []))
+        assert r.start == len(text) and (r.part == 0 or r.start >= 500 * r.part)
+        got[r.conv_id, r.perspective] = text + r.text, masks + [m for m in r.masks.split(",") if m]
+    want = {}
+    for c in (1, 2, None, 3, 4):
+        turns = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is None, r[1] or 0))
+        for view in {r[2] for r in turns} - {"system"}:
+            text, masks = "", []
+            for _, _, role, said in turns:
+                head = "<|assistant|>\n" if role == view else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+                if role == view:
+                    masks.append(f"{len(text) + len(head)}:{len(text) + len(head) + len(said) + 7}")
+                text += head + said + "<|end|>\n"
+            want[c, view] = text, masks
+    assert got == want
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.\nmore"), (2, "a/b/x.py", "code"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),

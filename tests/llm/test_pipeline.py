@@ -2,6 +2,7 @@
 
 import plain
 from oracle import compare
+from test_near_copies import survivors
 
 import corpus_pipeline
 from tablarium.llm import personal_data, queries
@@ -27,8 +28,8 @@ def test_stages(spark):
     assert all(not plain.quality(r.text)[-1] for r in after.values())
     assert len(after.keys() & bad) <= 2
     before, after = rows["near_duplicates"]
-    roots = plain.components({k: plain.simhash(r.text) for k, r in before.items()})
-    assert set(after) == set(roots.values())
+    # five words and a similarity of 0.8; the fingerprints of op6 (three words, three bits) are no measure of this stage
+    assert sorted(after) == [k for _, k in survivors(sorted((k, r.text) for k, r in before.items()))]
     before, after = rows["decontamination"]
     found = plain.decontaminated([(k, r.text) for k, r in before.items()], [tuple(r) for r in read(spark, SF, "benchmark").select("item_id", "text").collect()])
     assert set(after) == {k for k, x in found.items() if not x[-1]}
