@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,10 +63,16 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() has returned and nothing reads any more."""
+    """Delete tables that materialize() has returned and nothing reads any more.
+
+    The driver's garbage is collected too, since Spark deletes the shuffle files of plans that are no longer referenced.
+    """
     for t in tables:
         fs, p = _path(t.sparkSession, t._written)
         fs.delete(p, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def fresh(name: str, *others: str) -> str:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import broadcast_if_small, fresh, map_arrow, materialize
+from tablarium.llm.common import broadcast_if_small, discard, fresh, map_arrow, materialize
 from tablarium.llm.components import connected_components
 
 SIZE = 5
@@ -113,14 +113,18 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = materialize(_sets(texts.join(broadcast_if_small(ends), "node", "left_semi")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return materialize(both.filter(DEN * same >= NUM * (F.size("x") + F.size("y") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    out = materialize(both.filter(DEN * same >= NUM * (F.size("x") + F.size("y") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    del both
+    discard(pairs, ends, sets)
+    return out
 
 
 def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
     heads = materialize(prefixes(texts))
-    shared = heads.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    lists = materialize(heads.join(broadcast_if_small(materialize(shared)), "h", "left_semi").withColumn("c", F.col("node")))
+    shared = materialize(heads.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    lists = materialize(heads.join(broadcast_if_small(shared), "h", "left_semi").withColumn("c", F.col("node")))
+    discard(heads, shared)
     alike = DEN * F.least("m", "k") >= NUM * F.greatest("m", "k")  # else the sizes rule it out
     edges = of = None
     for k in range(LEADER_ROUNDS + 1):
@@ -137,8 +141,10 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
             # a list whose members are all of one component is done
             named = rest.drop("c").join(broadcast_if_small(of), "node", "left").select("h", "node", "m", F.coalesce("component", "node").alias("c"))
             named = materialize(named)
-            apart = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("h")
-            lists = materialize(named.join(broadcast_if_small(materialize(apart)), "h", "left_semi"))
+            apart = materialize(named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("h"))
+            before, lists = lists, materialize(named.join(broadcast_if_small(apart), "h", "left_semi"))
+            del found, rest, ahead
+            discard(before, named, apart)
             if lists.isEmpty():
                 break
     return of
