@@ -75,8 +75,8 @@ def rate_table_fields(spark, d):
     return _rate_tables(spark, d).select("s_suppkey", fields.from_rate_table(F.col("rows")).alias("f")).filter("f is not null").select("s_suppkey", "f.min", "f.max", "f.term", "f.fee")
 
 
-def _campaign_pages(spark, d) -> DataFrame:
-    """Orders as pages with up to seven fields, in two orders of the sentences."""
+def _campaign_pages(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (k, x) as pages with up to seven fields, in two orders of the sentences."""
     k, x = F.col("k"), F.col("x")
     month = (12 + k % 100).cast("string")
     parts = [
@@ -85,7 +85,7 @@ def _campaign_pages(spark, d) -> DataFrame:
         F.when(k % 3 == 0, _say("Tahsis ücreti ", x, " TL.")).otherwise("MASRAFSIZDIR."), F.when(k % 4 == 0, "Kampanya 31.12.2026 tarihine kadar geçerlidir."),
     ]
     text = F.when(k % 11 < 5, F.concat_ws(" ", *parts)).otherwise(F.concat_ws(" ", *reversed(parts)))
-    return _orders(spark, d).select("o_orderkey", text.alias("text"))
+    return rows.select(F.col("k").alias(key), text.alias("text"))
 
 
 _ALL_SQL = f"""
@@ -98,7 +98,7 @@ FROM (SELECT o_orderkey AS k, {_X} AS x FROM orders)"""
 @query(_ALL_SQL)
 def extract_all(spark, d):
     """All fields of a page, whatever the order of its sentences."""
-    found = fields.campaigns(_campaign_pages(spark, d)).select("o_orderkey", "fields")
+    found = fields.campaigns(_campaign_pages(_orders(spark, d), "o_orderkey")).select("o_orderkey", "fields")
     part = lambda name, p: fields.field(F.col("fields"), name)[p]
     return found.select(
         "o_orderkey", part("kar_payi_orani", "num").alias("rate"), part("vade_ay", "num").alias("months"), part("finansman_tutari", "value").alias("amount"), part("taksit_sayisi", "num").alias("instalments"),
@@ -109,7 +109,7 @@ def extract_all(spark, d):
 @query(f"SELECT field, count(v) AS n FROM (SELECT unnest(['kar_payi_orani', 'vade_ay', 'finansman_tutari', 'taksit_sayisi', 'tahsis_ucreti', 'kampanya_suresi', 'masraf_durumu']) AS field, unnest([CAST(rate AS VARCHAR), CAST(months AS VARCHAR), CAST(amount AS VARCHAR), CAST(instalments AS VARCHAR), CAST(allocation AS VARCHAR), CAST(day AS VARCHAR), CAST(has_fee AS VARCHAR)]) AS v FROM ({_ALL_SQL})) GROUP BY 1 HAVING count(v) > 0")
 def long_fields(spark, d):
     """The same, a row for each field."""
-    return fields.long_fields(fields.campaigns(_campaign_pages(spark, d)), ["o_orderkey"]).groupBy("field").agg(F.count("*").alias("n"))
+    return fields.long_fields(fields.campaigns(_campaign_pages(_orders(spark, d), "o_orderkey")), ["o_orderkey"]).groupBy("field").agg(F.count("*").alias("n"))
 
 
 _LAYERS = """
@@ -461,16 +461,21 @@ def krippendorff_ratio(spark, d):
     return agreement.krippendorff_ratio(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("value")))
 
 
-@query("SELECT * FROM (SELECT 0 AS id, '' AS invariant, '' AS field) WHERE false UNION ALL SELECT o_orderkey, 'neutral', 'x' FROM orders WHERE false")
+def _part_pages(spark, d) -> DataFrame:
+    return _campaign_pages(table(spark, d, "part").select(F.col("p_partkey").alias("k"), tr(cents("p_retailprice")).alias("x")), "id")
+
+
+@query("SELECT invariant, count(*) AS n FROM (SELECT 'order' AS invariant FROM part WHERE p_partkey < 0) GROUP BY 1 UNION ALL SELECT 'checked', count(*) FROM part")
 def invariant_violations(spark, d):
-    """Rendered pages keep all invariants, so no row."""
-    return invariants.check(_campaign_pages(spark, d).select(F.col("o_orderkey").alias("id"), "text")).select("id", "invariant", "field")
+    """Rendered pages keep all invariants; the row `checked` counts the pages."""
+    pages = _part_pages(spark, d)
+    return invariants.check(pages).groupBy("invariant").agg(F.count("*").alias("n")).unionByName(pages.agg(F.lit("checked").alias("invariant"), F.count("*").alias("n")))
 
 
-@query("SELECT count(*) AS documents, count(*) AS with_fields, 1.0 AS coverage, CAST(0 AS BIGINT) AS violations FROM orders")
+@query("SELECT count(*) AS documents, count(*) AS with_fields, 1.0 AS coverage, CAST(0 AS BIGINT) AS violations FROM part")
 def invariant_report(spark, d):
     """E18"""
-    return invariants.report(_campaign_pages(spark, d).select(F.col("o_orderkey").alias("id"), "text"))
+    return invariants.report(_part_pages(spark, d))
 
 
 @query("""
