@@ -1,22 +1,25 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found by prefix filtering.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Shingles have one global order. Two sets that similar share a shingle among the first m - ceil(0.8 m) + 1 of each, so
-only texts that share one there are compared. Shingles that are common in a sample come last, which keeps the lists
-short; any order gives the same result. No candidate is left out, and each is checked by its whole sets.
+SimHash fingerprints of five-word shingles and multi-index hashing find the closest ones. Fingerprints of texts at 0.8
+differ in some ten of 64 bits, beyond what balls of few bits reach, so prefix filtering finds the links that are left:
+shingles have one global order, and two sets that similar share a shingle among the first m - ceil(0.8 m) + 1 of each.
+Shingles that are common in a sample come last, which keeps the lists short; any order gives the same result. No
+candidate is left out, and each is checked by its whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablarium.llm.common import broadcast_if_small, discard, fresh, map_arrow, materialize
 from tablarium.llm.components import connected_components
+from tablarium.llm.simhash import fingerprints, links
 
 SIZE = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -25,6 +28,8 @@ NUM, DEN = 4, 5
 SAMPLE, MAX_COMMON = 5_000, 200_000
 #: Rounds in which each list's members are compared with its first one only; what is still apart is compared by pairs.
 LEADER_ROUNDS = 3
+#: Counts of a text's shingles by so many ranges of their hashes bound what two texts can share.
+RANGES = 256
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -106,27 +111,62 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("node", "text"), run, "node long, s array<long>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """src, dst of the pairs (a, b) that are similar enough, by their whole sets."""
-    pairs = materialize(pairs.distinct())
+def _counts(texts: DataFrame) -> DataFrame:
+    """node and the number of its shingles in each range of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, t in zip(batch.column(0), batch.column(1), strict=True):
+                n = np.bincount((shingles(t.as_py()) // np.uint64((1 << 64) // RANGES)).astype(np.int64), minlength=RANGES)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([n.astype(np.int32)], pa.list_(pa.int32()))], ["node", "s"])
+
+    return map_arrow(texts.select("node", "text"), run, "node long, s array<int>")
+
+
+def _where(pairs: DataFrame, texts: DataFrame, of_text: Callable[[DataFrame], DataFrame], n: Callable[[str], Column], same: Column) -> DataFrame:
+    """a, b of the written pairs whose arrays x and y, from of_text, have n(x) and n(y) shingles and a similarity of 0.8 if they share `same`."""
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = materialize(_sets(texts.join(broadcast_if_small(ends), "node", "left_semi")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    out = materialize(both.filter(DEN * same >= NUM * (F.size("x") + F.size("y") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    sides = materialize(of_text(texts.join(broadcast_if_small(ends), "node", "left_semi")))
+    both = pairs.join(sides.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sides.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    out = materialize(both.filter(DEN * same >= NUM * (n("x") + n("y") - same)).select("a", "b"))
     del both
-    discard(pairs, ends, sets)
+    discard(ends, sides)
+    return out
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """src, dst of the pairs (a, b) that are similar enough, by their whole sets. Counts by ranges first rule out most of the others."""
+    pairs = materialize(pairs.distinct())
+    least = F.aggregate(F.zip_with("x", "y", lambda v, w: F.least(v, w)), F.lit(0), lambda n, v: n + v)
+    left = _where(pairs, texts, _counts, lambda c: F.aggregate(c, F.lit(0), lambda n, v: n + v), least)
+    out = _where(left, texts, _sets, F.size, F.size(F.array_intersect("x", "y")))
+    discard(pairs, left)
+    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _close(texts: DataFrame) -> DataFrame:
+    """a, b: the first text of each fingerprint, with its other texts and with the first ones of fingerprints three or fewer bits away."""
+    marked = materialize(fingerprints(texts, "node", size=SIZE))
+    firsts = materialize(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    spread = firsts.select("fp").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    near = links(spread)
+    across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("f")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("g")), "b")
+    within = marked.join(firsts, "fp").filter("node <> first")
+    out = materialize(across.select(F.col("f").alias("a"), F.col("g").alias("b")).unionByName(within.select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    discard(marked, firsts)
     return out
 
 
 def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
+    edges = _similar(_close(texts), texts)
+    of = materialize(connected_components(edges))
     heads = materialize(prefixes(texts))
     shared = materialize(heads.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    lists = materialize(heads.join(broadcast_if_small(shared), "h", "left_semi").withColumn("c", F.col("node")))
+    lists = heads.join(broadcast_if_small(shared), "h", "left_semi").join(broadcast_if_small(of), "node", "left")
+    lists = materialize(lists.select("h", "node", "m", F.coalesce("component", "node").alias("c")))
     discard(heads, shared)
     alike = DEN * F.least("m", "k") >= NUM * F.greatest("m", "k")  # else the sizes rule it out
-    edges = of = None
     for k in range(LEADER_ROUNDS + 1):
         if k < LEADER_ROUNDS:
             ahead = lists.groupBy("h").agg(F.min(F.struct("node", "m", "c")).alias("f")).select("h", F.col("f.node").alias("a"), F.col("f.m").alias("k"), F.col("f.c").alias("d"))
@@ -135,7 +175,7 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
         else:
             found = lists.join(lists.select("h", F.col("node").alias("a"), F.col("m").alias("k"), F.col("c").alias("d")), "h").filter("a < node")
         new = _similar(found.filter("c <> d").filter(alike).select("a", F.col("node").alias("b")), texts)
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(new)
         of = materialize(connected_components(edges))
         if k < LEADER_ROUNDS:
             # a list whose members are all of one component is done
