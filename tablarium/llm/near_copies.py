@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.llm.common import broadcast_if_small, discard, fresh, map_arrow, materialize
+from tablarium.llm.common import broadcast_if_small, discard, fresh, map_arrow, materialize, parts
 from tablarium.llm.components import connected_components
 from tablarium.llm.simhash import fingerprints, links
 
@@ -27,7 +27,8 @@ NUM, DEN = 4, 5
 #: The order of shingles is learned from about so many texts, and holds at most so many common shingles.
 SAMPLE, MAX_COMMON = 5_000, 200_000
 #: Rounds in which each list's members are compared with its first one only; what is still apart is compared by pairs.
-LEADER_ROUNDS = 3
+#: The rounds end sooner where lists have become so short that there are at most so many pairs for each text.
+LEADER_ROUNDS, FEW_PAIRS = 3, 20
 #: Counts of a text's shingles by so many ranges of their hashes bound what two texts can share.
 RANGES = 256
 
@@ -79,6 +80,15 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
+def _by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Nodes and shingles of some texts at a time: one record batch a text costs more than its shingles, all at once too much memory."""
+    for batch in batches:
+        for s, e in parts(batch.column(1)):
+            if s < e:
+                part = batch.slice(s, e - s)
+                yield part.column(0).to_numpy(), [shingles(t.as_py()) for t in part.column(1)]
+
+
 def prefixes(texts: DataFrame) -> DataFrame:
     """h, node, m of each of the first m - ceil(0.8 m) + 1 shingles of each text, which has m."""
     hashes, counts = _common(texts)
@@ -91,36 +101,35 @@ def prefixes(texts: DataFrame) -> DataFrame:
         return h[np.lexsort((h, n))[: len(h) - -(-NUM * len(h) // DEN) + 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, t in zip(batch.column(0), batch.column(1), strict=True):
-                if m := len(h := shingles(t.as_py())):
-                    head = first(h).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(np.full(len(head), node.as_py(), np.int64)), pa.array(np.full(len(head), m, np.int32))], ["h", "node", "m"])
+        for nodes, sets in _by_parts(batches):
+            heads, m = [first(h) if len(h) else h for h in sets], np.fromiter(map(len, sets), np.int32, len(sets))
+            n = np.fromiter(map(len, heads), np.int64, len(heads))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(nodes, n)), pa.array(np.repeat(m, n))], ["h", "node", "m"])
 
     return map_arrow(texts.select("node", "text"), run, "h long, node long, m int")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """node and its shingles' hashes."""
+def _arrays(texts: DataFrame, of_set: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """node and s, an array of what of_set makes of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, t in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingles(t.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "s"])
+        for nodes, sets in _by_parts(batches):
+            made = [of_set(h) for h in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))], ["node", "s"])
 
-    return map_arrow(texts.select("node", "text"), run, "node long, s array<long>")
+    return map_arrow(texts.select("node", "text"), run, f"node long, s array<{kind}>")
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """node and the number of its shingles in each range of hashes."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and its shingles' hashes."""
+    return _arrays(texts, lambda h: h.view(np.int64), "long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, t in zip(batch.column(0), batch.column(1), strict=True):
-                n = np.bincount((shingles(t.as_py()) // np.uint64((1 << 64) // RANGES)).astype(np.int64), minlength=RANGES)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([n.astype(np.int32)], pa.list_(pa.int32()))], ["node", "s"])
 
-    return map_arrow(texts.select("node", "text"), run, "node long, s array<int>")
+def _counts(texts: DataFrame) -> DataFrame:
+    """node and the number of its shingles in each range of hashes."""
+    width = np.uint64((1 << 64) // RANGES)
+    return _arrays(texts, lambda h: np.bincount((h // width).astype(np.int64), minlength=RANGES).astype(np.int32), "int")
 
 
 def _where(pairs: DataFrame, texts: DataFrame, of_text: Callable[[DataFrame], DataFrame], n: Callable[[str], Column], same: Column) -> DataFrame:
@@ -161,14 +170,15 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
     edges = _similar(_close(texts), texts)
     of = materialize(connected_components(edges))
-    heads = materialize(prefixes(texts))
+    heads, few = materialize(prefixes(texts)), FEW_PAIRS * texts.count()
     shared = materialize(heads.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     lists = heads.join(broadcast_if_small(shared), "h", "left_semi").join(broadcast_if_small(of), "node", "left")
     lists = materialize(lists.select("h", "node", "m", F.coalesce("component", "node").alias("c")))
     discard(heads, shared)
     alike = DEN * F.least("m", "k") >= NUM * F.greatest("m", "k")  # else the sizes rule it out
-    for k in range(LEADER_ROUNDS + 1):
-        if k < LEADER_ROUNDS:
+    ahead_only = [True] * LEADER_ROUNDS + [False]
+    while ahead_only:
+        if leaders := ahead_only.pop(0):
             ahead = lists.groupBy("h").agg(F.min(F.struct("node", "m", "c")).alias("f")).select("h", F.col("f.node").alias("a"), F.col("f.m").alias("k"), F.col("f.c").alias("d"))
             found = lists.join(ahead, "h")
             rest = found.filter("node <> a").select("h", "node", "m", "c")
@@ -177,7 +187,7 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
         new = _similar(found.filter("c <> d").filter(alike).select("a", F.col("node").alias("b")), texts)
         edges = edges.unionByName(new)
         of = materialize(connected_components(edges))
-        if k < LEADER_ROUNDS:
+        if leaders:
             # a list whose members are all of one component is done
             named = rest.drop("c").join(broadcast_if_small(of), "node", "left").select("h", "node", "m", F.coalesce("component", "node").alias("c"))
             named = materialize(named)
@@ -185,8 +195,11 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
             before, lists = lists, materialize(named.join(broadcast_if_small(apart), "h", "left_semi"))
             del found, rest, ahead
             discard(before, named, apart)
-            if lists.isEmpty():
+            pairs = lists.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+            if not pairs:
                 break
+            if pairs <= few:
+                ahead_only = [False]
     return of
 
 
