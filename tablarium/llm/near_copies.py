@@ -27,8 +27,7 @@ NUM, DEN = 4, 5
 #: The order of shingles is learned from about so many texts, and holds at most so many common shingles.
 SAMPLE, MAX_COMMON = 5_000, 200_000
 #: Rounds in which each list's members are compared with its first one only; what is still apart is compared by pairs.
-#: The rounds end sooner where lists have become so short that there are at most so many pairs for each text.
-LEADER_ROUNDS, FEW_PAIRS = 3, 20
+LEADER_ROUNDS = 3
 #: Counts of a text's shingles by so many ranges of their hashes bound what two texts can share.
 RANGES = 256
 
@@ -170,15 +169,14 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
     edges = _similar(_close(texts), texts)
     of = materialize(connected_components(edges))
-    heads, few = materialize(prefixes(texts)), FEW_PAIRS * texts.count()
+    heads = materialize(prefixes(texts))
     shared = materialize(heads.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     lists = heads.join(broadcast_if_small(shared), "h", "left_semi").join(broadcast_if_small(of), "node", "left")
     lists = materialize(lists.select("h", "node", "m", F.coalesce("component", "node").alias("c")))
     discard(heads, shared)
     alike = DEN * F.least("m", "k") >= NUM * F.greatest("m", "k")  # else the sizes rule it out
-    ahead_only = [True] * LEADER_ROUNDS + [False]
-    while ahead_only:
-        if leaders := ahead_only.pop(0):
+    for leaders in [True] * LEADER_ROUNDS + [False]:
+        if leaders:
             ahead = lists.groupBy("h").agg(F.min(F.struct("node", "m", "c")).alias("f")).select("h", F.col("f.node").alias("a"), F.col("f.m").alias("k"), F.col("f.c").alias("d"))
             found = lists.join(ahead, "h")
             rest = found.filter("node <> a").select("h", "node", "m", "c")
@@ -195,11 +193,8 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
             before, lists = lists, materialize(named.join(broadcast_if_small(apart), "h", "left_semi"))
             del found, rest, ahead
             discard(before, named, apart)
-            pairs = lists.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
-            if not pairs:
+            if lists.isEmpty():
                 break
-            if pairs <= few:
-                ahead_only = [False]
     return of
 
 
