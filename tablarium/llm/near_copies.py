@@ -3,8 +3,13 @@
 SimHash fingerprints of five-word shingles and multi-index hashing find the closest ones. Fingerprints of texts at 0.8
 differ in some ten of 64 bits, beyond what balls of few bits reach, so prefix filtering finds the links that are left:
 shingles have one global order, and two sets that similar share a shingle among the first m - ceil(0.8 m) + 1 of each.
-Shingles that are common in a sample come last, which keeps the lists short; any order gives the same result. No
-candidate is left out, and each is checked by its whole sets.
+Shingles that are common in a sample come last, which keeps the lists short; any order gives the same result.
+
+Texts of sizes m and k that first meet at places p and q can share min(m - p, k - q) shingles at most, so they are compared
+only if 9 min(m - p, k - q) >= 4 (m + k). A list's members are first compared with the one that has the shingle earliest.
+What a list then holds outside its largest component is compared with the others that it can still meet; lists with many
+such members are parted by a further shingle that such texts must share too. No candidate is left out, and each is checked
+by its whole sets.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablarium.llm.common import broadcast_if_small, discard, fresh, map_arrow, materialize, parts
@@ -26,8 +31,10 @@ SIZE = 5
 NUM, DEN = 4, 5
 #: The order of shingles is learned from about so many texts, and holds at most so many common shingles.
 SAMPLE, MAX_COMMON = 5_000, 200_000
-#: Rounds in which each list's members are compared with its first one only; what is still apart is compared by pairs.
-LEADER_ROUNDS = 3
+#: A shingle in so many texts of the sample is hot: its list is never put in order by one task.
+HOT = 100
+#: A list with more members outside its largest component is parted by a further shingle, until so many have been used.
+MANY, MAX_DEPTH = 64, 3
 #: Counts of a text's shingles by so many ranges of their hashes bound what two texts can share.
 RANGES = 256
 
@@ -51,16 +58,16 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def with_node(docs: DataFrame) -> DataFrame:
-    """docs with row (unique) and node, a hash of the words; rows of one node have the same words."""
+    """docs, written, with row (unique) and node, the smallest row that has the same words (told by 128 bits of hash)."""
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     kinds = ", ".join(f"`{c}` {t}" for c, t in numbered.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = np.array([xxhash.xxh64_intdigest(b" ".join(_words(t.as_py())), 1) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*batch.schema.names, "node"])
+            said = [xxhash.xxh3_128_digest(b" ".join(_words(t.as_py()))) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.binary())], [*batch.schema.names, "said"])
 
-    return map_arrow(numbered, run, f"{kinds}, node long")
+    return materialize(map_arrow(numbered, run, f"{kinds}, said binary"))
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +79,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["h"])
 
-    seen = map_arrow(texts.filter(F.pmod("node", F.lit(1_000_000)) < share).select("text"), run, "h long")
+    seen = map_arrow(texts.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share).select("text"), run, "h long")
     rows = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
     hashes, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(hashes)
@@ -89,23 +96,27 @@ def _by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """h, node, m of each of the first m - ceil(0.8 m) + 1 shingles of each text, which has m."""
-    hashes, counts = _common(texts)
+    """h, node, m, p, hot: of each text, which has m shingles, the first m - ceil(0.8 m) + MAX_DEPTH by their places p."""
+    sent = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
-    def first(h: np.ndarray) -> np.ndarray:
+    def first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, counts = sent.value
         n = np.zeros(len(h), np.int64)
         if len(hashes):
             at = np.searchsorted(hashes, h).clip(max=len(hashes) - 1)
             n = np.where(hashes[at] == h, counts[at], 0)
-        return h[np.lexsort((h, n))[: len(h) - -(-NUM * len(h) // DEN) + 1]]
+        best = np.lexsort((h, n))[: len(h) - -(-NUM * len(h) // DEN) + MAX_DEPTH]
+        return h[best], n[best] >= HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, sets in _by_parts(batches):
-            heads, m = [first(h) if len(h) else h for h in sets], np.fromiter(map(len, sets), np.int32, len(sets))
-            n = np.fromiter(map(len, heads), np.int64, len(heads))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(nodes, n)), pa.array(np.repeat(m, n))], ["h", "node", "m"])
+            heads, m = [first(h) if len(h) else (h, h > 0) for h in sets], np.fromiter(map(len, sets), np.int32, len(sets))
+            n = np.fromiter((len(h) for h, _ in heads), np.int64, len(heads))
+            place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            columns = [np.concatenate([h for h, _ in heads]).view(np.int64), np.repeat(nodes, n), np.repeat(m, n), place, np.concatenate([x for _, x in heads])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "m", "p", "hot"])
 
-    return map_arrow(texts.select("node", "text"), run, "h long, node long, m int")
+    return map_arrow(texts.select("node", "text"), run, "h long, node long, m int, p int, hot boolean")
 
 
 def _arrays(texts: DataFrame, of_set: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
@@ -153,11 +164,11 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _close(texts: DataFrame) -> DataFrame:
-    """a, b: the first text of each fingerprint, with its other texts and with the first ones of fingerprints three or fewer bits away."""
+    """a, b: the first text of each fingerprint with its other texts, and with that of one fingerprint three or fewer bits away, if any."""
     marked = materialize(fingerprints(texts, "node", size=SIZE))
     firsts = materialize(marked.groupBy("fp").agg(F.min("node").alias("first")))
     spread = firsts.select("fp").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    near = links(spread)
+    near = links(spread).groupBy("b").agg(F.min("a").alias("a"))  # the filter below finds all other links
     across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("f")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("g")), "b")
     within = marked.join(firsts, "fp").filter("node <> first")
     out = materialize(across.select(F.col("f").alias("a"), F.col("g").alias("b")).unionByName(within.select(F.col("first").alias("a"), F.col("node").alias("b"))))
@@ -165,54 +176,92 @@ def _close(texts: DataFrame) -> DataFrame:
     return out
 
 
+def _can_meet() -> Column:
+    """Whether texts of m and k shingles that meet at their places p and q can be similar enough."""
+    return (NUM + DEN) * F.least(F.col("m") - F.col("p"), F.col("k") - F.col("q")) >= NUM * (F.col("m") + F.col("k"))
+
+
+def _largest() -> Column:
+    """The largest k for which that can hold, whatever q."""
+    return (DEN * F.col("m") - (NUM + DEN) * F.col("p")) / NUM
+
+
+def _in_prefix() -> Column:
+    return DEN * (F.col("m") - F.col("p")) >= NUM * F.col("m")
+
+
+def _lists(heads: DataFrame) -> DataFrame:
+    """h, node, m, p of heads whose shingle others have too, with a, k, q: node, size and place of the one that has it earliest."""
+    at = Window.partitionBy("h").orderBy("p", "node")
+    first = F.struct("p", "node", "m")
+    cold = heads.filter("not hot").select("h", "node", "m", "p", F.first(first).over(at).alias("first"), F.lead("node").over(at).alias("next"))
+    cold = cold.filter("node <> first.node or next is not null").drop("next")
+    # hot shingles are known from the sample, so there are MAX_COMMON at most; their leaders are found by partial sums
+    hot = heads.filter("hot").select("h", "node", "m", "p")
+    leaders = hot.groupBy("h").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    both = cold.unionByName(hot.join(F.broadcast(leaders), "h"))
+    return both.select("h", "node", "m", "p", F.col("first.node").alias("a"), F.col("first.m").alias("k"), F.col("first.p").alias("q"))
+
+
+def _across(lists: DataFrame, of: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """a, b of the pairs of different components that can meet in one list (h, node, m, p), and the members of the lists with too many such."""
+    rows = lists.join(broadcast_if_small(of), "node", "left").select("h", "node", "m", "p", F.coalesce("component", "node").alias("c"), _largest().alias("u"))
+    rows = materialize(rows)
+    kinds = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("m").alias("least"), F.max("u").alias("most"))
+    seen = kinds.groupBy("h").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.max("most").alias("most")).filter("kinds > 1")
+    marked = materialize(rows.join(seen, "h").select("h", "node", "m", "p", "c", "u", (F.col("c") != F.col("main")).alias("other"), ((F.col("u") >= F.col("least")) & (F.col("m") <= F.col("most"))).alias("open")))
+    others = marked.filter("other and open")
+    per = others.groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("least"), F.max("u").alias("most"))
+    met = materialize(marked.filter("open").join(per, "h").filter("other or (m <= most and u >= least)").select("h", "node", "m", "p", "c", "other", "n"))
+    discard(rows, marked)
+    many = F.col("n") > MANY
+    now = met if last else met.filter(~many)
+    found = now.filter("other").join(now.select("h", F.col("node").alias("a"), F.col("m").alias("k"), F.col("p").alias("q"), F.col("c").alias("d")), "h").filter("c <> d").filter(_can_meet())
+    return found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), met.filter(many).select("h", "node", "p")
+
+
+def _deeper(members: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
+    """Lists by one more shingle: of texts that share h, those similar enough share another one after it.
+
+    p counts as if the shingles that led here weren't there, so that the same bounds hold.
+    """
+    of_members = heads.join(broadcast_if_small(members.select("node").distinct()), "node", "left_semi").select("node", F.col("h").alias("then"), "m", F.col("p").alias("at"))
+    further = members.join(of_members, "node").filter(F.col("at") > F.col("p") + depth - 1)
+    return further.select(F.xxhash64("h", "then").alias("h"), "node", "m", (F.col("at") - depth).alias("p")).filter(_in_prefix())
+
+
 def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
-    edges = _similar(_close(texts), texts)
-    of = materialize(connected_components(edges))
     heads = materialize(prefixes(texts))
-    shared = materialize(heads.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    lists = heads.join(broadcast_if_small(shared), "h", "left_semi").join(broadcast_if_small(of), "node", "left")
-    lists = materialize(lists.select("h", "node", "m", F.coalesce("component", "node").alias("c")))
-    discard(heads, shared)
-    alike = DEN * F.least("m", "k") >= NUM * F.greatest("m", "k")  # else the sizes rule it out
-    for leaders in [True] * LEADER_ROUNDS + [False]:
-        if leaders:
-            ahead = lists.groupBy("h").agg(F.min(F.struct("node", "m", "c")).alias("f")).select("h", F.col("f.node").alias("a"), F.col("f.m").alias("k"), F.col("f.c").alias("d"))
-            found = lists.join(ahead, "h")
-            rest = found.filter("node <> a").select("h", "node", "m", "c")
-        else:
-            found = lists.join(lists.select("h", F.col("node").alias("a"), F.col("m").alias("k"), F.col("c").alias("d")), "h").filter("a < node")
-        new = _similar(found.filter("c <> d").filter(alike).select("a", F.col("node").alias("b")), texts)
-        edges = edges.unionByName(new)
-        of = materialize(connected_components(edges))
-        if leaders:
-            # a list whose members are all of one component is done
-            named = rest.drop("c").join(broadcast_if_small(of), "node", "left").select("h", "node", "m", F.coalesce("component", "node").alias("c"))
-            named = materialize(named)
-            apart = materialize(named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("h"))
-            before, lists = lists, materialize(named.join(broadcast_if_small(apart), "h", "left_semi"))
-            del found, rest, ahead
-            discard(before, named, apart)
-            if lists.isEmpty():
-                break
-    return of
+    lists = materialize(_lists(heads.filter(_in_prefix())))
+    led = lists.filter("node <> a").filter(_can_meet()).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    edges = _similar(_close(texts).unionByName(led), texts)
+    of = materialize(connected_components(edges))
+    level, found = lists.select("h", "node", "m", "p"), None
+    for depth in range(1, MAX_DEPTH + 1):
+        pairs, members = _across(level, of, depth == MAX_DEPTH)
+        found = pairs if found is None else found.unionByName(pairs)
+        if depth == MAX_DEPTH or members.isEmpty():
+            break
+        level = materialize(_deeper(materialize(members), heads, depth))
+    edges = materialize(edges.unionByName(_similar(found, texts)))
+    return connected_components(edges)
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """Of each group of rows linked by similar texts the one with the smallest doc_id stays; a null doc_id comes last.
 
-    Rows are told apart by a number of their own, so repeated and null doc_ids are rows like others.
+    Rows are told apart by a number of their own, so repeated and null doc_ids are rows like others. Null and empty texts, of
+    no words, are copies of each other; very long texts are compared whole; other columns stay, whatever their names.
     """
-    columns, aside = docs.columns, {c: fresh(f"{c}_", *docs.columns) for c in docs.columns if c.lower() in ("row", "node")}
-    docs = docs.withColumnsRenamed(aside)
-    marked = materialize(with_node(docs))
-    of = near_copy_components(_distinct(marked))
-    rows = marked.select("row", "doc_id", "node").join(broadcast_if_small(of), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("c"))
+    columns, aside = docs.columns, {c: fresh(f"{c}_", *docs.columns) for c in docs.columns if c.lower() in ("row", "said")}
+    marked = with_node(docs.withColumnsRenamed(aside))
+    known = marked.select("row", "doc_id", "said")
+    one = materialize(known.groupBy("said").agg(F.min("row").alias("node")))
+    nodes = materialize(known.join(one, "said").select("row", "doc_id", "node"))
+    texts = marked.select(F.col("row").alias("node"), "text").join(broadcast_if_small(one.select("node")), "node", "left_semi")
+    of = materialize(near_copy_components(texts))
+    rows = nodes.join(broadcast_if_small(of), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("c"))
     stay = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("row"))
-    return marked.join(broadcast_if_small(materialize(stay)), "row", "left_semi").select(*[F.col(aside.get(c, c)).alias(c) for c in columns])
-
-
-def _distinct(marked: DataFrame) -> DataFrame:
-    """node and text, one row a node."""
-    one = materialize(marked.groupBy("node").agg(F.min("row").alias("row")).select("row"))
-    return marked.join(broadcast_if_small(one), "row", "left_semi").select("node", "text")
+    gone = materialize(nodes.select("row").join(stay, "row", "left_anti"))
+    return marked.join(broadcast_if_small(gone), "row", "left_anti").select(*[F.col(aside.get(c, c)).alias(c) for c in columns])

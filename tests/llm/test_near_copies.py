@@ -37,9 +37,12 @@ def stage(spark, docs):
     return sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.drop_near_copies(spark, docs, None).select("doc_id").collect())
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
-def test_edited_copies(spark, rounds, monkeypatch):
-    monkeypatch.setattr(near_copies, "LEADER_ROUNDS", rounds)
+@pytest.mark.parametrize(("many", "depth", "hot"), [(64, 3, 100), (0, 3, 100), (0, 2, 3)])
+def test_edited_copies(spark, many, depth, hot, monkeypatch):
+    """many = 0: every list is parted by further shingles; hot = 3: lists of all known shingles have their leaders by partial sums."""
+    monkeypatch.setattr(near_copies, "MANY", many)
+    monkeypatch.setattr(near_copies, "MAX_DEPTH", depth)
+    monkeypatch.setattr(near_copies, "HOT", hot)
     rng, rows = random.Random(7), []
     for base in range(6):
         words = [f"w{rng.randrange(500)}" for _ in range(64)]
@@ -54,6 +57,19 @@ def test_edited_copies(spark, rounds, monkeypatch):
     assert len(want) < len({t for _, t in rows}) - 6
 
 
+def test_unlike_texts_of_one_shingle(spark, monkeypatch):
+    """A list of many texts that share a rare shingle only, among them some pairs with a long common part."""
+    monkeypatch.setattr(near_copies, "MANY", 3)
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        words = [f"u{k}x{rng.randrange(9)}" for _ in range(rng.choice((8, 30)))]
+        rows.append((k, " ".join([*words, "aa bb cc dd ee"])))
+        if k % 7 == 0:
+            rows.append((100 + k, " ".join([*words, "aa bb cc dd ee", "new"])))
+            rows.append((200 + k, " ".join(["aa bb cc dd ee", *words[: len(words) // 2]])))
+    assert stage(spark, spark.createDataFrame(rows, "doc_id long, text string")) == survivors(rows)
+
+
 def test_driver_table(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     assert stage(spark, docs) == survivors([(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()])
