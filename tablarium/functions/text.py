@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +17,12 @@ STOPWORDS = (
     "göre gibi ama veya her tüm ben sen siz bana beni bize nasıl niye neden misin misiniz mısın mısınız kadar sonra önce çok az ki ise "
     "ancak yani hem ya"
 ).split()
-#: Entities that occur in pages; others stay as they are.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Numeric references to what isn't a character: Windows-1252 bytes 0x80 to 0x9F, and U+FFFD for zero, surrogates and beyond the last one.
+_WINDOWS = {k: bytes([k]).decode("cp1252", "replace") for k in range(0x80, 0xA0)} | {k: chr(k) for k in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: Names of references, from the standard library's table; those without a semicolon may be followed by other letters.
+_NAMES = {k.rstrip(";"): v for k, v in html5.items() if k.endswith(";")}
+_OPEN_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+_REFERENCE = "&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|" + "|".join(f"{k}" for k in _OPEN_NAMES) + ")"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -44,12 +50,43 @@ def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
 
 
+def _code_point(n: Column) -> Column:
+    """The character of a numeric reference, by its number."""
+    windows = F.element_at(F.from_json(F.lit(json.dumps(_WINDOWS)), "map<string,string>"), n.cast("string"))
+    controls = n.between(1, 8) | n.between(14, 31) | n.between(127, 127) | n.between(0xFDD0, 0xFDEF) | (n == 11) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    # four bytes of UTF-32 as text, which no function makes of a number otherwise beyond one byte
+    made = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF) | n.isNull(), "\ufffd").when(n.between(0x80, 0x9F), windows).when(controls, "").otherwise(made)
+
+
+def _one_reference(r: Column) -> Column:
+    """What a reference stands for; one of an unknown name stays, but for a known name at its beginning."""
+    hexadecimal = F.conv(F.regexp_extract(r, "^&#[xX]([0-9a-fA-F]{1,15})", 1), 16, 10).try_cast("long")
+    decimal = F.regexp_extract(r, "^&#([0-9]{1,18})", 1).try_cast("long")
+    number = F.when(r.rlike("^&#[xX]"), hexadecimal).otherwise(decimal)
+    name = F.regexp_extract(r, "^&([A-Za-z][A-Za-z0-9]*)", 1)
+    known = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
+    begun = F.regexp_extract(name, f"^({'|'.join(_OPEN_NAMES)})", 1)
+    whole = F.when(r.endswith(";"), F.element_at(known, name))
+    part = F.when(begun != "", F.concat(F.element_at(known, begun), F.substring(r, F.length(begun) + 2, F.length(r))))
+    return F.when(r.startswith("&#"), _code_point(number)).otherwise(F.coalesce(whole, part, r))
+
+
+def unescape(c: Column) -> Column:
+    """Character references, named, decimal and hexadecimal, become their characters; as in browsers, some names need no semicolon."""
+
+    def joined(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), _one_reference)
+        between = F.split(t, _REFERENCE, -1)
+        pairs = F.zip_with(between, found, lambda b, r: F.concat(b, F.coalesce(r, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    return let(c, lambda t: F.when(t.rlike(_REFERENCE), joined(t)).otherwise(t))
+
+
 def strip_html(c: Column) -> Column:
-    """Scripts and styles go, tags become spaces, common entities their characters."""
-    out = F.regexp_replace(F.regexp_replace(c, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", " "), "<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Scripts and styles go, tags become spaces, character references their characters."""
+    return unescape(F.regexp_replace(F.regexp_replace(c, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", " "), "<[^>]+>", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -126,6 +163,13 @@ def place(found: Column, between: Column) -> Column:
     return let(pairs, blocks)
 
 
+def first_match(text: Column, pattern: str) -> Column:
+    """struct<s, e, m>: the first match with its offsets in code points, or null. pattern must not match the empty string."""
+    before = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
+    found = let(F.regexp_extract(text, pattern, 0), lambda m: F.struct(before.alias("s"), (before + F.length(m)).alias("e"), m.alias("m")))
+    return F.when(text.rlike(pattern), found)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>>: matches with offsets, from the pieces between them."""
     return place(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablarium.functions.text import keyword_regex, let, tr_fold_ascii
 from tablarium.operators.rank import direction, numeric_key
+from tablarium.operators.route import INTEREST
 
 #: Names of fields in sentences, and stems by which a question asks for a ruling, for advice or for a promise.
 LABELS = {
@@ -82,7 +83,7 @@ def gates(question: Column, scope: list[str]) -> Column:
     def met(q: Column) -> Column:
         ruling = _stem(q, RULING) | q.rlike(f"\\b(?:{RULING_WEAK})[^.?!]{{0,18}}?\\b{PARTICLE}\\b")
         others = F.array(
-            F.when(q.rlike("\\bfaiz(?!siz)|\\binterest\\b"), "terminology"), F.when(_stem(q, ADVICE), "advice"), F.when(_stem(q, PROMISE), "guarantee"),
+            F.when(q.rlike(INTEREST), "terminology"), F.when(_stem(q, ADVICE), "advice"), F.when(_stem(q, PROMISE), "guarantee"),
             F.when(~q.rlike(keyword_regex(scope)), "abstention"),
         )
         return F.when(ruling, F.array(F.lit("ruling"))).otherwise(F.array_compact(others))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_date, normalize_money, normalize_rate, normalize_term_months
-from tablarium.functions.text import let, match_spans, tr_fold
+from tablarium.functions.text import first_match, let, match_spans, tr_fold
 
 #: Units that a rate is not, and patterns with which a field is found.
 UNIT = "(?:ay|y[ıi]l|sene|taksit|adet|tl|₺)(?:a|e|da|de|ta|te|dan|den|tan|ten|[ıi]|l[ıi]k|lar|ler)?\\b"
@@ -24,6 +24,18 @@ DISCOUNT_AFTER = "(?iuU)indirim\\s*(?:oran[ıi])?[^%\\d]{0,12}(%\\s*\\d[\\d.,]*|
 DEADLINE = "(?iuU)\\d{4}-\\d{1,2}-\\d{1,2}|\\d{1,2}[./]\\d{1,2}[./]\\d{4}|\\d{1,2}\\s+(?:ocak|şubat|mart|nisan|mayıs|haziran|temmuz|ağustos|eylül|ekim|kasım|aralık)\\s+\\d{4}"
 
 
+#: What a deadline is near to.
+DEADLINE_TRIGGER = "(?iuU)kampanya|son\\s+ba[şs]vuru|ge[çc]erli|tarihine\\s+kadar"
+
+
+def at(s: Column, e: Column, ws: Column | None = None, we: Column | None = None, distance: Column | int | None = 0, candidates: Column | int = 1) -> Column:
+    """Evidence of a value: its offsets, those that its window is around, the distance to what it was found by, and how many were."""
+    whole = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("int")
+    return F.struct(
+        whole(s).alias("s"), whole(e).alias("e"), whole(s if ws is None else ws).alias("ws"), whole(e if we is None else we).alias("we"), whole(distance).alias("distance"), whole(candidates).alias("candidates"),
+    )
+
+
 def _group(text: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
@@ -34,10 +46,32 @@ def profit_rate(text: Column) -> Column:
     return let(text, lambda t: F.when(t.rlike("(?iu)pay") & ~t.rlike(SHARING), normalize_rate(raw(t))))
 
 
+def profit_rate_at(text: Column) -> Column:
+    """Where the rate of profit_rate() stands; see at()."""
+
+    def before(t: Column) -> Column:
+        end = lambda m: m["s"] + F.length(F.regexp_extract(m["m"], RATE_BEFORE, 1))
+        return let(first_match(t, RATE_BEFORE), lambda m: at(m["s"], end(m), m["s"], m["e"], 0, F.regexp_count(t, F.lit(RATE_BEFORE))))
+
+    def after(t: Column) -> Column:
+        def place(m: Column) -> Column:
+            start = m["e"] - F.length(F.regexp_extract(t, RATE_AFTER, 3))  # the rate is what a match ends with
+            return at(start, m["e"], m["s"], m["e"], start - m["s"] - F.length(F.regexp_extract(t, RATE_AFTER, 1)), F.regexp_count(t, F.lit(RATE_AFTER)))
+
+        return let(first_match(t, RATE_AFTER), place)
+
+    return let(text, lambda t: F.when(t.rlike(RATE_BEFORE), before(t)).otherwise(after(t)))
+
+
 def term(text: Column) -> Column:
-    """Struct months, s, e. Of all terms the one not after "ilk", nearest to "vade", first."""
+    """Struct months, s, e, d (to the nearest "vade"), n (terms in the text). Of all terms the one not after "ilk", nearest to "vade", first."""
     known = F.struct(match_spans(text, TERM).alias("spans"), tr_fold(text).alias("low"))
-    return let(let(known, lambda x: _nearest(x["spans"], x["low"])), lambda best: F.when(best.isNotNull(), F.struct(normalize_term_months(best["m"]).alias("months"), best["s"].alias("s"), best["e"].alias("e"))))
+
+    def made(x: Column) -> Column:
+        parts = lambda b: F.struct(normalize_term_months(b["m"]).alias("months"), b["s"].alias("s"), b["e"].alias("e"), b["d"].alias("d"), F.size(x["spans"]).alias("n"))
+        return let(_nearest(x["spans"], x["low"]), lambda b: F.when(b.isNotNull(), parts(b)))
+
+    return let(known, made)
 
 
 def _nearest(spans: Column, low: Column) -> Column:
@@ -57,6 +91,31 @@ def amount(text: Column) -> Column:
     return normalize_money(_group(text, AMOUNT, 2))
 
 
+def amount_at(text: Column) -> Column:
+    """Where the amount of amount() stands; see at()."""
+
+    def place(t: Column, m: Column) -> Column:
+        start = m["e"] - F.length(F.regexp_extract(t, AMOUNT, 2))
+        return at(start, m["e"], m["s"], m["e"], start - m["s"] - F.length(F.regexp_extract(t, AMOUNT, 1)), F.regexp_count(t, F.lit(AMOUNT)))
+
+    return let(text, lambda t: let(first_match(t, AMOUNT), lambda m: place(t, m)))
+
+
+def whole_at(text: Column, pattern: str) -> Column:
+    """Where the first match of a pattern that is a value as a whole stands; see at()."""
+    return let(text, lambda t: let(first_match(t, pattern), lambda m: at(m["s"], m["e"], candidates=F.regexp_count(t, F.lit(pattern)))))
+
+
+def deadline_at(text: Column) -> Column:
+    """Where the day of deadline() stands; see at(). No trigger: a null distance."""
+
+    def place(t: Column, m: Column) -> Column:
+        near = F.array_min(F.transform(match_spans(t, DEADLINE_TRIGGER), lambda x: F.abs(x["s"] - m["s"])))
+        return at(m["s"], m["e"], distance=near, candidates=F.regexp_count(t, F.lit(DEADLINE)))
+
+    return let(text, lambda t: let(first_match(t, DEADLINE), lambda m: place(t, m)))
+
+
 def instalments(text: Column) -> Column:
     """X06"""
     return F.coalesce(_group(text, INSTALMENTS, 1), _group(text, INSTALMENTS, 2)).cast("int")
@@ -73,6 +132,13 @@ def discount(text: Column) -> Column:
     return let(F.struct(text.alias("t"), raw.alias("raw")), lambda x: _unless_points(x["t"], x["raw"]))
 
 
+def discount_at(text: Column) -> Column:
+    """Where the rate of discount() stands; see at()."""
+    before = lambda t: let(first_match(t, DISCOUNT_BEFORE), lambda m: at(m["s"], m["s"] + F.length(F.regexp_extract(t, DISCOUNT_BEFORE, 1))))
+    after = lambda t: let(first_match(t, DISCOUNT_AFTER), lambda m: at(m["e"] - F.length(F.regexp_extract(t, DISCOUNT_AFTER, 1)), m["e"]))
+    return let(text, lambda t: F.when(t.rlike(DISCOUNT_BEFORE), before(t)).otherwise(after(t)))
+
+
 def _unless_points(text: Column, raw: Column) -> Column:
     at = F.position(raw, text)
     around = F.substring(text, F.greatest(at - 25, F.lit(1)), F.length(raw) + 50)

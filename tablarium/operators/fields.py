@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import NEGATION, normalize_fee_status, normalize_money, parse_tr_number
-from tablarium.functions.text import let, match_spans, tr_fold_ascii
+from tablarium.functions.text import first_match, let, match_spans, tr_fold_ascii
 from tablarium.operators import extract, offers
 from tablarium.operators.classify import campaign_type, reconcile
 
@@ -25,6 +25,9 @@ PERCENT = "(?:%\\s*\\d{1,3}[.,]\\d{1,2}|\\d{1,3}[.,]\\d{1,2}\\s*%)"
 TABLE_ROW = f"\\b\\d{{1,3}}(?![\\d.,])\\s+(?:{PERCENT}\\s*){{2,5}}"
 TABLE_TERM = "(?iu)\\b\\d{1,3}(?![\\d.,])\\s*(?:ay\\b)?"
 OF_VALUE = "(?iu)de[ğg]er\\s*[x×]\\s*$"
+#: The part of a table's title that its values are shown by.
+TABLE_SHOWN = "(?iuU)vade[^%\\d]{0,40}?(?:kâr|kar)\\s*pay[ıi]\\s*oran[ıi]"
+WINDOW = 40
 TABLE_REACH, RATE_REACH, ALLOCATION_COLUMN_REACH = 4000, 60, 30
 MAX_TERM, MAX_RATE, MAX_ALLOCATION_RATE = 480, 15, 10
 FIELDS = (
@@ -33,7 +36,7 @@ FIELDS = (
 
 _PARTS = {
     "num": "double", "min": "double", "max": "double", "value": "double", "currency": "string", "has_fee": "boolean", "amount": "double",
-    "rate": "double", "day": "date", "kind": "string", "items": "array<string>", "s": "int", "e": "int",
+    "rate": "double", "day": "date", "kind": "string", "items": "array<string>", "s": "int", "e": "int", "raw": "string", "window": "string", "confidence": "double",
 }
 _ROW = "struct<term:int,rate:double,fee:double>"
 
@@ -43,6 +46,23 @@ def made(name: str, when: Column, **parts: Column) -> Column:
     return F.when(when, F.struct(F.lit(name).alias("field"), *[parts.get(k, F.lit(None)).cast(t).alias(k) for k, t in _PARTS.items()]))
 
 
+def shown(text: Column, value: Column, evidence: Column) -> Column:
+    """A field of made() with its evidence (see extract.at): offsets, the raw text there, the window around it, confidence; null stays null."""
+
+    def parts(x: Column) -> Column:
+        v, a = x["v"], x["a"]
+        numbers = F.array_compact(F.array(*[v[p] for p in ("num", "value", "amount", "min", "max")]))
+        start = F.greatest(a["ws"] - WINDOW, F.lit(0))
+        score = offers.confidence(v["field"], numbers, a["distance"], F.coalesce(a["candidates"], F.lit(1)), v["min"].isNotNull() & v["max"].isNotNull())
+        own = {
+            "s": a["s"], "e": a["e"], "raw": F.coalesce(F.substring(text, a["s"] + 1, a["e"] - a["s"]), F.get(v["items"], F.lit(0))),
+            "window": F.btrim(F.substring(text, start + 1, a["we"] + WINDOW - start), F.lit(" \t\n\r\x0b\x0c\xa0")), "confidence": score,
+        }
+        return F.when(v.isNotNull(), F.struct(v["field"].alias("field"), *[own.get(k, v[k]).cast(t).alias(k) for k, t in _PARTS.items()]))
+
+    return let(F.struct(value.alias("v"), evidence.alias("a")), parts)
+
+
 def _clause(text: Column, start: Column, end: Column) -> Column:
     """text[start:end] up to the end of its clause."""
     return F.regexp_replace(F.substring(text, start + 1, end - start), f"(?s)(?:{CLAUSE_END}).*", "")
@@ -71,7 +91,7 @@ def fee_claim(text: Column) -> Column:
 
 
 def allocation_fee(text: Column) -> Column:
-    """Struct value, currency, s, e. Of all mentions the first positive fee wins, else a denial, which is 0; a fee needs its currency."""
+    """Struct value, currency, s, e, t (end of the trigger). Of all mentions the first positive fee wins, else a denial, which is 0; a fee needs its currency."""
 
     def one(t: Column):
         def read(m: Column) -> Column:
@@ -79,7 +99,7 @@ def allocation_fee(text: Column) -> Column:
                 money = F.when(c.rlike(CURRENCY), normalize_money(c))
                 fee = F.when(tr_fold_ascii(c).rlike(NEGATION), F.struct(F.lit(0.0).alias("value"), F.lit("TRY").alias("currency"))).otherwise(money)
                 end = (m["e"] + F.length(c)).alias("e")
-                return let(fee, lambda f: F.when(f.isNotNull(), F.struct(f["value"].alias("value"), f["currency"].alias("currency"), m["s"].alias("s"), end)))
+                return let(fee, lambda f: F.when(f.isNotNull(), F.struct(f["value"].alias("value"), f["currency"].alias("currency"), m["s"].alias("s"), end, m["e"].alias("t"))))
 
             return let(_clause(t, m["e"], m["e"] + ALLOCATION_REACH), typed)
 
@@ -94,9 +114,8 @@ def rate_table(text: Column) -> Column:
 
     Rows of a term and two to five percentages count first. Else each term takes the next rate that isn't taken, within 60 characters.
     """
-    at = F.regexp_instr(text, F.lit(TABLE_TITLE))
-    tail = F.substring(text, at + F.length(F.regexp_extract(text, TABLE_TITLE, 0)), F.lit(TABLE_REACH))
-    return let(F.when(at > 0, tail).otherwise(""), lambda t: let(_plain_rows(t), lambda rows: F.when(F.size(rows) > 0, rows).otherwise(_loose_rows(t))))
+    tail = let(first_match(text, TABLE_TITLE), lambda m: F.substring(text, m["e"] + 1, F.lit(TABLE_REACH)))
+    return let(F.coalesce(tail, F.lit("")), lambda t: let(_plain_rows(t), lambda rows: F.when(F.size(rows) > 0, rows).otherwise(_loose_rows(t))))
 
 
 def _row(term: Column, rate: Column, fee: Column) -> Column:
@@ -151,29 +170,32 @@ def from_rate_table(rows: Column) -> Column:
 
 
 def extract_all(text: Column) -> Column:
-    """Array of structs (field and the parts of its canonical value), one for each field found; a rate table comes before single mentions."""
+    """Array of structs, one for each field found: its name, the parts of its canonical value, where it stands (s, e: code points),
+    the raw text there, the window around it and the confidence. A rate table comes before single mentions.
+    """
+    at = extract.at
 
     def build(t: Column, table: Column) -> Column:
-        rate = F.when(table.isNotNull(), F.struct(table["num"].alias("num"), table["min"].alias("min"), table["max"].alias("max"))).otherwise(extract.profit_rate(t))
-        term = F.when(table.isNotNull(), F.struct(table["term"].alias("months"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"))).otherwise(extract.term(t))
-        whole = lambda name: lambda v: made(name, v.isNotNull(), value=v["value"], currency=v["currency"])
+        has_table = table.isNotNull()
+        title = let(first_match(t, TABLE_SHOWN), lambda m: at(F.coalesce(m["s"], F.lit(0)), F.coalesce(m["e"], F.lit(0))))
+        rate = F.when(has_table, F.struct(table["num"].alias("num"), table["min"].alias("min"), table["max"].alias("max"))).otherwise(extract.profit_rate(t))
+        money = lambda name: lambda v: made(name, v.isNotNull(), value=v["value"], currency=v["currency"])
         wide = lambda name: lambda v: made(name, v.isNotNull(), num=v["num"], min=v["min"], max=v["max"])
-        allocation = F.when(table["fee"].isNotNull(), made("tahsis_ucreti", F.lit(True), rate=table["fee"])).otherwise(
-            let(allocation_fee(t), lambda v: made("tahsis_ucreti", v.isNotNull(), value=v["value"], currency=v["currency"], s=v["s"], e=v["e"]))
-        )
+        single_term = let(extract.term(t), lambda v: shown(t, made("vade_ay", v["months"].isNotNull(), num=v["months"]), at(v["s"], v["e"], distance=v["d"], candidates=v["n"])))
+        single_fee = let(allocation_fee(t), lambda v: shown(t, money("tahsis_ucreti")(v), at(v["s"], v["e"], v["s"], v["t"])))
         found = [
-            let(rate, wide("kar_payi_orani")),
-            let(term, lambda v: made("vade_ay", v["months"].isNotNull(), num=v["months"], s=v["s"], e=v["e"])),
-            let(extract.amount(t), whole("finansman_tutari")),
-            let(extract.instalments(t), lambda v: made("taksit_sayisi", v.isNotNull(), num=v)),
-            let(fee_claim(t), lambda v: made("masraf_durumu", v.isNotNull(), has_fee=v["has_fee"], amount=v["amount"], s=v["s"], e=v["e"])),
-            allocation,
-            let(extract.deadline(t), lambda v: made("kampanya_suresi", v.isNotNull(), day=v)),
-            let(offers.reward(t), whole("odul_miktari")),
-            let(extract.discount(t), wide("indirim_orani")),
-            let(offers.points(t), lambda v: made("alisveris_puani", v.isNotNull(), kind=v["kind"], value=v["value"])),
-            let(offers.audience(t), lambda v: made("hedef_kitle", v.isNotNull(), items=v)),
-            let(offers.conditions(t), lambda v: made("kampanya_kosullari", v.isNotNull(), items=v)),
+            shown(t, let(rate, wide("kar_payi_orani")), F.when(has_table, title).otherwise(extract.profit_rate_at(t))),
+            F.when(has_table, shown(t, made("vade_ay", F.lit(True), num=table["term"]), title)).otherwise(single_term),
+            shown(t, let(extract.amount(t), money("finansman_tutari")), extract.amount_at(t)),
+            shown(t, let(extract.instalments(t), lambda v: made("taksit_sayisi", v.isNotNull(), num=v)), extract.whole_at(t, extract.INSTALMENTS)),
+            let(fee_claim(t), lambda v: shown(t, made("masraf_durumu", v.isNotNull(), has_fee=v["has_fee"], amount=v["amount"]), at(v["s"], v["e"]))),
+            F.when(table["fee"].isNotNull(), shown(t, made("tahsis_ucreti", F.lit(True), rate=table["fee"]), title)).otherwise(single_fee),
+            shown(t, let(extract.deadline(t), lambda v: made("kampanya_suresi", v.isNotNull(), day=v)), extract.deadline_at(t)),
+            shown(t, let(offers.reward(t), money("odul_miktari")), offers.reward_at(t)),
+            shown(t, let(extract.discount(t), wide("indirim_orani")), extract.discount_at(t)),
+            shown(t, let(offers.points(t), lambda v: made("alisveris_puani", v.isNotNull(), kind=v["kind"], value=v["value"])), offers.points_at(t)),
+            shown(t, let(offers.audience(t), lambda v: made("hedef_kitle", v.isNotNull(), items=v)), offers.audience_at(t)),
+            let(offers.conditions(t), lambda v: shown(t, made("kampanya_kosullari", v.isNotNull(), items=v), offers.conditions_at(t, F.get(v, F.lit(0))))),
         ]
         return F.array_compact(F.array(*found))
 

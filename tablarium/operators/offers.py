@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_money, parse_tr_number
-from tablarium.functions.text import keyword_regex, let, match_spans, split_sentences, tr_fold_ascii
+from tablarium.functions.text import first_match, keyword_regex, let, match_spans, split_sentences, tr_fold_ascii
+from tablarium.operators.extract import at
 
 #: Words and patterns of each field, ranges of plausible numbers, parts of the confidence.
 REWARD = "(?iu)hediye|para\\s*puan|cashback|nakit\\s*iade|iade|bonus|çek|kazan[\\wçğıöşü]*|ödül"
@@ -34,20 +35,30 @@ BASE, ADJACENT, NEAR, FAR, IMPLAUSIBLE, SEVERAL, RANGE, FLOOR, CEILING = 0.70, 0
 _SIDE = 30
 
 
-def reward(text: Column) -> Column:
-    """Struct value, currency of the amount nearest to a word of reward: the last in the 30 characters before, else the first in those after."""
+def _reward(text: Column) -> Column:
+    """struct d, s, m, at, to: the amount of reward(), its distance to the word, and its offsets."""
 
     def near(t: Column) -> Column:
         def one(r: Column) -> Column:
             start = F.greatest(r["s"] - _SIDE, F.lit(0))
             before = let(match_spans(F.substring(t, start + 1, r["s"] - start), MONEY), lambda m: F.get(m, F.size(m) - 1))
             after = F.get(match_spans(F.substring(t, r["e"] + 1, F.lit(_SIDE)), MONEY), F.lit(0))
-            made = lambda d, m: F.struct(d.alias("d"), r["s"].alias("s"), m.alias("m"))
-            return let(F.struct(before.alias("b"), after.alias("a")), lambda x: F.when(x["b"].isNotNull(), made(r["s"] - start - x["b"]["e"], x["b"]["m"])).when(x["a"].isNotNull(), made(x["a"]["s"], x["a"]["m"])))
+            made = lambda d, m, off: F.struct(d.alias("d"), r["s"].alias("s"), m["m"].alias("m"), (off + m["s"]).alias("at"), (off + m["e"]).alias("to"))
+            return let(F.struct(before.alias("b"), after.alias("a")), lambda x: F.when(x["b"].isNotNull(), made(r["s"] - start - x["b"]["e"], x["b"], start)).when(x["a"].isNotNull(), made(x["a"]["s"], x["a"], r["e"])))
+
+        return F.array_min(F.array_compact(F.transform(match_spans(t, REWARD), one)))
 
-        return F.array_min(F.array_compact(F.transform(match_spans(t, REWARD), one)))["m"]
+    return let(text, near)
 
-    return normalize_money(let(text, near))
+
+def reward(text: Column) -> Column:
+    """Struct value, currency of the amount nearest to a word of reward: the last in the 30 characters before, else the first in those after."""
+    return let(_reward(text), lambda x: normalize_money(x["m"]))
+
+
+def reward_at(text: Column) -> Column:
+    """Where the amount of reward() stands; see extract.at()."""
+    return let(_reward(text), lambda x: at(x["at"], x["to"], distance=x["d"]))
 
 
 def points(text: Column) -> Column:
@@ -65,6 +76,31 @@ def points(text: Column) -> Column:
     return let(let(F.struct(text.alias("t"), F.get(match_spans(text, POINTS), F.lit(0)).alias("p")), around), typed)
 
 
+def points_at(text: Column) -> Column:
+    """Where the number of points() stands; see extract.at()."""
+
+    def inside(start: Column, c: Column) -> Column:
+        sign = let(first_match(c, "%\\s*\\d[\\d.,]*|\\d[\\d.,]*\\s*%"), lambda m: let(first_match(m["m"], "\\d[\\d.,]*"), lambda n: at(start + m["s"] + n["s"], start + m["s"] + n["e"])))
+        plain = let(first_match(c, "\\d[\\d.,]*"), lambda n: at(start + n["s"], start + n["e"]))
+        return F.when(c.rlike("%\\s*\\d|\\d[\\d.,]*\\s*%"), sign).otherwise(plain)
+
+    def around(t: Column, p: Column) -> Column:
+        return let(F.greatest(p["s"] - _SIDE, F.lit(0)), lambda start: let(F.substring(t, start + 1, p["e"] + _SIDE - start), lambda c: inside(start, c)))
+
+    return let(text, lambda t: let(first_match(t, POINTS), lambda p: around(t, p)))
+
+
+def audience_at(text: Column) -> Column:
+    """Where the first segment of audience() is mentioned, in the order new, present, salary, group; see extract.at()."""
+    mention = lambda t, p: let(first_match(t, p), lambda m: F.when(~F.substring(t, m["e"] + 1, F.lit(25)).rlike(EXCLUDED), at(m["s"], m["e"])))
+    return let(text, lambda t: F.coalesce(*[mention(t, AUDIENCES[k]) for k in sorted(AUDIENCES, reverse=True)]))
+
+
+def conditions_at(text: Column, first: Column) -> Column:
+    """Where the first of conditions() stands in the text, null if the text has other white space there; see extract.at()."""
+    return let(F.position(first, text) - 1, lambda s: F.when(s >= 0, at(s, s + F.length(first))))
+
+
 def audience(text: Column) -> Column:
     """Sorted array of segments whose first mention isn't excluded within 25 characters; null if there is none."""
 

@@ -5,33 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import let, normalize_text, normalize_whitespace, split_sentences, tokenize
+from tablarium.functions.text import let, match_spans, normalize_text, normalize_whitespace, split_sentences, tokenize
 from tablarium.operators.retrieve import cosine
 
 #: Elements that hold no content, those left out at first, and the least length of a main text.
-NEVER, CHROME, AT_FIRST = ["script", "style", "noscript", "svg", "iframe", "template"], ["nav", "header", "footer", "aside"], ["form"]
+NEVER, CHROME, AT_FIRST = ["noscript", "svg", "iframe", "template"], ["nav", "header", "footer", "aside"], ["form"]
+#: What is no markup inside: comments, scripts and styles, whichever begins first.
+RAW = "(?is)<!--.*?-->|<(script|style)\\b[^>]*>.*?</\\1\\s*>"
 MIN_TEXT = 200
 MAX_CHARS, OVERLAP = 800, 120
 MIN_SCORE, PER_RESULT = 0.5, 5
 
 
-def _without(html: Column, tags: list[str]) -> Column:
-    for tag in tags:  # one tag a pass, as an element may hold elements of other names
-        html = F.regexp_replace(html, f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>", " ")
-    return html
+def _tags(html: Column, names: list[str]) -> Column:
+    """array<struct<s, e, m>>: the tags of some names; one that closes itself holds nothing and is left out."""
+    return F.filter(match_spans(html, f"(?i)<(?:/(?:{'|'.join(names)})\\s*|(?:{'|'.join(names)})(?:\\s[^>]*)?)>"), lambda x: ~x["m"].endswith("/>"))
+
+
+def _depth(now: Column, x: Column) -> Column:
+    """Open elements after a tag; one that closes nothing counts for nothing."""
+    return F.when(x["m"].startswith("</"), F.greatest(now - 1, F.lit(0))).otherwise(now + 1)
+
+
+def _without(html: Column, names: list[str]) -> Column:
+    """html without the elements of these names, with all that they hold; one that isn't closed reaches to the end.
+
+    Within an element only tags of its own name count.
+    """
+
+    def cut(h: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            name, outside = F.lower(F.regexp_extract(x["m"], "^</?([A-Za-z]+)", 1)), acc["depth"] == 0
+            counts = outside | (name == acc["name"])
+            kept = F.when(outside, F.concat(acc["out"], F.array(F.substring(h, acc["at"] + 1, x["s"] - acc["at"])))).otherwise(acc["out"])
+            return F.struct(
+                F.when(counts, _depth(acc["depth"], x)).otherwise(acc["depth"]).alias("depth"), F.when(outside, name).otherwise(acc["name"]).alias("name"),
+                F.when(counts, x["e"]).otherwise(acc["at"]).alias("at"), kept.alias("out"),
+            )
+
+        begin = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        rest = lambda a: F.when(a["depth"] == 0, F.concat(a["out"], F.array(F.substring(h, a["at"] + 1, F.length(h))))).otherwise(a["out"])
+        return F.when(h.rlike(f"(?i)<(?:{'|'.join(names)})\\b"), F.array_join(F.aggregate(_tags(h, names), begin, step, rest), " ")).otherwise(h)
+
+    return let(html, cut)
+
+
+def _inner(html: Column, tag: str) -> Column:
+    """What the first element of a name holds, elements of its own name included; null without one, or if it is empty."""
+
+    def inside(h: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = F.coalesce(acc["start"], F.when(~x["m"].startswith("</"), x["e"]))
+            depth = F.when(start.isNotNull(), _depth(acc["depth"], x)).otherwise(0)
+            return F.struct(start.alias("start"), depth.alias("depth"), F.coalesce(acc["end"], F.when(start.isNotNull() & (depth == 0), x["s"])).alias("end"))
+
+        none = F.lit(None).cast("int")
+        begin = F.struct(none.alias("start"), F.lit(0).alias("depth"), none.alias("end"))
+        return F.aggregate(_tags(h, [tag]), begin, step, lambda a: F.nullif(F.substring(h, a["start"] + 1, F.coalesce(a["end"], F.length(h)) - a["start"]), F.lit("")))
+
+    return F.when(html.rlike(f"(?i)<{tag}\\b"), let(html, inside))
 
 
 def main_text(html: Column) -> Column:
     """Text of main or article without navigation and forms; if that has under 200 characters, of the whole body, forms included."""
-
-    def strict(h: Column) -> Column:
-        inner = lambda tag: F.nullif(F.regexp_extract(h, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}\\s*>", 1), F.lit(""))
-        return normalize_text(F.coalesce(inner("main"), inner("article"), _body(h)))
+    strict = lambda h: normalize_text(F.coalesce(_inner(h, "main"), _inner(h, "article"), _body(h)))
 
     def choose(h: Column) -> Column:
         return let(let(_without(h, AT_FIRST), strict), lambda t: F.when(F.length(t) >= MIN_TEXT, t).otherwise(normalize_text(_body(h))))
 
-    return let(_without(html, NEVER + CHROME), choose)
+    return let(_without(F.regexp_replace(html, RAW, " "), NEVER + CHROME), choose)
 
 
 def _body(html: Column) -> Column:

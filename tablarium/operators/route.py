@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import let, tr_fold_ascii
+from tablarium.functions.text import let, tr_fold, tr_fold_ascii
 
 #: Fixed values (folded): words by field, intent and type, in the order in which they are tried.
 FIELDS = {
@@ -23,6 +23,8 @@ INTENTS = {
 }
 TYPES = {"konut": "Konut Finansmanı", "tasit": "Taşıt Finansmanı", "ihtiyac": "İhtiyaç Finansmanı", "kart": "Kart", "yatirim": "Yatırım Ürünü"}
 LEAST = ["veren", "uzeri", "ve uzeri", "en az"]
+#: Words of interest, other than those for its absence, and the field that such a question means.
+INTEREST, INTEREST_FIELD = "(?U)\\bfaiz(?!siz)|\\binterest", "kar_payi_orani"
 
 
 def _first(low: Column, table: dict[str, list[str]]) -> Column:
@@ -52,7 +54,25 @@ def banks_in(question: Column, aliases: dict[str, str]) -> Column:
     return F.aggregate(known, begin, step, lambda acc: F.array_distinct(acc["slugs"]))
 
 
-def route(question: Column) -> Column:
-    """QA1: structured if a field and an intent or filter are named, else rag."""
-    told = lambda x: x["field"].isNotNull() & (x["intent"].isNotNull() | x["term_min"].isNotNull() | x["campaign_type"].isNotNull())
-    return let(detect(question), lambda x: F.when(told(x), "structured").otherwise("rag"))
+def mentions_interest(question: Column) -> Column:
+    return tr_fold(question).rlike(INTEREST)
+
+
+def route(question: Column, aliases: dict[str, str] | None = None) -> Column:
+    """QA1: struct handler, field, intent, term_min, campaign_type, banks.
+
+    structured if a field and an intent or filter (a term, a type, a bank by its alias) are named, else rag. A word of interest
+    names the profit rate if nothing names a field. A structured question without an intent asks for a list.
+    """
+
+    def made(x: Column) -> Column:
+        d, banks = x["d"], x["banks"]
+        field = F.coalesce(d["field"], F.when(x["interest"], INTEREST_FIELD))
+        told = field.isNotNull() & (d["intent"].isNotNull() | d["term_min"].isNotNull() | d["campaign_type"].isNotNull() | (F.size(banks) > 0))
+        return F.struct(
+            F.when(told, "structured").otherwise("rag").alias("handler"), field.alias("field"), F.coalesce(d["intent"], F.when(told, "list")).alias("intent"),
+            d["term_min"].alias("term_min"), d["campaign_type"].alias("campaign_type"), banks.alias("banks"),
+        )
+
+    named = banks_in(question, aliases) if aliases else F.array().cast("array<string>")
+    return let(F.struct(detect(question).alias("d"), named.alias("banks"), mentions_interest(question).alias("interest")), made)

@@ -346,9 +346,19 @@ def sha_dedupe(spark, d):
     return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "hash", "n")
 
 
-_ENTITIES_SQL = "x"
-for _entity, _char in T.ENTITIES.items():
-    _ENTITIES_SQL = "replace({}, '{}', '{}')".format(_ENTITIES_SQL, *(v.replace("'", "''") for v in (_entity, _char)))
+#: The references that occur in the given pages.
+_ENTITIES_SQL = "regexp_replace(regexp_replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+@query("""
+SELECT p_partkey, '<' || chr(n) || '> ' || chr(n) || chr(n) || 'ü &' || p_brand || ';& ©right &' || CASE WHEN p_partkey % 2 = 0 THEN '€' ELSE chr(8211) END AS text FROM (SELECT *, CAST(192 + p_partkey AS INTEGER) AS n FROM part)""")
+def html_references(spark, d):
+    """Decimal and hexadecimal references, named ones, unknown ones, and names without a semicolon."""
+    p, n = table(spark, d, "part"), (F.col("p_partkey") + 192)
+    dec, low, up = n.cast("string"), F.lower(F.hex(n)), F.hex(n)
+    last = F.when(F.col("p_partkey") % 2 == 0, "&#128;").otherwise("&ndash;")
+    text = F.concat(F.lit("&lt;&#"), dec, F.lit(";&gt; &#x"), low, F.lit(";&#X"), up, F.lit(";&uuml; &"), F.col("p_brand"), F.lit(";&amp; &copyright &amp;"), last)
+    return p.select("p_partkey", T.strip_html(text).alias("text"))
 
 
 @query(rf"""

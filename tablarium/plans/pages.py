@@ -246,15 +246,19 @@ def upsert_banks(spark, d):
 
 
 @query("""
-SELECT s_suppkey, ['structured', 'structured', 'rag', 'structured', 'rag'][k] AS path, ['kar_payi_orani', 'vade_ay', NULL, 'masraf_durumu', 'taksit_sayisi'][k] AS field, ['lowest', 'list', NULL, NULL, NULL][k] AS intent,
-  CAST(CASE WHEN k = 2 THEN s_suppkey % 90 + 10 END AS INTEGER) AS term_min, ['Konut Finansmanı', NULL, NULL, 'Taşıt Finansmanı', NULL][k] AS campaign_type, ['b,a', '', 'a', '', ''][k] AS banks FROM (SELECT *, s_suppkey % 5 + 1 AS k FROM supplier)""")
+SELECT s_suppkey, ['structured', 'structured', 'rag', 'structured', 'rag', 'structured', 'structured'][k] AS path, ['kar_payi_orani', 'vade_ay', NULL, 'masraf_durumu', 'taksit_sayisi', 'taksit_sayisi', 'kar_payi_orani'][k] AS field,
+  ['lowest', 'list', NULL, 'list', NULL, 'list', 'lowest'][k] AS intent, CAST(CASE WHEN k = 2 THEN s_suppkey % 90 + 10 END AS INTEGER) AS term_min, ['Konut Finansmanı', NULL, NULL, 'Taşıt Finansmanı', NULL, NULL, NULL][k] AS campaign_type,
+  CASE k WHEN 1 THEN 'b,a' WHEN 3 THEN 'a' WHEN 6 THEN lower(n_name) ELSE '' END AS banks FROM (SELECT *, s_suppkey % 7 + 1 AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def route_questions(spark, d):
-    """QA1 to QA3"""
+    """QA1 to QA3: a bank alone makes a question structured; a word of interest means the profit rate."""
+    nations = table(spark, d, "nation")
+    aliases = {"alfa": "a", "alfa beta": "b"} | {n.lower(): n.lower() for (n,) in nations.select("n_name").collect()}  # 25 nations
     months = F.concat((F.col("s_suppkey") % 90 + 10).cast("string"), F.lit(" ay ve üzeri vade veren?"))
-    asked = _pick("s_suppkey", "Alfa Beta ve Alfa: EN DÜŞÜK KÂR PAYI, konut", "", "Alfa nedir", "TAŞIT masrafı?", "Taksit nedir")
-    text = F.when(F.col("s_suppkey") % 5 == 1, months).otherwise(asked)
-    x, banks = route.detect(text), route.banks_in(text, {"alfa": "a", "alfa beta": "b"})
-    return table(spark, d, "supplier").select("s_suppkey", route.route(text).alias("path"), x["field"].alias("field"), x["intent"].alias("intent"), x["term_min"].alias("term_min"), x["campaign_type"].alias("campaign_type"), F.array_join(banks, ",").alias("banks"))
+    asked = _pick("s_suppkey", "Alfa Beta ve Alfa: EN DÜŞÜK KÂR PAYI, konut", "", "Alfa nedir", "TAŞIT masrafı?", "Taksit nedir", "", "faiz EN DÜŞÜK hangi bankada?")
+    text = F.when(F.col("s_suppkey") % 7 == 1, months).when(F.col("s_suppkey") % 7 == 5, F.concat(F.lower("n_name"), F.lit(" bankasının taksiti nedir?"))).otherwise(asked)
+    rows = table(spark, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
+    x = rows.select("s_suppkey", route.route(text, aliases).alias("r")).select("s_suppkey", "r.*")
+    return x.select("s_suppkey", F.col("handler").alias("path"), "field", "intent", "term_min", "campaign_type", F.array_join("banks", ",").alias("banks"))
 
 
 @query("SELECT c_custkey AS campaign_id, lower(n_name) AS slug, c_mktsegment AS campaign_type FROM customer JOIN nation ON c_nationkey = n_nationkey")
