@@ -7,9 +7,10 @@ Shingles that are common in a sample come last, which keeps the lists short; any
 
 Texts of sizes m and k that first meet at places p and q can share min(m - p, k - q) shingles at most, so they are compared
 only if 9 min(m - p, k - q) >= 4 (m + k). A list's members are first compared with the one that has the shingle earliest.
-What a list then holds outside its largest component is compared with the others that it can still meet; lists with many
-such members are parted by a further shingle that such texts must share too. No candidate is left out, and each is checked
-by its whole sets.
+What a list then holds outside its largest component is compared with the others that it can still meet. Texts in lists with
+many such members, as those that share a passage only, are compared by parts instead: shingles are dealt into more parts than
+similar texts can differ in, so such texts have a whole part in common, which texts that share a passage rarely do. No
+candidate is left out, and each is checked by its whole sets.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from tablarium.llm.simhash import fingerprints, links
 SIZE = 5
 #: The least similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: The order of shingles is learned from about so many texts, and holds at most so many common shingles.
-SAMPLE, MAX_COMMON = 5_000, 200_000
-#: A shingle in so many texts of the sample is hot: its list is never put in order by one task.
-HOT = 100
-#: A list with more members outside its largest component is parted by a further shingle, until so many have been used.
-MANY, MAX_DEPTH = 64, 3
+#: The order of shingles is learned from one in SHARE of the texts, LEAST_TEXTS at least, and holds at most so many common shingles.
+SHARE, LEAST_TEXTS, MAX_COMMON = 16, 2_000, 1_000_000
+#: A shingle in one of so many texts of the sample is hot: its list is never put in order by one task.
+HOT = 50
+#: Members of lists with more of them outside the largest component are compared by parts.
+MANY = 16
+#: Parts that texts of a size have over those they can differ in, as a share of these, which leaves room for empty parts.
+SPARE = 0.15
 #: Counts of a text's shingles by so many ranges of their hashes bound what two texts can share.
 RANGES = 256
 
@@ -70,9 +73,10 @@ def with_node(docs: DataFrame) -> DataFrame:
     return materialize(map_arrow(numbered, run, f"{kinds}, said binary"))
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and texts in the sample of the shingles that three or more of it have."""
-    share = min(1_000_000, 1_000_000 * SAMPLE // max(1, texts.count()) + 1)
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the shingles that three or more texts of a sample have, and whether each is hot."""
+    n = texts.count()
+    share = min(1_000_000, max(1_000_000 // SHARE, 1_000_000 * LEAST_TEXTS // max(1, n) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +84,10 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["h"])
 
     seen = map_arrow(texts.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share).select("text"), run, "h long")
-    rows = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
-    hashes, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    rows = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
+    hashes, counts = rows["h"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
     order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    return hashes[order], counts[order], counts[order] * HOT > n * share / 1_000_000
 
 
 def _by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -96,17 +100,18 @@ def _by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """h, node, m, p, hot: of each text, which has m shingles, the first m - ceil(0.8 m) + MAX_DEPTH by their places p."""
+    """h, node, m, p, hot: of each text, which has m shingles, the first m - ceil(0.8 m) + 1 by their places p."""
     sent = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
     def first(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, counts = sent.value
-        n = np.zeros(len(h), np.int64)
+        hashes, counts, hot = sent.value
+        n, of = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         if len(hashes):
             at = np.searchsorted(hashes, h).clip(max=len(hashes) - 1)
-            n = np.where(hashes[at] == h, counts[at], 0)
-        best = np.lexsort((h, n))[: len(h) - -(-NUM * len(h) // DEN) + MAX_DEPTH]
-        return h[best], n[best] >= HOT
+            known = hashes[at] == h
+            n, of = np.where(known, counts[at], 0), known & hot[at]
+        best = np.lexsort((h, n))[: len(h) - -(-NUM * len(h) // DEN) + 1]
+        return h[best], of[best]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, sets in _by_parts(batches):
@@ -186,10 +191,6 @@ def _largest() -> Column:
     return (DEN * F.col("m") - (NUM + DEN) * F.col("p")) / NUM
 
 
-def _in_prefix() -> Column:
-    return DEN * (F.col("m") - F.col("p")) >= NUM * F.col("m")
-
-
 def _lists(heads: DataFrame) -> DataFrame:
     """h, node, m, p of heads whose shingle others have too, with a, k, q: node, size and place of the one that has it earliest."""
     at = Window.partitionBy("h").orderBy("p", "node")
@@ -203,8 +204,11 @@ def _lists(heads: DataFrame) -> DataFrame:
     return both.select("h", "node", "m", "p", F.col("first.node").alias("a"), F.col("first.m").alias("k"), F.col("first.p").alias("q"))
 
 
-def _across(lists: DataFrame, of: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """a, b of the pairs of different components that can meet in one list (h, node, m, p), and the members of the lists with too many such."""
+def _across(lists: DataFrame, of: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """a, b of the pairs of different components that can meet in one list (h, node, m, p), and the members of the lists that are left out.
+
+    Left out are lists with over `most` members outside their largest component; none if that is None.
+    """
     rows = lists.join(broadcast_if_small(of), "node", "left").select("h", "node", "m", "p", F.coalesce("component", "node").alias("c"), _largest().alias("u"))
     rows = materialize(rows)
     kinds = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("m").alias("least"), F.max("u").alias("most"))
@@ -214,38 +218,75 @@ def _across(lists: DataFrame, of: DataFrame, last: bool) -> tuple[DataFrame, Dat
     per = others.groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("least"), F.max("u").alias("most"))
     met = materialize(marked.filter("open").join(per, "h").filter("other or (m <= most and u >= least)").select("h", "node", "m", "p", "c", "other", "n"))
     discard(rows, marked)
-    many = F.col("n") > MANY
-    now = met if last else met.filter(~many)
+    many = F.col("n") > most if most is not None else F.lit(False)
+    now = met.filter(~many)
     found = now.filter("other").join(now.select("h", F.col("node").alias("a"), F.col("m").alias("k"), F.col("p").alias("q"), F.col("c").alias("d")), "h").filter("c <> d").filter(_can_meet())
-    return found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), met.filter(many).select("h", "node", "p")
+    return found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), met.filter(many)
+
+
+def _classes(most: int) -> list[int]:
+    """The sizes at which classes begin, up to that of `most`: texts that similar are of one class or of neighbouring ones."""
+    at = [1]
+    while at[-1] <= most:
+        at.append(at[-1] * DEN // NUM + 1)
+    return at
 
 
-def _deeper(members: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
-    """Lists by one more shingle: of texts that share h, those similar enough share another one after it.
+def parts_of(h: np.ndarray, begins: list[int]) -> np.ndarray:
+    """Keys of a set's parts, for its size class and the next one; similar sets share one of them.
 
-    p counts as if the shingles that led here weren't there, so that the same bounds hold.
+    Sets of up to K shingles that similar differ in d = 2 K (DEN - NUM) / (DEN + NUM) shingles at most, so of d + 1 parts or more
+    they have k - d whole ones in common. A set with so many empty parts has a key for that, as those may be the common ones.
     """
-    of_members = heads.join(broadcast_if_small(members.select("node").distinct()), "node", "left_semi").select("node", F.col("h").alias("then"), "m", F.col("p").alias("at"))
-    further = members.join(of_members, "node").filter(F.col("at") > F.col("p") + depth - 1)
-    return further.select(F.xxhash64("h", "then").alias("h"), "node", "m", (F.col("at") - depth).alias("p")).filter(_in_prefix())
+    kind, out = int(np.searchsorted(begins, len(h), side="right")), []
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    for group in (kind, kind + 1):
+        most = begins[group] - 1
+        differ = 2 * most * (DEN - NUM) // (DEN + NUM)
+        k = int((differ + 1) * (1 + SPARE)) + 1
+        part = ((mixed >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        sums = np.zeros(k, np.uint64)
+        np.add.at(sums, part.astype(np.int64), mixed)
+        some = np.flatnonzero(np.bincount(part.astype(np.int64), minlength=k))
+        salt = np.uint64((group * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        keys = (sums[some] ^ (some.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) ^ salt) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(keys if k - len(some) < k - differ else np.append(keys, salt))
+    return np.concatenate(out)
+
+
+def _by_part(texts: DataFrame) -> DataFrame:
+    """h, node, m, p (0): lists by the parts of the shingles of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, sets in _by_parts(batches):
+            begins = _classes(max(map(len, sets), default=1) * 2)
+            keys = [parts_of(h, begins) if len(h) else h for h in sets]
+            n = np.fromiter(map(len, keys), np.int64, len(keys))
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(nodes, n), np.repeat(np.fromiter(map(len, sets), np.int32, len(sets)), n), np.zeros(n.sum(), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "m", "p"])
+
+    return map_arrow(texts.select("node", "text"), run, "h long, node long, m int, p int")
 
 
 def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
     heads = materialize(prefixes(texts))
-    lists = materialize(_lists(heads.filter(_in_prefix())))
+    lists = materialize(_lists(heads))
     led = lists.filter("node <> a").filter(_can_meet()).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     edges = _similar(_close(texts).unionByName(led), texts)
+    discard(heads)
     of = materialize(connected_components(edges))
-    level, found = lists.select("h", "node", "m", "p"), None
-    for depth in range(1, MAX_DEPTH + 1):
-        pairs, members = _across(level, of, depth == MAX_DEPTH)
-        found = pairs if found is None else found.unionByName(pairs)
-        if depth == MAX_DEPTH or members.isEmpty():
-            break
-        level = materialize(_deeper(materialize(members), heads, depth))
-    edges = materialize(edges.unionByName(_similar(found, texts)))
-    return connected_components(edges)
+    few, members = _across(lists.select("h", "node", "m", "p"), of, MANY)
+    found = materialize(few)
+    many = materialize(members.select("node").distinct())
+    if not many.isEmpty():
+        chosen = texts.join(broadcast_if_small(many), "node", "left_semi")
+        more = materialize(_across(_by_part(chosen), of, None)[0])
+        found = found.unionByName(more)
+    new = _similar(found, texts)
+    discard(lists, many)
+    out = materialize(connected_components(edges.unionByName(new)))
+    return out
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
@@ -260,7 +301,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     one = materialize(known.groupBy("said").agg(F.min("row").alias("node")))
     nodes = materialize(known.join(one, "said").select("row", "doc_id", "node"))
     texts = marked.select(F.col("row").alias("node"), "text").join(broadcast_if_small(one.select("node")), "node", "left_semi")
-    of = materialize(near_copy_components(texts))
+    of = near_copy_components(texts)
     rows = nodes.join(broadcast_if_small(of), "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("c"))
     stay = rows.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("row"))
     gone = materialize(nodes.select("row").join(stay, "row", "left_anti"))
