@@ -17,6 +17,8 @@ RATIONALE = {
     "vade_ay": "lowers the instalment but not the cost", "finansman_tutari": "a limit rather than a price",
 }
 
+#: Rows that one task puts in order; more are dealt into parts.
+FEW_ROWS = 200_000
 #: Parts into which keys are dealt before they are ordered, and the accuracy of the bounds between them.
 PARTS, ACCURACY = 256, 10_000
 
@@ -73,6 +75,9 @@ def rank(rows: DataFrame, descending: bool = False) -> DataFrame:
     key = F.coalesce("num", "min")
     df = rows.select("id", "seq", F.when(comparable | F.col("min").isNotNull(), key).alias("sort_key"), comparable.alias("comparable"))
     good = df.filter("comparable").withColumn("k", (-1 if descending else 1) * F.col("sort_key"))
+    rest = df.filter("not comparable").select("id", "sort_key", "comparable", F.lit(None).cast("bigint").alias("position"))
+    if good.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return good.select("id", "sort_key", "comparable", F.row_number().over(Window.orderBy("k", "seq")).cast("bigint").alias("position")).unionByName(rest)
     dealt = good.withColumn("p", _part(F.col("k"), _bounds(good, "k")))
     single = dealt.groupBy("p").agg((F.min("k") == F.max("k")).alias("single"))  # a row for each part, as below
     dealt = dealt.join(F.broadcast(single), "p").withColumn("q", F.when(F.col("single"), _part(F.col("seq"), _bounds(good, "seq"))).otherwise(0))
@@ -80,7 +85,7 @@ def rank(rows: DataFrame, descending: bool = False) -> DataFrame:
     before = sizes.select("p", "q", (F.sum("size").over(Window.orderBy("p", "q")) - F.col("size")).alias("before"))
     n = F.row_number().over(Window.partitionBy("p", "q").orderBy("k", "seq"))
     placed = dealt.withColumn("n", n).join(F.broadcast(before), ["p", "q"]).select("id", "sort_key", "comparable", (F.col("n") + F.col("before")).alias("position"))
-    return placed.unionByName(df.filter("not comparable").select("id", "sort_key", "comparable", F.lit(None).cast("bigint").alias("position")))
+    return placed.unionByName(rest)
 
 
 def best(rows: DataFrame, descending: bool = False) -> DataFrame:
@@ -95,6 +100,8 @@ def ordinal(df: DataFrame, group: list[str], key: str) -> DataFrame:
     Rows are counted before they are ordered, and the keys of a group are ordered in parts.
     """
     cells = df.groupBy(*group, key).agg(F.count("*").alias("n"))
+    if cells.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return cells.withColumn("before", F.sum("n").over(Window.partitionBy(*group).orderBy(key)) - F.col("n"))
     at = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
     bounds = cells.groupBy(*group).agg(F.percentile_approx(key, at, F.lit(1000)).alias("bounds"))
     dealt = (cells.join(bounds, group) if group else cells.join(bounds)).withColumn("part", _part(F.col(key), F.col("bounds"))).drop("bounds")  # one row without groups

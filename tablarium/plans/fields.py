@@ -242,15 +242,14 @@ def layer_differences(spark, d):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN p_name ELSE replace(p_name, split_part(p_name, ' ', 2), '[' || split_part(p_name, ' ', 2) || ']') END AS snippet, CASE WHEN p_partkey % 3 = 2 THEN 4 WHEN p_partkey % 10 >= 8.5 THEN 3 WHEN p_partkey % 10 >= 6 THEN 1 ELSE 2 END AS bucket
-FROM part WHERE length(p_name) < 120 AND strpos(p_name, ' ') > 0 AND length(p_name) - length(replace(p_name, split_part(p_name, ' ', 2), '')) = length(split_part(p_name, ' ', 2))""")
+WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 2) AS raw, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 2 THEN p_name ELSE substr(p_name, 1, strpos(p_name, raw) - 1) || '[' || raw || ']' || substr(p_name, strpos(p_name, raw) + length(raw)) END AS snippet, CASE WHEN k = 2 THEN 4 WHEN p_partkey % 10 >= 8.5 THEN 3 WHEN p_partkey % 10 >= 6 THEN 1 ELSE 2 END AS bucket FROM p""")
 def review_rows(spark, d):
-    """By offsets, by the value, or without either."""
+    """By offsets, by the value, or without either. Names of parts are shorter than a snippet."""
     p, k, raw = table(spark, d, "part"), F.col("p_partkey") % 3, F.split_part("p_name", F.lit(" "), F.lit(2))
-    once = (F.length("p_name") < 120) & F.col("p_name").contains(" ") & (F.length("p_name") - F.length(F.replace("p_name", raw, F.lit(""))) == F.length(raw))
     at = F.position(raw, "p_name") - 1
     part = gold.snippet(F.col("p_name"), F.when(k == 0, at).when(k == 1, -1), F.when(k < 2, at + F.length(raw)), F.when(k < 2, raw))
-    return p.filter(once).select("p_partkey", part.alias("snippet"), gold.review_bucket(k < 2, F.lit(False), (F.col("p_partkey") % 10) / 10).alias("bucket"))
+    return p.select("p_partkey", part.alias("snippet"), gold.review_bucket(k < 2, F.lit(False), (F.col("p_partkey") % 10) / 10).alias("bucket"))
 
 
 @query("""
@@ -372,12 +371,6 @@ def norm_all_lines(spark, d):
     return rank.rank_normalized(long, ["g"]).select("l_orderkey", "l_linenumber", F.round("norm", 6).alias("norm"))
 
 
-@query("SELECT * FROM (VALUES ('kar_payi_orani', 0.40::DOUBLE, 'lower_is_better'), ('masraf_durumu', 0.20, 'lower_is_better'), ('odul_miktari', 0.15, 'higher_is_better'), ('vade_ay', 0.15, 'higher_is_better'), ('finansman_tutari', 0.10, 'higher_is_better')) v(field, weight, direction)")
-def weight_manifest(spark, d):
-    """C11, C12"""
-    return rank.manifest(spark).drop("rationale")
-
-
 @query(_COMPOSITE_SQL.format(kind="'all'", enough="true") + "SELECT id, score FROM r WHERE comparable ORDER BY score DESC, coverage DESC, id LIMIT 1")
 def best_composite(spark, d):
     """C08"""

@@ -222,14 +222,6 @@ def match_rates(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", agreement.rate_match(pred, gold, False).alias("strict"), agreement.rate_match(pred, gold, True).alias("tolerant"))
 
 
-@query("""
-SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(greatest(1, least(count(*) - 1, round_even(count(*) * 0.6, 0))) AS BIGINT) AS test FROM customer GROUP BY 1""")
-def split_sizes(spark, d):
-    """E19"""
-    split = agreement.stratified_split(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey")
-    return split.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count(F.when(F.col("split") == "test", 1)).alias("test"))
-
-
 @query("SELECT p_partkey, ['range,table', 'range', ''][p_partkey % 3 + 1] AS tags FROM part")
 def note_tags(spark, d):
     """E28"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablarium.functions.text import let, tr_fold_ascii
@@ -71,7 +73,7 @@ def parse_sitemap(xml: Column) -> Column:
 
 def matches(url: Column, include: list[str], exclude: list[str]) -> Column:
     """Patterns to exclude win; without patterns to include all others match."""
-    hit = lambda ps: url.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps))
+    hit = lambda ps: url.rlike(f"(?i){'|'.join(f'(?:{p})' for p in ps)}")
     return (~hit(exclude) if exclude else F.lit(True)) & (hit(include) if include else F.lit(True))
 
 
@@ -87,6 +89,55 @@ def rank_urls(urls: DataFrame, order: list[str] = CAMPAIGN_ORDER, n: int | None
     return out if n is None else out.limit(n)
 
 
+def walk_sitemaps(starts: DataFrame, stored: DataFrame, max_depth: int = 2, max_sitemaps: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(site, url) of the pages and (site, sitemap, note) of the failures of a walk over stored sitemaps (url, body, ok), for all sites at once.
+
+    starts: site, url, at (their order). Indexes lead on to their sitemaps down to max_depth, breadth first; a sitemap is read once, and
+    max_sitemaps of a site at most. Each level is one join with what is stored.
+    """
+    first = starts.select("site", "url", F.array(F.col("at").cast("int")).alias("at"))
+    seen, pages, notes, frontier = None, [], [], first
+    for depth in range(max_depth + 1):
+        fresh = frontier.groupBy("site", "url").agg(F.min("at").alias("at"))
+        known = starts.select("site").distinct().withColumn("read", F.lit(0).cast("long"))
+        if seen is not None:
+            fresh = fresh.join(seen.select("site", "url"), ["site", "url"], "left_anti")
+            known = seen.groupBy("site").agg(F.count("*").alias("read"))
+        # the frontier of a site is what a few indexes list
+        placed = fresh.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("at"))).join(known, "site", "left")
+        now = placed.filter(F.col("n") + F.coalesce("read", F.lit(0)) <= max_sitemaps).select("site", "url", "at")
+        seen = now if seen is None else seen.unionByName(now)
+        read = now.join(stored, "url", "left").select("site", "url", "at", F.coalesce("ok", F.lit(False)).alias("ok"), parse_sitemap(F.coalesce("body", F.lit(""))).alias("x"))
+        failed = F.when(~F.col("ok"), "failed").when(F.size("x.locs") == 0, "empty")
+        notes.append(read.select("site", F.col("url").alias("sitemap"), failed.alias("note")).filter("note is not null"))
+        good = read.filter(F.col("ok"))
+        deeper = F.col("x.is_index") if depth < max_depth else F.lit(False)
+        pages.append(good.filter(~deeper).select("site", F.explode("x.locs").alias("url")))
+        if depth < max_depth:
+            frontier = good.filter(deeper).select("site", F.posexplode("x.locs").alias("k", "url"), "at").select("site", "url", F.concat("at", F.array("k")).alias("at"))
+    every = lambda parts: reduce(DataFrame.unionByName, parts)
+    return every(pages).distinct(), every(notes)
+
+
+def discover(sites: DataFrame, stored: DataFrame, include: list[str], exclude: list[str], max_docs: int = 40, order: list[str] = CAMPAIGN_ORDER) -> DataFrame:
+    """Site, url, source (sitemap or listing) of the pages of sites (site, base, sitemaps, listings, hosts: arrays) over stored pages (url, body, ok).
+
+    Locations of sitemaps, listing pages that can be read and their links are normalised and kept if they are on the site or one of
+    its hosts and match. A URL counts once, for a sitemap if it is in one. The first max_docs of a site by priority, depth and name stay.
+    """
+    starts = sites.select("site", F.posexplode("sitemaps").alias("at", "url"))
+    mapped = walk_sitemaps(starts, stored)[0].withColumn("source", F.lit("sitemap"))
+    lists = sites.select("site", F.explode("listings").alias("path"), F.rtrim("base", F.lit("/")).alias("base"))
+    urls = lists.select("site", F.when(F.col("path").startswith("http"), F.col("path")).otherwise(F.concat("base", "path")).alias("url"))
+    listed = urls.join(stored.filter("ok"), "url").select("site", F.explode(F.concat(F.array("url"), extract_links(F.coalesce("body", F.lit("")), F.col("url")))).alias("url"))
+    found = mapped.unionByName(listed.withColumn("source", F.lit("listing"))).withColumn("url", normalize_url(F.col("url")))
+    own = sites.select("site", F.concat(F.array("base"), F.transform(F.coalesce("hosts", F.array().cast("array<string>")), lambda h: F.when(h.startswith("http"), h).otherwise(F.concat(F.lit("https://"), h)))).alias("bases"))
+    here = found.join(own, "site").filter(F.exists("bases", lambda b: same_site(F.col("url"), b)) & matches(F.col("url"), include, exclude))
+    one = here.groupBy("site", "url").agg(F.max("source").alias("source"))  # sitemap comes after listing
+    place = F.row_number().over(Window.partitionBy("site").orderBy(priority(F.col("url"), order), F.size(F.split("url", "/")), "url"))
+    return one.withColumn("n", place).filter(F.col("n") <= max_docs).select("site", "url", "source")
+
+
 def parse_robots(text: Column) -> Column:
     """Array of rules (agents, allow, pattern). Agents in neighbouring lines share the rules that follow; an empty Disallow is no rule."""
     begin = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("closed"), F.array().cast(f"array<{_RULE}>").alias("rules"))

@@ -3,7 +3,7 @@ import os
 import pytest
 from oracle import compare
 
-from tablarium.plans import catalogue, dialogue, fields, pages  # noqa: F401
+from tablarium.plans import catalogue, dialogue, experiments, fields, pages  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
