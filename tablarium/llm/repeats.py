@@ -260,8 +260,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn("at", F.monotonically_increasing_id()).orderBy(*order).select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
 
 
-def remove(docs: DataFrame, repeats: Repeats, finish: Callable[[str | None, list[tuple[int, int]]], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
-    """doc_id and what finish(text, cover) gives, for each row of docs; see in_order() for null and repeated ids."""
+def remove(docs: DataFrame, repeats, finish: Callable[[str | None, list[tuple[int, int]]], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
+    """doc_id and what finish(text, cover) gives, for each row of docs; see in_order() for null and repeated ids. repeats has covered()."""
     ordered = in_order(docs)
     cover = repeats.covered(ordered.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablarium.llm.anchors import AnchoredRepeats
 from tablarium.llm.common import read
 from tablarium.llm.repeats import Repeats, remove
+from tablarium.llm.suffix_array import SuffixRepeats
 
 
 def byte_tokens(text: str | None) -> np.ndarray:
@@ -28,12 +29,13 @@ def _outside(n: int, cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return list(zip(ends, [*(s for s, _ in cover), n], strict=True))
 
 
-def byte_dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
+def byte_dedup(docs: DataFrame, length: int = 100, gram: int = 32, by_suffixes: bool = False) -> DataFrame:
     """Remove every byte in a string of `length` bytes that also starts earlier (smaller doc_id, or earlier in the text).
 
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each row. Null text is empty, long texts are
     searched whole. Rows with a null doc_id come last; rows of one doc_id are documents of their own, in the order of their texts.
-    Cuts may split a character, so the kept bytes are hashed, not decoded.
+    Cuts may split a character, so the kept bytes are hashed, not decoded. by_suffixes: by a suffix array of all bytes, which needs
+    far more disk (README.md).
     """
 
     def finish(text: str | None, cover: list[tuple[int, int]]) -> tuple:
@@ -42,7 +44,7 @@ def byte_dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
         return len(raw), len(raw) - len(kept), len(cover), hashlib.sha256(kept).hexdigest()
 
     return remove(
-        docs, Repeats(length, gram, byte_tokens, of_bytes=True), finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        docs, SuffixRepeats(length) if by_suffixes else Repeats(length, gram, byte_tokens, of_bytes=True), finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
         [pa.int64(), pa.int64(), pa.int64(), pa.string()], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
     )
 
