@@ -88,6 +88,13 @@ def detect(pages: DataFrame) -> DataFrame:
     return pages.withColumn("found", F.explode_outer(found)).filter("found is not null").select(*pages.columns, "found.*")
 
 
+def by_campaign(found: DataFrame, key: str) -> DataFrame:
+    """Key, n, kinds (sorted), contradictions (array of kind, low, high) of each campaign with any of detect()'s rows; a campaign has a few."""
+    one = F.array_sort(F.collect_list(F.struct("kind", "low", "high")))
+    grouped = found.groupBy(key).agg(one.alias("contradictions"))
+    return grouped.select(key, F.size("contradictions").alias("n"), F.array_sort(F.array_distinct(F.transform("contradictions", lambda c: c["kind"]))).alias("kinds"), "contradictions")
+
+
 def scan(pages: DataFrame) -> DataFrame:
     """Kind, scope, n over all pages (bank, url, text, seq, as_of, lo, hi): contradictions within pages and between pages of a product."""
     within = detect(pages.select("url", "text", "as_of")).select("kind", F.lit("intra").alias("scope"))

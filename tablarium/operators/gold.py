@@ -133,12 +133,13 @@ def review_order(rows: DataFrame) -> DataFrame:
 def merge_verdicts(rows: DataFrame) -> DataFrame:
     """doc_id, field, decision (value, absent, unclear, conflict), value of reviewed rows (doc_id, field, verdict, model_value, gold_value).
 
-    A blank verdict is ok; fix takes the gold value; ok without a model's value is absent. Annotators who differ make a conflict.
+    Documents that someone finds without a campaign type are no campaigns, and are left out. A blank verdict is ok; fix takes the gold value; ok without a model's value is absent. Annotators who differ make a conflict.
     """
     verdict = F.coalesce(F.nullif(F.lower(F.trim("verdict")), F.lit("")), F.lit("ok"))
     value = F.when(verdict == "fix", F.col("gold_value")).when(verdict == "ok", F.nullif("model_value", F.lit("")))
     kind = F.when(verdict == "unclear", "unclear").when((verdict == "absent") | value.isNull(), "absent").otherwise("value")
-    one = rows.select("doc_id", "field", kind.alias("kind"), F.when(kind == "value", value).alias("value"))
+    outside = rows.filter((F.col("field") == "campaign_type") & (verdict == "absent")).select("doc_id").distinct()
+    one = rows.join(outside, "doc_id", "left_anti").select("doc_id", "field", kind.alias("kind"), F.when(kind == "value", value).alias("value"))
     both = one.groupBy("doc_id", "field").agg(F.count_distinct(F.struct("kind", F.coalesce("value", F.lit("")))).alias("kinds"), F.min("kind").alias("kind"), F.min("value").alias("value"))
     return both.select("doc_id", "field", F.when(F.col("kinds") > 1, "conflict").otherwise(F.col("kind")).alias("decision"), F.when(F.col("kinds") == 1, F.col("value")).alias("value"))
 
@@ -160,6 +161,12 @@ def split_balance(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split", "stratum").agg(F.count("*").alias("n"))
 
 
+def accesses(log: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Split, reads, changed of a log (split, digest) of reads of frozen splits (split, digest): how often each was read, and how often it wasn't what was frozen."""
+    seen = log.select("split", F.col("digest").alias("read")).join(frozen.select("split", "digest"), "split")
+    return seen.groupBy("split").agg(F.count("*").alias("reads"), F.count(F.when(~F.col("read").eqNullSafe(F.col("digest")), 1)).alias("changed"))
+
+
 def freeze(rows: DataFrame, key: str) -> DataFrame:
     """Split, n, digest: a checksum of each split's keys that doesn't depend on their order, to be kept and compared later."""
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.hex(F.bit_xor(F.xxhash64(F.col(key).cast("string")))).alias("digest"))

@@ -141,10 +141,16 @@ def verify_span(text: Column, start: Column, end: Column, raw: Column) -> Column
 
 
 def locate_span(text: Column, start: Column, end: Column, raw: Column, window: Column) -> Column:
-    """Struct s, e: the stored offsets if they hold, else the value in its window, else anywhere; null if it isn't there."""
+    """Struct s, e, ambiguous: the stored offsets if they hold, else the value in its window, else anywhere; null if it isn't there.
+
+    ambiguous: the place isn't stored, and the value, or its window, stands elsewhere in the text too.
+    """
     at, inner = F.position(window, text), F.position(raw, window)
-    found = F.when(verify_span(text, start, end, raw), start).when((at > 0) & (inner > 0), at + inner - 2).when(F.position(raw, text) > 0, F.position(raw, text) - 1)
-    return let(found, lambda s: F.when(s.isNotNull() & (raw != ""), F.struct(s.alias("s"), (s + F.length(raw)).alias("e"))))
+    stored, framed = verify_span(text, start, end, raw), (at > 0) & (inner > 0)
+    found = F.when(stored, start).when(framed, at + inner - 2).when(F.position(raw, text) > 0, F.position(raw, text) - 1)
+    again = lambda x, p: F.position(x, text, p + 1) > 0
+    several = F.when(stored, False).when(framed, again(window, at) | (F.position(raw, window, inner + 1) > 0)).otherwise(again(raw, F.position(raw, text)))
+    return let(found, lambda s: F.when(s.isNotNull() & (raw != ""), F.struct(s.alias("s"), (s + F.length(raw)).alias("e"), F.coalesce(several, F.lit(False)).alias("ambiguous"))))
 
 
 def confidence_level(c: Column) -> Column:

@@ -22,6 +22,12 @@ def field_coverage(fields: DataFrame) -> DataFrame:
     return fields.groupBy("field_name").agg(F.countDistinct("campaign_id").alias("n"))
 
 
+def coverage_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """field_name, n_before, n_after, change of two states of the stored fields; a field that one state lacks has none there."""
+    a, b = (field_coverage(x).withColumnRenamed("n", name) for x, name in ((before, "n_before"), (after, "n_after")))
+    return a.join(b, "field_name", "full").na.fill(0, ["n_before", "n_after"]).select("field_name", "n_before", "n_after", (F.col("n_after") - F.col("n_before")).alias("change"))
+
+
 def fields_by_extractor(fields: DataFrame) -> DataFrame:
     """S08"""
     return fields.groupBy("extractor").agg(F.count("*").alias("n"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablarium.functions import text as T
-from tablarium.operators import agreement, arms, embed, evaluate, rank, rubric, splits, store
-from tablarium.plans.catalogue import _labelled, _offers, _store, query, table
+from tablarium.operators import agreement, arms, contradict, embed, evaluate, gold, rank, rubric, splits, store
+from tablarium.plans.catalogue import ORACLES, _labelled, _offers, _store, query, table
 from tablarium.plans.dialogue import _answered
+from tablarium.plans.fields import _doubtful_pages
 from tablarium.sources import crawl
 
 #: Counts (stratum, n) to the number of test rows: rounded shares, then a row at a time from the largest.
@@ -213,3 +214,30 @@ def safety_rates(spark, d):
         q.isin(0, 7).alias("sources_needed"), (q == 0).alias("must_answer"),
     )
     return rubric.rates(rubric.checked(items, _answered(spark, d)))
+
+
+@query("""
+WITH f AS (SELECT o_orderpriority AS field_name, o_custkey, o_orderkey % 3 = 0 AS rule FROM orders), b AS (SELECT field_name, count(DISTINCT o_custkey) AS n FROM f WHERE rule GROUP BY 1), a AS (SELECT CASE WHEN field_name LIKE '1%' THEN 'new' ELSE field_name END AS field_name, count(DISTINCT o_custkey) AS n FROM f GROUP BY 1)
+SELECT coalesce(a.field_name, b.field_name) AS field_name, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM b FULL JOIN a ON a.field_name = b.field_name""")
+def coverage_change(spark, d):
+    """Fields of the rules only, and of both layers, with one field renamed."""
+    rows = _store(spark, d)[2]
+    named = rows.withColumn("field_name", F.when(F.col("field_name").startswith("1"), "new").otherwise(F.col("field_name")))
+    return store.coverage_change(rows.filter("extractor = 'rule'"), named)
+
+
+@query(f"""
+WITH k AS (SELECT o_orderkey, kind FROM ({ORACLES["detect_contradictions"]})) SELECT o_orderkey, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k GROUP BY 1""")
+def campaign_contradictions(spark, d):
+    """D15"""
+    found = contradict.by_campaign(contradict.detect(_doubtful_pages(spark, d)), "o_orderkey")
+    return found.select("o_orderkey", F.col("n").cast("long").alias("n"), F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("SELECT split, count(*) AS reads, CAST(count(*) FILTER (r = 1) AS BIGINT) AS changed FROM (SELECT CASE WHEN c_custkey % 5 < 3 THEN 'test' ELSE 'dev' END AS split FROM customer GROUP BY 1), range(3) t(r) GROUP BY 1")
+def split_accesses(spark, d):
+    """Frozen splits are read three times, once with a row changed."""
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 < 3, "test").otherwise("dev").alias("split"))
+    frozen = gold.freeze(rows, "c_custkey")
+    other = gold.freeze(rows.withColumn("c_custkey", F.when(F.col("c_custkey") % 1000 == F.col("c_custkey"), F.col("c_custkey") + 1_000_000).otherwise(F.col("c_custkey"))), "c_custkey")
+    return gold.accesses(frozen.unionByName(frozen).unionByName(other), frozen)

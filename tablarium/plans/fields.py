@@ -254,12 +254,14 @@ def review_rows(spark, d):
 
 @query("""
 WITH x AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS VARCHAR) AS field, l_linestatus AS m, l_returnflag AS g, CASE WHEN l_returnflag = 'A' THEN 'fix' WHEN l_returnflag = 'N' THEN '' ELSE 'absent' END AS v FROM lineitem),
-y AS (SELECT doc_id, field, CASE WHEN v = 'absent' THEN 'absent' ELSE 'value' END AS k, CASE v WHEN 'fix' THEN g WHEN '' THEN m END AS value FROM x)
+x2 AS (SELECT CASE WHEN field = '0' AND doc_id % 4 = 0 THEN 'campaign_type' ELSE field END AS field, * EXCLUDE (field) FROM x), out AS (SELECT doc_id FROM x2 WHERE field = 'campaign_type' AND v = 'absent'),
+y AS (SELECT doc_id, field, CASE WHEN v = 'absent' THEN 'absent' ELSE 'value' END AS k, CASE v WHEN 'fix' THEN g WHEN '' THEN m END AS value FROM x2 WHERE doc_id NOT IN (SELECT doc_id FROM out))
 SELECT doc_id, field, CASE WHEN count(DISTINCT k || coalesce(value, '')) > 1 THEN 'conflict' ELSE min(k) END AS decision, CASE WHEN count(DISTINCT k || coalesce(value, '')) = 1 THEN min(value) END AS value FROM y GROUP BY 1, 2""")
 def merged_verdicts(spark, d):
-    """E25"""
+    """Some texts are found to be no campaign."""
+    name = F.when((F.col("l_linenumber") % 2 == 0) & (F.col("l_orderkey") % 4 == 0), "campaign_type").otherwise((F.col("l_linenumber") % 2).cast("string"))
     verdict = F.when(F.col("l_returnflag") == "A", "fix").when(F.col("l_returnflag") == "N", "").otherwise("Absent ")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("string").alias("field"), verdict.alias("verdict"), F.col("l_linestatus").alias("model_value"), F.col("l_returnflag").alias("gold_value"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), name.alias("field"), verdict.alias("verdict"), F.col("l_linestatus").alias("model_value"), F.col("l_returnflag").alias("gold_value"))
     return gold.merge_verdicts(rows)
 
 

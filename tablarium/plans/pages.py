@@ -119,13 +119,14 @@ def field_confidence(spark, d):
 
 
 @query("""
-SELECT p_partkey, strpos(p_name, split_part(p_name, ' ', 2)) - 1 AS s, strpos(p_name, split_part(p_name, ' ', 2)) - 1 + length(split_part(p_name, ' ', 2)) AS e, split_part(p_name, ' ', 2) = left(p_name, length(split_part(p_name, ' ', 2))) AS stored FROM part""")
+SELECT p_partkey, strpos(p_name, split_part(p_name, ' ', 2)) - 1 AS s, strpos(p_name, split_part(p_name, ' ', 2)) - 1 + length(split_part(p_name, ' ', 2)) AS e, split_part(p_name, ' ', 2) = left(p_name, length(split_part(p_name, ' ', 2))) AS stored,
+ strpos(substr(p_name, strpos(p_name, split_part(p_name, ' ', 2)) + 1), split_part(p_name, ' ', 2)) > 0 AS ambiguous FROM part""")
 def span_checks(spark, d):
     """The second word is found wherever the stored offsets don't hold."""
     raw, text = F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_name")
     zero = F.lit(0)
     span = offers.locate_span(text, F.lit(1), F.lit(1), raw, F.lit("?"))
-    return table(spark, d, "part").select("p_partkey", span["s"].alias("s"), span["e"].alias("e"), offers.verify_span(text, zero, F.length(raw), raw).alias("stored"))
+    return table(spark, d, "part").select("p_partkey", span["s"].alias("s"), span["e"].alias("e"), span["ambiguous"].alias("ambiguous"), offers.verify_span(text, zero, F.length(raw), raw).alias("stored"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.085 THEN 'high' WHEN l_discount >= 0.06 THEN 'medium' ELSE 'low' END AS level FROM lineitem")
