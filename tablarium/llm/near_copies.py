@@ -35,7 +35,7 @@ SHARE, LEAST_TEXTS, MAX_COMMON = 16, 2_000, 1_000_000
 #: A shingle in one of so many texts of the sample is hot: its list is never put in order by one task.
 HOT = 50
 #: Members of lists with more of them outside the largest component are compared by parts.
-MANY = 16
+MANY = 64
 #: Parts that texts of a size have over those they can differ in, as a share of these, which leaves room for empty parts.
 SPARE = 0.15
 #: Counts of a text's shingles by so many ranges of their hashes bound what two texts can share.
@@ -204,6 +204,13 @@ def _lists(heads: DataFrame) -> DataFrame:
     return both.select("h", "node", "m", "p", F.col("first.node").alias("a"), F.col("first.m").alias("k"), F.col("first.p").alias("q"))
 
 
+def _shared(lists: DataFrame) -> DataFrame:
+    """The rows of lists (h, node, m, p) that aren't alone in theirs. A list has a text once at most, and a text is in dozens of lists."""
+    at = Window.partitionBy("h").orderBy("node")
+    near = lists.withColumns({"before": F.lag("node").over(at), "after": F.lead("node").over(at)})
+    return near.filter("before is not null or after is not null").drop("before", "after")
+
+
 def _across(lists: DataFrame, of: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     """a, b of the pairs of different components that can meet in one list (h, node, m, p), and the members of the lists that are left out.
 
@@ -232,7 +239,7 @@ def _classes(most: int) -> list[int]:
     return at
 
 
-def parts_of(h: np.ndarray, begins: list[int]) -> np.ndarray:
+def sharedof(h: np.ndarray, begins: list[int]) -> np.ndarray:
     """Keys of a set's parts, for its size class and the next one; similar sets share one of them.
 
     Sets of up to K shingles that similar differ in d = 2 K (DEN - NUM) / (DEN + NUM) shingles at most, so of d + 1 parts or more
@@ -260,7 +267,7 @@ def _by_part(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, sets in _by_parts(batches):
             begins = _classes(max(map(len, sets), default=1) * 2)
-            keys = [parts_of(h, begins) if len(h) else h for h in sets]
+            keys = [sharedof(h, begins) if len(h) else h for h in sets]
             n = np.fromiter(map(len, keys), np.int64, len(keys))
             columns = [np.concatenate(keys).view(np.int64), np.repeat(nodes, n), np.repeat(np.fromiter(map(len, sets), np.int32, len(sets)), n), np.zeros(n.sum(), np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "m", "p"])
@@ -272,17 +279,18 @@ def near_copy_components(texts: DataFrame) -> DataFrame:
     """node and component (smallest node reachable over similar pairs) of each linked node of texts (node, text; nodes are distinct)."""
     heads = materialize(prefixes(texts))
     lists = materialize(_lists(heads))
+    discard(heads)
     led = lists.filter("node <> a").filter(_can_meet()).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     edges = _similar(_close(texts).unionByName(led), texts)
-    discard(heads)
     of = materialize(connected_components(edges))
     few, members = _across(lists.select("h", "node", "m", "p"), of, MANY)
     found = materialize(few)
     many = materialize(members.select("node").distinct())
     if not many.isEmpty():
         chosen = texts.join(broadcast_if_small(many), "node", "left_semi")
-        more = materialize(_across(_by_part(chosen), of, None)[0])
-        found = found.unionByName(more)
+        shared = materialize(_shared(_by_part(chosen)))
+        found = found.unionByName(materialize(_across(shared, of, None)[0]))
+        discard(shared)
     new = _similar(found, texts)
     discard(lists, many)
     out = materialize(connected_components(edges.unionByName(new)))

@@ -38,7 +38,7 @@ def stage(spark, docs):
     return sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.drop_near_copies(spark, docs, None).select("doc_id").collect())
 
 
-@pytest.mark.parametrize(("many", "hot"), [(16, 50), (0, 10**6)])
+@pytest.mark.parametrize(("many", "hot"), [(64, 50), (0, 10**6)])
 def test_edited_copies(spark, many, hot, monkeypatch):
     """many = 0: members of every list are compared by parts; a large hot: lists of all known shingles have their leaders by partial sums."""
     monkeypatch.setattr(near_copies, "MANY", many)
