@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_date
+from tablarium.functions.spread import spread
 from tablarium.functions.text import let
 from tablarium.operators.fields import extract_all, field
 
@@ -85,7 +86,7 @@ def detect(pages: DataFrame) -> DataFrame:
     ended = expired_but_published(F.col("url"), F.col("text"), F.col("as_of"))
     expired = let(ended, lambda d: F.when(d.isNotNull(), F.struct(F.lit("suresi_dolmus_kampanya").alias("kind"), d.cast("string").alias("low"), F.col("as_of").cast("string").alias("high"))))
     found = F.concat(fees, F.array_compact(F.array(conflicting_end_dates(F.col("text")), expired)))
-    return pages.withColumn("found", F.explode_outer(found)).filter("found is not null").select(*pages.columns, "found.*")
+    return spread(pages).withColumn("found", F.explode_outer(found)).filter("found is not null").select(*pages.columns, "found.*")
 
 
 def by_campaign(found: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import NEGATION, normalize_fee_status, normalize_money, parse_tr_number
+from tablarium.functions.spread import spread
 from tablarium.functions.text import first_match, let, match_spans, tr_fold_ascii
 from tablarium.operators import extract, offers
 from tablarium.operators.classify import campaign_type, reconcile
@@ -49,8 +50,7 @@ def made(name: str, when: Column, **parts: Column) -> Column:
 def shown(text: Column, value: Column, evidence: Column) -> Column:
     """A field of made() with its evidence (see extract.at): offsets, the raw text there, the window around it, confidence; null stays null."""
 
-    def parts(x: Column) -> Column:
-        v, a = x["v"], x["a"]
+    def parts(v: Column, a: Column) -> Column:
         numbers = F.array_compact(F.array(*[v[p] for p in ("num", "value", "amount", "min", "max")]))
         start = F.greatest(a["ws"] - WINDOW, F.lit(0))
         score = offers.confidence(v["field"], numbers, a["distance"], F.coalesce(a["candidates"], F.lit(1)), v["min"].isNotNull() & v["max"].isNotNull())
@@ -58,9 +58,10 @@ def shown(text: Column, value: Column, evidence: Column) -> Column:
             "s": a["s"], "e": a["e"], "raw": F.coalesce(F.substring(text, a["s"] + 1, a["e"] - a["s"]), F.get(v["items"], F.lit(0))),
             "window": F.btrim(F.substring(text, start + 1, a["we"] + WINDOW - start), F.lit(" \t\n\r\x0b\x0c\xa0")), "confidence": score,
         }
-        return F.when(v.isNotNull(), F.struct(v["field"].alias("field"), *[own.get(k, v[k]).cast(t).alias(k) for k, t in _PARTS.items()]))
+        return F.struct(v["field"].alias("field"), *[own.get(k, v[k]).cast(t).alias(k) for k, t in _PARTS.items()])
 
-    return let(F.struct(value.alias("v"), evidence.alias("a")), parts)
+    # most fields are missing in most texts, and are then not looked for again
+    return let(value, lambda v: F.when(v.isNotNull(), let(evidence, lambda a: parts(v, a))))
 
 
 def _clause(text: Column, start: Column, end: Column) -> Column:
@@ -210,7 +211,7 @@ def field(found: Column, name: str) -> Column:
 def campaigns(docs: DataFrame, text: str = "text") -> DataFrame:
     """Docs with type, type_confidence and fields (see extract_all)."""
     kind = campaign_type(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumns({"kind": kind, "fields": extract_all(F.col(text))}).select(*docs.columns, F.col("kind.type").alias("type"), F.col("kind.confidence").alias("type_confidence"), "fields")
+    return spread(docs).withColumns({"kind": kind, "fields": extract_all(F.col(text))}).select(*docs.columns, F.col("kind.type").alias("type"), F.col("kind.confidence").alias("type_confidence"), "fields")
 
 
 def long_fields(docs: DataFrame, keys: list[str]) -> DataFrame:

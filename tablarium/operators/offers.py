@@ -116,8 +116,9 @@ def audience(text: Column) -> Column:
 def conditions(text: Column) -> Column:
     """The first eight sentences of 20 to 400 characters that state a condition and aren't boilerplate; null if there is none."""
     good = lambda s: s.rlike(CONDITION) & ~s.rlike(BOILERPLATE) & F.length(s).between(20, 400)
-    picked = F.slice(F.filter(F.transform(split_sentences(text), lambda s: F.trim(s)), good), F.lit(1), F.lit(8))
-    return let(picked, lambda p: F.when(F.size(p) > 0, p))
+    picked = lambda t: F.slice(F.filter(F.transform(split_sentences(t), lambda s: F.trim(s)), good), F.lit(1), F.lit(8))
+    some = lambda t: F.when(t.rlike(CONDITION.replace("(?iu)", "(?iuU)")), picked(t))  # noqa: E731, no sentence has what its text lacks
+    return let(let(text, some), lambda p: F.when(F.size(p) > 0, p))
 
 
 def is_plausible(field: Column, numbers: Column) -> Column:
