@@ -62,7 +62,9 @@ def _bounds(df: DataFrame, key: str) -> Column:
 
 
 def _part(key: Column, bounds: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b < key))
+    """How many of the sorted bounds, fewer than PARTS, are below key: halved, not compared one by one."""
+    steps = F.array(*[F.lit(PARTS >> k) for k in range(1, PARTS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(bounds, n + step - 1) < key, n + step).otherwise(n))
 
 
 def rank(rows: DataFrame, descending: bool = False) -> DataFrame:
@@ -115,8 +117,9 @@ def rank_normalized(long: DataFrame, group: list[str]) -> DataFrame:
     """Long (…, value, lower) with norm: 1 for the best average rank of a group, 0 for the worst; ties share; alone: 1. Groups aren't null."""
     signed = long.withColumn("signed", F.when(F.col("lower"), F.col("value")).otherwise(-F.col("value")))
     order = ordinal(signed, group, "signed")
-    sizes = order.groupBy(*group).agg(F.sum("n").alias("size"), F.count("*").alias("kinds"))
-    norms = order.join(sizes, group).select(*group, "signed", F.when(F.col("kinds") == 1, 1.0).otherwise(1 - (F.col("before") + (F.col("n") - 1) / 2) / (F.col("size") - 1)).alias("norm"))
+    # from the rows, not from their order, which the plan would hold twice
+    sizes = signed.groupBy(*group).agg(F.count("*").alias("size"), (F.min("signed") == F.max("signed")).alias("alone"))
+    norms = order.join(sizes, group).select(*group, "signed", F.when(F.col("alone"), 1.0).otherwise(1 - (F.col("before") + (F.col("n") - 1) / 2) / (F.col("size") - 1)).alias("norm"))
     return signed.join(norms, [*group, "signed"]).select(*long.columns, "norm")
 
 
@@ -131,7 +134,7 @@ def composite(rows: DataFrame, by_type: bool = False, weights: dict[str, float]
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("w"), F.lit(f in LOWER_IS_BETTER).alias("lower"), F.col(f).cast("double").alias("value")) for f, w in weights.items()]))
     long = base.select("id", "campaign_type", cells.alias("c")).select("id", "campaign_type", "c.*").filter("value is not null")
     scored = rank_normalized(long, ["campaign_type", "field"])
-    active = scored.groupBy("campaign_type", "field").agg(F.max("w").alias("w")).groupBy("campaign_type").agg(F.sum("w").alias("active"))
+    active = long.groupBy("campaign_type", "field").agg(F.max("w").alias("w")).groupBy("campaign_type").agg(F.sum("w").alias("active"))
     each = scored.groupBy("id", "campaign_type").agg(F.sum(F.col("w") * F.col("norm")).alias("s"), F.sum("w").alias("present"))
     sizes = base.groupBy("campaign_type").agg(F.count("*").alias("size"))
     out = base.select("id", "campaign_type").join(each, ["id", "campaign_type"], "left").join(F.broadcast(active), "campaign_type", "left").join(F.broadcast(sizes), "campaign_type")
@@ -150,6 +153,5 @@ def best_composite(scored: DataFrame) -> DataFrame:
 
 def best_by_type(scored: DataFrame) -> DataFrame:
     """The best comparable id of each type, or null."""
-    key = F.struct(F.col("score"), F.col("coverage"), -F.col("id"))
-    top = scored.filter("comparable").groupBy("campaign_type").agg(F.max_by("id", key).alias("id"), F.max("score").alias("score"))
-    return scored.select("campaign_type").distinct().join(top, "campaign_type", "left")
+    key = F.when(F.col("comparable"), F.struct(F.col("score"), F.col("coverage"), -F.col("id")))  # rows without a key don't count
+    return scored.groupBy("campaign_type").agg(F.max_by("id", key).alias("id"), F.max(F.when(F.col("comparable"), F.col("score"))).alias("score"))
