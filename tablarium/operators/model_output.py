@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import first_match, let, match_spans
+from tablarium.functions.spread import dealt
+from tablarium.functions.text import let, match_spans
 
 #: Blocks before an answer, fences around it, commas that end a list, white space of JSON, bounds of a confidence.
 THOUGHT, OPEN_THOUGHT = "(?is)<think>.*?</think>", "(?is)<think>.*"
@@ -15,12 +16,33 @@ SPACE = "[ \\t\\r\\n]*"
 LEAST, MOST = 0.01, 0.99
 
 
+#: Nested brackets that one pattern follows; deeper ones are counted.
+_LEVELS = 8
+
+
+def _closed(begin: str, end: str) -> str:
+    """A pattern of `begin` and all up to the `end` that closes it; possessive, so that it reads a text once and doesn't recurse."""
+    string, plain = '"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"', f'[^\\{begin}\\{end}"]*+'
+    inner = string
+    for _ in range(_LEVELS):
+        whole = f"\\{begin}{plain}(?:{inner}{plain})*+\\{end}"
+        inner = f"(?:{string}|{whole})"
+    return whole
+
+
 def balanced(text: Column, begin: str = "{", end: str = "}") -> Column:
-    """struct s, e: the first `begin` and the end after the `end` that closes it; null without one, or if it stays open.
+    """struct s, e: the first `begin` and the end after the `end` that closes it; null without one, or if it stays open. Brackets within strings don't count."""
 
-    An automaton over the places of brackets, quotes and backslashes: its state is the depth, whether a string is open, and
-    which character a backslash has taken its meaning from. Brackets within strings don't count.
-    """
+    def found(t: Column, whole: Column) -> Column:
+        s = F.position(F.lit(begin), t) - 1
+        return F.when(whole != "", F.struct(s.alias("s"), (s + F.length(whole)).alias("e"))).when(t.contains(begin), _counted(t, begin, end))
+
+    return let(text, lambda t: let(F.regexp_extract(t, f"(?s)\\A[^\\{begin}]*+({_closed(begin, end)})", 1), lambda whole: found(t, whole)))
+
+
+def _counted(text: Column, begin: str, end: str) -> Column:
+    """balanced() for any depth: an automaton over the places of brackets, quotes and backslashes, whose state is the depth, whether
+    a string is open, and which character a backslash has taken its meaning from."""
     events = lambda t: match_spans(t, f'[\\{begin}\\{end}"\\\\]')
     none = F.lit(None).cast("int")
 
@@ -80,28 +102,29 @@ def _value(text: Column) -> Column:
 
 def value_span(text: Column, field: str) -> Column:
     """struct s, e: where the "value" of the object under `field` stands within the first whole object of the text; null without it."""
+    return F.get(value_spans(text, [field]), F.lit(0))["at"]
 
-    def after(t: Column, key: str) -> Column:
-        """Where the value of the first such key begins."""
-        return let(first_match(t, f'"{key}"{SPACE}:{SPACE}'), lambda m: m["e"])
 
-    def inside(t: Column, outer: Column) -> Column:
-        def of_field(at: Column) -> Column:
-            rest = F.substring(t, outer["s"] + at + 1, outer["e"] - outer["s"] - at)
-            holder = lambda r: F.when(r.startswith("{"), let(balanced(r), lambda b: F.when(b["s"] == 0, F.substring(r, 1, b["e"]))))
+def value_spans(text: Column, fields: list[str]) -> Column:
+    """array of structs field, at: value_span() of each field."""
 
-            def of_value(h: Column) -> Column:
-                def made(v: Column) -> Column:
-                    start = outer["s"] + at + v
-                    return let(_value(F.substring(h, v + 1, F.length(h))), lambda n: F.when(n > 0, F.struct(start.alias("s"), (start + n).alias("e"))))
+    key = lambda name: f'.*?"{name}"{SPACE}:{SPACE}'
+    after = lambda t, name: F.nullif(F.length(F.regexp_extract(t, f"(?s)\\A{key(name)}", 0)), F.lit(0))  # noqa: E731, where the value of the first such key begins
 
-                return let(after(h, "value"), made)
+    def held(whole: Column, field: str) -> Column:
+        """The object under the first such key; null if there is another value."""
+        deep = let(after(whole, field), lambda at: let(F.substring(whole, at + 1, F.length(whole)), lambda r: F.when(r.startswith("{"), let(balanced(r), lambda b: _part(r, b)))))
+        return let(F.regexp_extract(whole, f"(?s)\\A(?>{key(field)})({_closed('{', '}')})", 1), lambda h: F.when(h != "", h).otherwise(deep))
 
-            return let(let(rest, holder), of_value)
+    def inside(outer: Column, whole: Column, field: str) -> Column:
+        def made(h: Column, v: Column) -> Column:
+            start = outer["s"] + after(whole, field) + v
+            return let(_value(F.substring(h, v + 1, F.length(h))), lambda n: F.when(n > 0, let(start, lambda s: F.struct(s.alias("s"), (s + n).alias("e")))))
 
-        return let(after(_part(t, outer), field), of_field)
+        return let(held(whole, field), lambda h: let(after(h, "value"), lambda v: F.when(v > 0, made(h, v))))
 
-    return let(text, lambda t: let(balanced(t), lambda outer: inside(t, outer)))
+    each = lambda outer, whole: F.array(*[F.struct(F.lit(f).alias("field"), inside(outer, whole, f).alias("at")) for f in fields])
+    return let(text, lambda t: let(balanced(t), lambda outer: let(_part(t, outer), lambda whole: each(outer, whole))))
 
 
 def field_confidences(tokens: DataFrame, fields: list[str]) -> DataFrame:
@@ -111,11 +134,17 @@ def field_confidences(tokens: DataFrame, fields: list[str]) -> DataFrame:
     confidence, from 0.01 to 0.99 (not a number: 0.01). Answers without a whole object, and values without tokens, give no row.
     """
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = tokens.select("id", "pos", F.coalesce("token", F.lit("")).alias("token"), "logprob").withColumn("e", F.sum(F.length("token")).over(before)).withColumn("s", F.col("e") - F.length("token"))
+    known = dealt(tokens.filter("id is not null").select("id", "pos", F.coalesce("token", F.lit("")).alias("token"), "logprob"), "id")
+    placed = known.withColumn("e", F.sum(F.length("token")).over(before)).withColumn("s", F.col("e") - F.length("token"))
     # an answer is as long as a model may write
-    answers = placed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("text"))
-    spans = answers.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), value_span(F.col("text"), f).alias("at")) for f in fields])).alias("x"))
-    spans = spans.filter("x.at is not null").select("id", "x.field", F.col("x.at.s").alias("lo"), F.col("x.at.e").alias("hi"))
-    met = placed.join(spans, "id").filter((F.col("s") < F.col("hi")) & (F.col("e") > F.col("lo")))
-    mean = met.groupBy("id", "field").agg(F.avg("logprob").alias("mean")).filter("mean is not null")
-    return mean.select("id", "field", F.when(F.isnan("mean"), LEAST).otherwise(F.greatest(F.least(F.exp("mean"), F.lit(MOST)), F.lit(LEAST))).alias("confidence"))
+    answers = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "s", "e", "token", "logprob"))).alias("x"))
+    text = F.array_join(F.col("x.token"), "")
+
+    def mean(at: Column) -> Column:
+        add = lambda a, t: F.struct((a["sum"] + t["logprob"]).alias("sum"), (a["n"] + 1).alias("n"))
+        met = F.filter("x", lambda t: (t["s"] < at["e"]) & (t["e"] > at["s"]) & t["logprob"].isNotNull())
+        return F.aggregate(met, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), add, lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
+
+    found = answers.select("id", F.explode_outer(F.transform(value_spans(text, fields), lambda v: F.struct(v["field"].alias("field"), F.when(v["at"].isNotNull(), mean(v["at"])).alias("mean")))).alias("v"))
+    said = found.filter("v.mean is not null").select("id", "v.*")
+    return said.select("id", "field", F.when(F.isnan("mean"), LEAST).otherwise(F.greatest(F.least(F.exp("mean"), F.lit(MOST)), F.lit(LEAST))).alias("confidence"))
