@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_date, normalize_fee_status, normalize_money, normalize_rate, normalize_term_months, parse_tr_number
+from tablarium.functions.spread import dealt
 from tablarium.functions.text import let, normalize_whitespace
 from tablarium.operators.classify import TYPES
 from tablarium.operators.fields import FIELDS
@@ -138,10 +139,14 @@ def merge_verdicts(rows: DataFrame) -> DataFrame:
     verdict = F.coalesce(F.nullif(F.lower(F.trim("verdict")), F.lit("")), F.lit("ok"))
     value = F.when(verdict == "fix", F.col("gold_value")).when(verdict == "ok", F.nullif("model_value", F.lit("")))
     kind = F.when(verdict == "unclear", "unclear").when((verdict == "absent") | value.isNull(), "absent").otherwise("value")
-    outside = rows.filter((F.col("field") == "campaign_type") & (verdict == "absent")).select("doc_id").distinct()
-    one = rows.join(outside, "doc_id", "left_anti").select("doc_id", "field", kind.alias("kind"), F.when(kind == "value", value).alias("value"))
-    both = one.groupBy("doc_id", "field").agg(F.count_distinct(F.struct("kind", F.coalesce("value", F.lit("")))).alias("kinds"), F.min("kind").alias("kind"), F.min("value").alias("value"))
-    return both.select("doc_id", "field", F.when(F.col("kinds") > 1, "conflict").otherwise(F.col("kind")).alias("decision"), F.when(F.col("kinds") == 1, F.col("value")).alias("value"))
+    outside = F.coalesce((F.col("field") == "campaign_type") & (verdict == "absent") & F.col("doc_id").isNotNull(), F.lit(False))
+    one = dealt(rows.select("doc_id", "field", kind.alias("kind"), F.when(kind == "value", value).alias("value"), outside.alias("outside")), "doc_id")
+    # kinds and values in one order, so two that are equal at both ends are all equal
+    said = F.struct("kind", F.coalesce("value", F.lit("")).alias("value"))
+    both = one.groupBy("doc_id", "field").agg(F.min(said).alias("low"), F.max(said).alias("high"), F.bool_or("outside").alias("outside"))
+    kept = both.withColumn("outside", F.bool_or("outside").over(Window.partitionBy("doc_id"))).filter("not outside")  # a document has a few fields
+    agree = F.col("low") == F.col("high")
+    return kept.select("doc_id", "field", F.when(agree, F.col("low.kind")).otherwise("conflict").alias("decision"), F.when(agree & (F.col("low.kind") == "value"), F.col("low.value")).alias("value"))
 
 
 def midpoint(v: Column) -> Column:
