@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablarium.functions.spread import dealt
 from tablarium.functions.text import tr_fold_ascii
 
 
@@ -160,8 +161,8 @@ def hard_tags(note: Column, known: list[str]) -> Column:
 FEW_VALUES, BINS = 4096, 1 << 20
 
 
-def _ratio_pairs(bag: DataFrame) -> float:
-    """The sum of c c' ((v - v') / (v + v'))**2 over all ordered pairs of the values of bag (value, c), which aren't negative.
+def _ratio_pairs(bag: DataFrame) -> tuple[int, float]:
+    """The sums of c, and of c c' ((v - v') / (v + v'))**2 over all ordered pairs, of the values of bag (value, c), which aren't negative.
 
     The square is tanh((ln v - ln v') / 2)**2, so it depends on the difference of logarithms only: of many values the logarithms
     are binned, and how often each difference occurs comes from one convolution. With BINS bins the mean square is off by
@@ -172,7 +173,7 @@ def _ratio_pairs(bag: DataFrame) -> float:
         v, c = np.array([r.value for r in few], float), np.array([r.c for r in few], float)
         total = v[:, None] + v[None, :]
         apart = np.divide(v[:, None] - v[None, :], total, out=np.zeros((len(v), len(v))), where=total != 0) ** 2
-        return float(c @ apart @ c)
+        return sum(r.c for r in few), float(c @ apart @ c)
     ends = bag.filter("value > 0").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("c").alias("n")).first()
     zeros = bag.filter("value = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     width = math.log(ends.high / ends.low) / (BINS - 1)
@@ -181,18 +182,17 @@ def _ratio_pairs(bag: DataFrame) -> float:
     c = np.zeros(BINS)
     c[rows["bin"].to_numpy()] = rows["c"].to_numpy()
     times = np.fft.irfft(np.abs(np.fft.rfft(c, 2 * BINS)) ** 2)[:BINS]
-    return float(2 * (times * np.tanh(np.arange(BINS) * width / 2) ** 2).sum() + 2.0 * zeros * ends.n)
+    return ends.n + zeros, float(2 * (times * np.tanh(np.arange(BINS) * width / 2) ** 2).sum() + 2.0 * zeros * ends.n)
 
 
 def krippendorff_ratio(labels: DataFrame) -> DataFrame:
     """N, alpha of rows (unit, value) on a ratio scale, whose values aren't negative. Pairs are made within units only, of distinct values with their counts."""
-    known = labels.filter("value is not null").select("unit", F.col("value").cast("double").alias("value"))
-    sizes = known.groupBy("unit").agg(F.count("*").alias("m")).filter("m >= 2")
-    cells = known.join(sizes, "unit").groupBy("unit", "m", "value").agg(F.count("*").alias("c"))
+    known = dealt(labels.filter("value is not null and unit is not null").select("unit", F.col("value").cast("double").alias("value")), "unit")
+    counted = known.groupBy("unit", "value").agg(F.count("*").alias("c"))
+    cells = counted.withColumn("m", F.sum("c").over(Window.partitionBy("unit"))).filter("m >= 2")
     apart = lambda a, b: F.coalesce(((a - b) / F.nullif(a + b, F.lit(0.0))) ** 2, F.lit(0.0))
-    other = cells.select("unit", F.col("value").alias("w"), F.col("c").alias("k"))
+    other = counted.select("unit", F.col("value").alias("w"), F.col("c").alias("k"))
     within = cells.join(other, "unit").filter("value < w").agg(F.sum(2 * F.col("c") * F.col("k") * apart(F.col("value"), F.col("w")) / (F.col("m") - 1)).alias("o"))
-    e = _ratio_pairs(cells.groupBy("value").agg(F.sum("c").alias("c")))
-    total = cells.agg(F.sum("c").alias("n")).join(within)  # one row each
-    alpha = F.when(F.lit(e == 0), 1.0).otherwise(1 - (F.coalesce("o", F.lit(0.0)) / F.col("n")) / (F.lit(e) / F.col("n") / (F.col("n") - 1)))
-    return total.select("n", F.round(alpha, 6).alias("alpha"))
+    n, e = _ratio_pairs(cells.groupBy("value").agg(F.sum("c").alias("c")))
+    alpha = F.lit(1.0) if e == 0 else 1 - (F.coalesce("o", F.lit(0.0)) / F.lit(n)) / F.lit(e / n / (n - 1))
+    return within.select(F.lit(n or None).cast("long").alias("n"), F.round(alpha, 6).alias("alpha"))
