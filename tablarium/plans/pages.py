@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablarium.functions.spread import spread
 from tablarium.operators import agreement, contradict, offers, route, store
 from tablarium.plans.catalogue import _store, cents, query, table, tr
 from tablarium.sources import crawl, files
@@ -82,7 +83,8 @@ def extract_reward(spark, d):
         F.when(k == 0, F.concat(F.lit("Toplam 500 TL tutarındaki bütün alışverişler için, üstelik hemen "), gift, F.lit(" hediye!"))).when(k == 1, F.concat(F.lit("ÖDÜL: "), gift))
         .when(k == 2, F.concat(F.lit("9 TL ile 30 gün; kazanç: "), gift, F.lit(" bonus"))).otherwise("500 TL üzeri harcamaya indirim")
     )
-    return table(spark, d, "orders").select("o_orderkey", offers.reward(text)["value"].alias("value"))
+    rows = spread(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    return rows.select("o_orderkey", offers.reward(text)["value"].alias("value"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'rate' WHEN 1 THEN 'points' END AS kind, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS DOUBLE) END AS value FROM part")
