@@ -215,8 +215,11 @@ def campaigns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def long_fields(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each field of campaigns(): keys and the field's parts."""
-    return docs.select(*keys, F.explode("fields").alias("f")).select(*keys, "f.*")
+    """A row for each field of campaigns(): keys and the field's parts.
+
+    Of explode() Spark infers a filter on the array's size, which it computes a second time, before the rows are dealt to all cores.
+    """
+    return docs.select(*keys, F.explode_outer("fields").alias("f")).filter("f is not null").select(*keys, "f.*")
 
 
 def merge_layers(rules: DataFrame, model: DataFrame, keys: list[str], verify_below: float | None = None) -> DataFrame:
