@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablarium.functions.text import let, tr_fold_ascii
+from tablarium.functions.text import has, let, tr_fold_ascii
 
 #: Months, range separators, and phrases about fees (folded).
 MONTHS = ["ocak", "subat", "mart", "nisan", "mayis", "haziran", "temmuz", "agustos", "eylul", "ekim", "kasim", "aralik"]
 RANGE_SEPARATOR = "(?U)\\s*(?:-|–|—|ile|ila|arası|arasında|/)\\s*"
 FREE = ["masrafsiz", "ucretsiz", "dosya masrafi yok", "masraf yok", "sifir masraf", "tahsis ucreti yok"]
-FEE_HINTS = "masraf|ucret|tahsis"
+FEE_HINTS = ["masraf", "ucret", "tahsis"]
 NEGATION = (
     "(?U)(?:al[ıi]nma[zy]\\w*|al[ıi]nm[ıi]yor|tahsil\\s+edilme[zy]\\w*|talep\\s+edilme[zy]\\w*|yans[ıi]t[ıi]lma[zy]\\w*|yoktur|yok\\b|"
     "bulunmamaktad[ıi]r|muaf|s[ıi]f[ıi]r|bedelsiz)"
@@ -91,9 +91,9 @@ def _date(c: Column) -> Column:
     )
 
 
-def normalize_fee_status(c: Column) -> Column:
-    """Struct has_fee, amount. A denial is a value (false, 0); a bare mention is null."""
-    known = lambda t: F.struct(t.alias("c"), tr_fold_ascii(t).alias("low"))
+def normalize_fee_status(c: Column, folded: Column | None = None) -> Column:
+    """Struct has_fee, amount. A denial is a value (false, 0); a bare mention is null. folded is tr_fold_ascii(c), if it is known."""
+    known = lambda t: F.struct(t.alias("c"), (tr_fold_ascii(t) if folded is None else folded).alias("low"))
     return let(let(c, known), lambda x: _fee(x["c"], x["low"]))
 
 
@@ -101,4 +101,4 @@ def _fee(c: Column, low: Column) -> Column:
     fee = lambda has, amount: F.struct(F.lit(has).alias("has_fee"), amount.cast("double").alias("amount"))
     known = c.rlike("%\\s*\\d|\\d[\\d.,]*\\s*%") | low.rlike(CHARGE)
     charged = lambda money: F.when(money.isNotNull(), fee(True, money["value"])).when(known, fee(True, F.lit(None)))
-    return F.when(low.rlike("|".join(FREE)), fee(False, F.lit(0.0))).when(low.rlike(FEE_HINTS), F.when(low.rlike(NEGATION), fee(False, F.lit(0.0))).otherwise(let(normalize_money(c), charged)))
+    return F.when(has(low, *FREE), fee(False, F.lit(0.0))).when(has(low, *FEE_HINTS), F.when(low.rlike(NEGATION), fee(False, F.lit(0.0))).otherwise(let(normalize_money(c), charged)))

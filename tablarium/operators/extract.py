@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablarium.functions.normalize import normalize_date, normalize_money, normalize_rate, normalize_term_months
-from tablarium.functions.text import first_match, let, match_spans, tr_fold
+from tablarium.functions.text import first_match, has, let, match_spans, tr_fold
 
 #: Units that a rate is not, and patterns with which a field is found.
 UNIT = "(?:ay|y[ıi]l|sene|taksit|adet|tl|₺)(?:a|e|da|de|ta|te|dan|den|tan|ten|[ıi]|l[ıi]k|lar|ler)?\\b"
@@ -16,7 +16,7 @@ RATE_AFTER = (
     "(?iuU)(kâr|kar)\\s*pay[ıi]\\s*(oran[ıi])?[^%\\d]{0,15}(%?\\s*\\d[\\d.,]*(?![\\d.,])\\s*%?"
     f"(?:\\s*(?:-|–|ile|ila)\\s*%?\\s*\\d[\\d.,]*(?![\\d.,])\\s*%?(?!\\s*{UNIT}))?)(?!\\s*{UNIT})"
 )
-TERM = "(?iuU)(\\d[\\d.,]*)\\s*(ay|yıl|yil|sene)(?:a|da|ta|dan|tan|ı|i|lık|lik)?\\b"
+TERM = "(?iuU)(\\d(?<!\\d\\d)[\\d.,]*+)\\s*+(ay|yıl|yil|sene)(?:a|da|ta|dan|tan|ı|i|lık|lik)?\\b"
 AMOUNT = "(?iuU)(finansman|kredi|tutar|limit)[^\\d]{0,20}(\\d[\\d.,]*\\s*(?:tl|₺|try|türk\\s*liras[ıi]))"
 INSTALMENTS = "(?iuU)(\\d{1,3})\\s*taksit|taksit\\s*(?:say[ıi]s[ıi])?\\s*[:\\-]?\\s*(\\d{1,3})"
 DISCOUNT_BEFORE = "(?iuU)(%\\s*\\d[\\d.,]*|\\d[\\d.,]*\\s*%)(?:[^.;\\n]{0,20}?)\\bindirim"
@@ -46,30 +46,31 @@ def profit_rate(text: Column) -> Column:
     return let(text, lambda t: F.when(t.rlike("(?iu)pay") & ~t.rlike(SHARING), normalize_rate(raw(t))))
 
 
-def profit_rate_at(text: Column) -> Column:
-    """Where the rate of profit_rate() stands; see at()."""
+def rate_found(text: Column) -> Column:
+    """struct raw, at: what profit_rate() reads unless a sharing ratio is mentioned, and where it stands; see at()."""
 
-    def before(t: Column) -> Column:
-        end = lambda m: m["s"] + F.length(F.regexp_extract(m["m"], RATE_BEFORE, 1))
-        return let(first_match(t, RATE_BEFORE), lambda m: at(m["s"], end(m), m["s"], m["e"], 0, F.regexp_count(t, F.lit(RATE_BEFORE))))
+    def before(m: Column) -> Column:
+        return F.when(m.isNotNull(), F.struct(m["g1"].alias("raw"), at(m["s"], m["s"] + F.length(m["g1"]), m["s"], m["e"], 0, m["n"]).alias("at")))
 
-    def after(t: Column) -> Column:
-        def place(m: Column) -> Column:
-            start = m["e"] - F.length(F.regexp_extract(t, RATE_AFTER, 3))  # the rate is what a match ends with
-            return at(start, m["e"], m["s"], m["e"], start - m["s"] - F.length(F.regexp_extract(t, RATE_AFTER, 1)), F.regexp_count(t, F.lit(RATE_AFTER)))
+    def after(m: Column) -> Column:
+        start = m["e"] - F.length(m["g3"])  # the rate is what a match ends with
+        return F.when(m.isNotNull(), F.struct(m["g3"].alias("raw"), at(start, m["e"], m["s"], m["e"], start - m["s"] - F.length(m["g1"]), m["n"]).alias("at")))
 
-        return let(first_match(t, RATE_AFTER), place)
+    return F.coalesce(F.when(text.contains("%"), let(first_match(text, RATE_BEFORE, 1), before)), let(first_match(text, RATE_AFTER, 1, 3), after))
 
-    return let(text, lambda t: F.when(t.rlike(RATE_BEFORE), before(t)).otherwise(after(t)))
 
+def term(text: Column, low: Column | None = None, distance: bool = True) -> Column:
+    """Struct months, s, e, d (to the nearest "vade"), n (terms in the text). Of all terms the one not after "ilk", nearest to "vade", first.
 
-def term(text: Column) -> Column:
-    """Struct months, s, e, d (to the nearest "vade"), n (terms in the text). Of all terms the one not after "ilk", nearest to "vade", first."""
-    known = F.struct(match_spans(text, TERM).alias("spans"), tr_fold(text).alias("low"))
+    low is tr_fold(text), if it is known. Without distance an only term isn't held against any "vade", and its d is null.
+    """
+    known = F.struct(match_spans(text, TERM).alias("spans"), (tr_fold(text) if low is None else low).alias("low"))
 
     def made(x: Column) -> Column:
-        parts = lambda b: F.struct(normalize_term_months(b["m"]).alias("months"), b["s"].alias("s"), b["e"].alias("e"), b["d"].alias("d"), F.size(x["spans"]).alias("n"))
-        return let(_nearest(x["spans"], x["low"]), lambda b: F.when(b.isNotNull(), parts(b)))
+        parts = lambda b, d: F.struct(normalize_term_months(b["m"]).alias("months"), b["s"].alias("s"), b["e"].alias("e"), d.alias("d"), F.size(x["spans"]).alias("n"))
+        best = let(_nearest(x["spans"], x["low"]), lambda b: F.when(b.isNotNull(), parts(b, b["d"])))
+        only = let(F.get(x["spans"], F.lit(0)), lambda b: parts(b, F.lit(None).cast("int")))
+        return best if distance else F.when(F.size(x["spans"]) == 1, only).otherwise(best)
 
     return let(known, made)
 
@@ -91,29 +92,21 @@ def amount(text: Column) -> Column:
     return normalize_money(_group(text, AMOUNT, 2))
 
 
-def amount_at(text: Column) -> Column:
-    """Where the amount of amount() stands; see at()."""
+def amount_at(m: Column) -> Column:
+    """Where the amount stands in the first match of AMOUNT, with both groups; see at()."""
+    start = m["e"] - F.length(m["g2"])
+    return at(start, m["e"], m["s"], m["e"], start - m["s"] - F.length(m["g1"]), m["n"])
 
-    def place(t: Column, m: Column) -> Column:
-        start = m["e"] - F.length(F.regexp_extract(t, AMOUNT, 2))
-        return at(start, m["e"], m["s"], m["e"], start - m["s"] - F.length(F.regexp_extract(t, AMOUNT, 1)), F.regexp_count(t, F.lit(AMOUNT)))
 
-    return let(text, lambda t: let(first_match(t, AMOUNT), lambda m: place(t, m)))
+def whole_at(m: Column) -> Column:
+    """Where a match that is a value as a whole stands; see at()."""
+    return at(m["s"], m["e"], candidates=m["n"])
 
 
-def whole_at(text: Column, pattern: str) -> Column:
-    """Where the first match of a pattern that is a value as a whole stands; see at()."""
-    return let(text, lambda t: let(first_match(t, pattern), lambda m: at(m["s"], m["e"], candidates=F.regexp_count(t, F.lit(pattern)))))
-
-
-def deadline_at(text: Column) -> Column:
-    """Where the day of deadline() stands; see at(). No trigger: a null distance."""
-
-    def place(t: Column, m: Column) -> Column:
-        near = F.array_min(F.transform(match_spans(t, DEADLINE_TRIGGER), lambda x: F.abs(x["s"] - m["s"])))
-        return at(m["s"], m["e"], distance=near, candidates=F.regexp_count(t, F.lit(DEADLINE)))
-
-    return let(text, lambda t: let(first_match(t, DEADLINE), lambda m: place(t, m)))
+def deadline_at(text: Column, m: Column) -> Column:
+    """Where the day of the first match of DEADLINE stands; see at(). No trigger: a null distance."""
+    near = F.array_min(F.transform(match_spans(text, DEADLINE_TRIGGER), lambda x: F.abs(x["s"] - m["s"])))
+    return at(m["s"], m["e"], distance=near, candidates=m["n"])
 
 
 def instalments(text: Column) -> Column:
@@ -134,9 +127,9 @@ def discount(text: Column) -> Column:
 
 def discount_at(text: Column) -> Column:
     """Where the rate of discount() stands; see at()."""
-    before = lambda t: let(first_match(t, DISCOUNT_BEFORE), lambda m: at(m["s"], m["s"] + F.length(F.regexp_extract(t, DISCOUNT_BEFORE, 1))))
-    after = lambda t: let(first_match(t, DISCOUNT_AFTER), lambda m: at(m["e"] - F.length(F.regexp_extract(t, DISCOUNT_AFTER, 1)), m["e"]))
-    return let(text, lambda t: F.when(t.rlike(DISCOUNT_BEFORE), before(t)).otherwise(after(t)))
+    before = let(first_match(text, DISCOUNT_BEFORE, 1), lambda m: F.when(m.isNotNull(), at(m["s"], m["s"] + F.length(m["g1"]))))
+    after = let(first_match(text, DISCOUNT_AFTER, 1), lambda m: F.when(m.isNotNull(), at(m["e"] - F.length(m["g1"]), m["e"])))
+    return F.coalesce(before, after)
 
 
 def _unless_points(text: Column, raw: Column) -> Column:

@@ -35,7 +35,7 @@ BASE, ADJACENT, NEAR, FAR, IMPLAUSIBLE, SEVERAL, RANGE, FLOOR, CEILING = 0.70, 0
 _SIDE = 30
 
 
-def _reward(text: Column) -> Column:
+def rewarded(text: Column) -> Column:
     """struct d, s, m, at, to: the amount of reward(), its distance to the word, and its offsets."""
 
     def near(t: Column) -> Column:
@@ -53,12 +53,7 @@ def _reward(text: Column) -> Column:
 
 def reward(text: Column) -> Column:
     """Struct value, currency of the amount nearest to a word of reward: the last in the 30 characters before, else the first in those after."""
-    return let(_reward(text), lambda x: normalize_money(x["m"]))
-
-
-def reward_at(text: Column) -> Column:
-    """Where the amount of reward() stands; see extract.at()."""
-    return let(_reward(text), lambda x: at(x["at"], x["to"], distance=x["d"]))
+    return let(rewarded(text), lambda x: normalize_money(x["m"]))
 
 
 def points(text: Column) -> Column:
