@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablarium.functions.normalize import NEGATION, normalize_date, normalize_fee_status, normalize_money, normalize_rate, parse_tr_number
+from tablarium.functions.normalize import FREE, NEGATION, normalize_date, normalize_fee_status, normalize_money, normalize_rate, parse_tr_number
 from tablarium.functions.spread import spread
 from tablarium.functions.text import first_match, has, let, match_spans, plain_letters, small_letters, tr_fold, tr_fold_ascii, unmarked
 from tablarium.operators import extract, offers
@@ -32,6 +32,7 @@ TABLE_TITLE = "(?iuU)vade[^%\\d]{0,40}?(?:kâr|kar)\\s*(?:pay[ıi]\\s*|payla[şs
 PERCENT = "(?:%\\s*\\d{1,3}[.,]\\d{1,2}|\\d{1,3}[.,]\\d{1,2}\\s*%)"
 TABLE_ROW = f"\\b\\d{{1,3}}(?![\\d.,])\\s+(?:{PERCENT}\\s*){{2,5}}"
 TABLE_TERM = "(?iu)\\b\\d{1,3}(?![\\d.,])\\s*(?:ay\\b)?"
+TABLE_BEGUN = "^[^\\d]*+\\d[^%]*+%"  # a row is a number with a percentage after it
 OF_VALUE = "(?iu)de[ğg]er\\s*[x×]\\s*$"
 #: The part of a table's title that its values are shown by.
 TABLE_SHOWN = "(?iuU)vade[^%\\d]{0,40}?(?:kâr|kar)\\s*pay[ıi]\\s*oran[ıi]"
@@ -92,7 +93,9 @@ def fee_claim(text: Column, low: Column | None = None, folded: Column | None = N
             same = lambda c: F.substring(folded, m["s"] + 1, F.length(c))  # noqa: E731, folding keeps places
             before = lambda c: F.when(has(plain_letters(same(c)), *TITLE_WORDS), F.regexp_replace(c, f"(?s)(?:{COLUMN_TITLE}).*", "")).otherwise(c)
             known = let(let(_clause(t, m["s"], m["e"] + FEE_REACH), before), lambda c: normalize_fee_status(c, same(c)))
-            return let(known, lambda f: F.when(f.isNotNull(), F.struct(f["has_fee"].alias("has_fee"), f["amount"].alias("amount"), m["s"].alias("s"), m["e"].alias("e"))))
+            claim = lambda has_fee, value: F.struct(has_fee.alias("has_fee"), value.alias("amount"), m["s"].alias("s"), m["e"].alias("e"))
+            denied = same(m["m"]).isin([w for w in FREE if " " not in w])  # a mention that is a denial needs no clause
+            return F.when(denied, claim(F.lit(False), F.lit(0.0))).otherwise(let(known, lambda f: F.when(f.isNotNull(), claim(f["has_fee"], f["amount"]))))
 
         return read
 
@@ -127,7 +130,7 @@ def rate_table(text: Column) -> Column:
     """
     tail = let(first_match(text, TABLE_TITLE), lambda m: F.substring(text, m["e"] + 1, F.lit(TABLE_REACH)))
     rows = lambda t: let(_plain_rows(t), lambda rows: F.when(F.size(rows) > 0, rows).otherwise(_loose_rows(t)))
-    return let(tail, lambda t: F.when(t.contains("%"), rows(t)).otherwise(F.array().cast(f"array<{_ROW}>")))
+    return let(tail, lambda t: F.when(t.rlike(TABLE_BEGUN), rows(t)).otherwise(F.array().cast(f"array<{_ROW}>")))
 
 
 def _row(term: Column, rate: Column, fee: Column) -> Column:
